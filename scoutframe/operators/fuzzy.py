@@ -11,12 +11,13 @@ together find every pair at or above the threshold:
 
 * segment join (Pass-Join, Li et al., VLDB 2011): a text within K edits of
   another contains at least one of its K + 1 segments, at a bounded shift. Both
-  sides turn into (length, segment number, segment) keys for an equi-join.
+  sides turn into (length, segment number, segment) keys for an equi-join;
+  segments many names share are refined before they are joined on.
 * rarest-token join: a contained name shares its rarest token with the name
   that contains it.
 
-Work is done on distinct names, so copies cost nothing, and heavy keys are
-salted. No candidate is capped or dropped.
+Work is done on distinct names, so copies cost nothing. No candidate is capped
+or dropped.
 """
 
 from __future__ import annotations
@@ -25,11 +26,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import match_text, sorted_tokens
-from ..session import c, cut_lineage, salted_join
+from ..session import c, cut_lineage, salted_join, small_side
 
 TOKEN_SORT_WEIGHT = 0.95
 CONTAINMENT_SCORE = 90.0
 LOWEST_THRESHOLD = 67.0  # below this K + 1 segments may not fit into a short text
+HEAVY_ROWS = 1_000
+LEVELS = 3
 _EPS = 1e-9
 
 
@@ -99,56 +102,104 @@ def _cut(length: Column, n: Column, i: Column) -> tuple[Column, Column]:
     return start.cast("int"), size.cast("int")
 
 
-def _segment_candidates(left: DataFrame, right: DataFrame, equi: list[str], threshold: float) -> DataFrame:
-    key = [*equi, "kind", "len_r", "i", "seg"]
+def _split_index(rows: DataFrame, carry: list[str]) -> DataFrame:
+    """One row per segment of ``rest``; what is left of it becomes the new ``rest``.
 
-    r = _forms(right, threshold).withColumn("len_r", F.length("s"))
-    r = r.withColumn("n", _segments(F.col("len_r"), F.col("t")))
-    r = r.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n"))))
-    start, size = _cut(F.col("len_r"), F.col("n"), F.col("i"))
-    r = r.withColumn("seg", F.substring(F.col("s"), start, size)).select(
-        *[c(k) for k in key], F.col("norm").alias("norm_r"), F.col("s").alias("s_r")
+    A rest no longer than its ``k`` edits cannot be cut: it passes on whole.
+    """
+    length = F.length("rest")
+    can = length > F.col("k")
+    n = F.when(can, F.col("k") + 1).otherwise(1)
+    rows = rows.withColumn("i", F.explode(F.sequence(F.lit(1), n)))
+    start, size = _cut(length, n, F.col("i"))
+    rows = rows.withColumn("at", start).withColumn("size", F.when(can, size).otherwise(0))
+    return _keyed(rows, carry)
+
+
+def _split_probe(rows: DataFrame, carry: list[str]) -> DataFrame:
+    """The substrings of ``rest`` that may equal a segment of an index rest ``len_r`` long."""
+    length, n_edits = F.length("rest"), F.col("k")
+    can = F.col("len_r") > n_edits
+    n = F.when(can, n_edits + 1).otherwise(1)
+    rows = rows.withColumn("i", F.explode(F.sequence(F.lit(1), n)))
+    start, size = _cut(F.col("len_r"), n, F.col("i"))
+    size = F.when(can, size).otherwise(0)
+    shift, before, after = length - F.col("len_r"), F.col("i") - 1, n - F.col("i")
+    low = F.greatest(F.lit(1), start - before, start + shift - after)
+    high = F.least(length - size + 1, start + before, start + shift + after)
+    rows = (
+        rows.withColumn("lo", F.when(can, low).otherwise(1))
+        .withColumn("hi", F.when(can, high).otherwise(1))
+        .withColumn("size", size)
+        .where("lo <= hi")
+        .withColumn("at", F.explode(F.sequence("lo", "hi")))
     )
+    return _keyed(rows.withColumn("len_r", F.col("len_r") - F.col("size")), [*carry, "len_r"])
 
-    l = _forms(left, threshold).withColumn("len_l", F.length("s"))
-    l = l.withColumn(
-        "len_r",
-        F.explode(
-            F.sequence(
-                F.ceil(F.col("len_l") * F.col("t") - _EPS).cast("int"),
-                F.floor(F.col("len_l") / F.col("t") + _EPS).cast("int"),
-            )
-        ),
+
+def _keyed(rows: DataFrame, carry: list[str]) -> DataFrame:
+    # the key is a hash: a collision is only one more pair to check
+    segment = F.expr("substring(rest, at, size)")
+    rest = F.expr("concat(substring(rest, 1, at - 1), substring(rest, at + size))")
+    return rows.select(
+        *[c(x) for x in carry], "k", F.xxhash64("key", "i", segment).alias("key"), rest.alias("rest")
+    )
+
+
+def _segment_candidates(
+    left: DataFrame, right: DataFrame, equi: list[str], threshold: float, n_right: int, heavy_rows: int
+) -> DataFrame:
+    """Pairs within the allowed edits, by equality of a segment.
+
+    A segment shared by more than ``heavy_rows`` names (a common first name) is
+    not joined on alone. Where it matches, the rests of both names must again be
+    within the edits, so they are cut in the same way and the key is extended by
+    one of their segments; what is still heavy after three levels is salted.
+    """
+    r = _forms(right, threshold).withColumn("len_r", F.length("s"))
+    r = r.select(
+        *[c(e) for e in equi], F.col("norm").alias("norm_r"), F.col("s").alias("s_r"),
+        (_segments(F.col("len_r"), F.col("t")) - 1).alias("k"),
+        F.xxhash64("kind", "len_r").alias("key"), F.col("s").alias("rest"),
     )
-    l = l.withColumn("n", _segments(F.col("len_r"), F.col("t")))
-    l = l.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n"))))
-    start, size = _cut(F.col("len_r"), F.col("n"), F.col("i"))
-    l = l.withColumn("p", start).withColumn("size", size)
-    shift = F.col("len_l") - F.col("len_r")
-    after = F.col("n") - F.col("i")
-    l = l.withColumn(
-        "lo", F.greatest(F.lit(1), F.col("p") - F.col("i") + 1, F.col("p") + shift - after)
-    ).withColumn(
-        "hi",
-        F.least(
-            F.col("len_l") - F.col("size") + 1,
-            F.col("p") + F.col("i") - 1,
-            F.col("p") + shift + after,
-        ),
+    l = _forms(left, threshold).withColumn("len_l", F.length("s"))
+    lengths = F.sequence(
+        F.ceil(F.col("len_l") * F.col("t") - _EPS).cast("int"),
+        F.floor(F.col("len_l") / F.col("t") + _EPS).cast("int"),
     )
-    l = l.where("lo <= hi").withColumn("at", F.explode(F.sequence("lo", "hi")))
-    l = l.withColumn("seg", F.substring(F.col("s"), F.col("at"), F.col("size"))).select(
-        *[c(k) for k in key], F.col("norm").alias("norm_l"), F.col("s").alias("s_l"), "t"
+    l = l.withColumn("len_r", F.explode(lengths)).select(
+        *[c(e) for e in equi], F.col("norm").alias("norm_l"), F.col("s").alias("s_l"), "t", "len_r",
+        (_segments(F.col("len_r"), F.col("t")) - 1).alias("k"),
+        F.xxhash64("kind", "len_r").alias("key"), F.col("s").alias("rest"),
     )
 
-    # equal segments found at several shifts are one probe
-    l = l.distinct()
     allowed = F.floor((1 - F.col("t")) * F.greatest(F.length("s_l"), F.length("s_r")) + _EPS)
     close = F.levenshtein(F.col("s_l"), F.col("s_r")) <= allowed
-    return salted_join(l, r, key, close).select(*[c(e) for e in equi], "norm_l", "norm_r")
+    keys, out = [*equi, "key"], [*[c(e) for e in equi], "norm_l", "norm_r"]
+    carry_l, carry_r = [*equi, "norm_l", "s_l", "t"], [*equi, "norm_r", "s_r"]
+
+    def joined(a: DataFrame, b: DataFrame) -> DataFrame:
+        return a.drop("k", "rest", "len_r").join(b.drop("k", "rest"), keys)
+
+    pairs = None
+    for _ in range(LEVELS):
+        l, r = _split_probe(l, carry_l), _split_index(r, carry_r)
+        heavy = None
+        if n_right > heavy_rows:
+            heavy = small_side(
+                r.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > heavy_rows).select(*keys)
+            )
+        if heavy is None or heavy.isEmpty():
+            found = joined(l, r).where(close).select(*out)
+            return found if pairs is None else pairs.unionByName(found)
+        light = joined(l, r.join(heavy, keys, "left_anti")).where(close).select(*out)
+        pairs = light if pairs is None else pairs.unionByName(light)
+        l, r = l.join(heavy, keys, "left_semi"), r.join(heavy, keys, "left_semi")
+    rest = salted_join(l.drop("k", "rest", "len_r"), r.drop("k", "rest"), keys, close)
+    return pairs.unionByName(rest.select(*out))
 
 
-def _contained(small: DataFrame, large: DataFrame, equi: list[str]) -> DataFrame:
+def _contained(small: DataFrame, large: DataFrame, equi: list[str], most: int) -> DataFrame:
     """Pairs where every token of ``small`` is among those of ``large``."""
     tokens = F.array_distinct(F.split(F.col("text"), " "))
     inside = large.select(*[c(e) for e in equi], F.col("norm").alias("norm_b"), tokens.alias("tok_b"))
@@ -164,7 +215,7 @@ def _contained(small: DataFrame, large: DataFrame, equi: list[str]) -> DataFrame
         .drop("found")
     )
     fits = F.size(F.array_except("tok_a", "tok_b")) == 0
-    return salted_join(rare, inside, equi + ["tok"], fits).select(
+    return salted_join(rare, inside, equi + ["tok"], fits, most_rows=most).select(
         *[c(e) for e in equi], "norm_a", "norm_b"
     )
 
@@ -176,6 +227,7 @@ def fuzzy_best(
     equi=(),
     left_norm: str = "norm",
     right_norm: str = "norm",
+    heavy_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
     """(equi..., norm_l, norm_r, score): the best right name per left name.
 
@@ -187,11 +239,13 @@ def fuzzy_best(
     equi = list(equi)
     l = cut_lineage(_names(left, equi, left_norm))
     r = cut_lineage(_names(right, equi, right_norm))
-    pairs = _segment_candidates(l, r, equi, threshold)
+    n_l, n_r = l.count(), r.count()
+    # a name has each key at most once, so its side's size bounds the rows of a key
+    pairs = _segment_candidates(l, r, equi, threshold, n_r, heavy_rows)
     if threshold <= CONTAINMENT_SCORE:
         e = [c(x) for x in equi]
-        down = _contained(l, r, equi).select(*e, F.col("norm_a").alias("norm_l"), F.col("norm_b").alias("norm_r"))
-        up = _contained(r, l, equi).select(*e, F.col("norm_b").alias("norm_l"), F.col("norm_a").alias("norm_r"))
+        down = _contained(l, r, equi, n_r).select(*e, F.col("norm_a").alias("norm_l"), F.col("norm_b").alias("norm_r"))
+        up = _contained(r, l, equi, n_l).select(*e, F.col("norm_b").alias("norm_l"), F.col("norm_a").alias("norm_r"))
         pairs = pairs.unionByName(down).unionByName(up)
     score = name_score(match_text(F.col("norm_l")), match_text(F.col("norm_r")))
     return (

@@ -48,8 +48,8 @@ def season_rollup(
     """Sum counts over seasons; text fields are the last ones that are not NULL.
 
     The sum of nothing is 0. One partial/final aggregation: the last value comes
-    from ``max_by`` over (season, order...), and a player is single-season when
-    the first and last season agree, so no distinct count is needed.
+    from ``max_by`` over (season, order...). ``seasons`` lists a player's seasons,
+    which also tells the single-season players and the last season.
     """
     keys = list(keys)
     rank = F.struct(c(season), *[c(o) for o in order])
@@ -57,9 +57,11 @@ def season_rollup(
     for name in last:
         if name in df.columns and name not in keys:
             aggs.append(F.max_by(c(name), F.when(c(name).isNotNull(), rank)).alias(name))
-    aggs.append((F.min(c(season)).eqNullSafe(F.max(c(season)))).alias("single_season"))
-    aggs.append(F.max(c(season)).alias("last_season"))
-    return df.where(c(keys[-1]).isNotNull()).groupBy(*[c(k) for k in keys]).agg(*aggs)
+    aggs.append(F.array_sort(F.collect_set(c(season))).alias("seasons"))
+    out = df.where(c(keys[-1]).isNotNull()).groupBy(*[c(k) for k in keys]).agg(*aggs)
+    return out.withColumns(
+        {"single_season": F.size("seasons") == 1, "last_season": F.array_max("seasons")}
+    )
 
 
 # derived name -> (numerator, denominator terms, scale); built where the inputs exist
@@ -85,12 +87,22 @@ def add_per90(df: DataFrame, stats=PER90_STATS, minutes="Min") -> DataFrame:
     """``<stat>_p90`` for every stat present; NULL at zero minutes."""
     if minutes not in df.columns:
         return df
-    new = {f"{s}_p90": per90(c(s), c(minutes)) for s in stats if s in df.columns}
-    if "AerWon" in df.columns:
-        new["DuelsWon_p90"] = per90(c("AerWon"), c(minutes))
+    m, have = c(minutes), set(df.columns)
+    new = {f"{s}_p90": per90(c(s), m) for s in stats if s in have}
+    if "AerWon" in have:
+        new["DuelsWon_p90"] = per90(c("AerWon"), m)
     return df.withColumns(new) if new else df
 
 
+def league_span(players: DataFrame, league="League") -> DataFrame:
+    """Per league the number of seasons and the latest one, from a roll-up."""
+    return (
+        players.select(c(league), F.explode("seasons").alias("s"))
+        .groupBy(c(league))
+        .agg(F.size(F.collect_set("s")).alias("n_seasons"), F.max("s").alias("latest"))
+    )
+
+
 def career_minutes(
     df: DataFrame,
     season_counts: DataFrame,
@@ -100,9 +112,10 @@ def career_minutes(
 ) -> DataFrame:
     """Minutes over all seasons against ``per_season`` times the league's seasons.
 
-    ``season_counts`` is (league, n_seasons), one row per league.
+    ``season_counts`` is (league, n_seasons), one row per league; pass it through
+    ``small_side`` when it may be broadcast.
     """
-    n = small_side(season_counts.select(c(league), c("n_seasons").alias("_n")))
+    n = season_counts.select(c(league), c("n_seasons").alias("_n"))
     return (
         df.join(n, league)
         .where(F.coalesce(c(minutes), F.lit(0.0)) >= per_season * F.col("_n"))
@@ -132,5 +145,5 @@ def still_active(df: DataFrame, latest: DataFrame, league="League") -> DataFrame
 
     ``latest`` is (league, latest), one row per league.
     """
-    now = small_side(latest.select(c(league), F.col("latest").alias("_latest")))
+    now = latest.select(c(league), F.col("latest").alias("_latest"))
     return df.join(now, league).where(F.col("last_season") == F.col("_latest")).drop("_latest")

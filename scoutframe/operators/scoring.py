@@ -48,61 +48,64 @@ def minmax(df: DataFrame, league: str | None = "League", pos="Pos", overwrite=Fa
     """
     keys = ([league] if league and league in df.columns else []) + [pos]
     df = df.withColumn(pos, primary_position(c(pos))).where(c(pos).isin(*POSITIONS))
+    have = set(df.columns)
     used = {s: [p for p in POSITIONS if s in stats_of(p)] for p in POSITIONS for s in stats_of(p)}
-    present = [s for s in used if s in df.columns]
+    present = [s for s in used if s in have]
     if not present:
         return df
-    filled = {s: F.coalesce(c(s), F.lit(0.0)) for s in present}
+    # generated column lists are written as SQL text: one call each instead of dozens
+    filled = {s: f"coalesce(`{s}`, 0D)" for s in present}
     bounds = df.groupBy(*[c(k) for k in keys]).agg(
-        *[F.min(filled[s]).alias(f"_lo_{s}") for s in present],
-        *[F.max(filled[s]).alias(f"_hi_{s}") for s in present],
+        *[F.expr(f"min({v}) AS `_lo_{s}`") for s, v in filled.items()],
+        *[F.expr(f"max({v}) AS `_hi_{s}`") for s, v in filled.items()],
     )
     joined = df.join(small_side(bounds), keys)
 
-    def norm(s: str) -> Column:
-        lo, hi = c(f"_lo_{s}"), c(f"_hi_{s}")
-        scaled = F.when(hi > lo, (filled[s] - lo) / F.nullif(hi - lo, F.lit(0.0))).otherwise(0.0)
-        return F.when(c(pos).isin(*used[s]), scaled)
+    def norm(s: str) -> str:
+        lo, hi = f"`_lo_{s}`", f"`_hi_{s}`"
+        mine = ", ".join(f"'{p}'" for p in used[s])
+        return (
+            f"CASE WHEN `{pos}` IN ({mine}) THEN "
+            f"CASE WHEN {hi} > {lo} THEN ({filled[s]} - {lo}) / nullif({hi} - {lo}, 0D) ELSE 0D END END"
+        )
 
-    out = [c(x) for x in df.columns]
+    out = [f"`{x}`" for x in df.columns]
     if overwrite:
-        out = [F.coalesce(norm(x), c(x)).alias(x) if x in present else c(x) for x in df.columns]
+        out = [f"coalesce({norm(x)}, `{x}`) AS `{x}`" if x in present else f"`{x}`" for x in df.columns]
     else:
-        out += [norm(s).alias(f"{s}_norm") for s in present]
-    return joined.select(*out)
+        out += [f"{norm(s)} AS `{s}_norm`" for s in present]
+    return joined.selectExpr(*out)
 
 
 def add_scores(df: DataFrame, pos="Pos", suffix="_norm") -> DataFrame:
     """Five pillar scores and their sum, as generated column expressions."""
+    have = set(df.columns)
 
-    def pillar(name: str) -> Column:
-        out = None
+    def pillar(name: str) -> str:
+        cases = []
         for p in POSITIONS:
             rule = next(x for x in pillars_of(p) if x.name == name)
-            total = F.lit(0.0)
-            for stat, w in rule.stats:
-                if f"{stat}{suffix}" in df.columns:
-                    total = total + c(f"{stat}{suffix}") * F.lit(float(w))
-            score = total * F.lit(float(rule.weight))
-            out = F.when(c(pos) == p, score) if out is None else out.when(c(pos) == p, score)
-        return out
+            terms = [f"`{s}{suffix}` * {w}D" for s, w in rule.stats if f"{s}{suffix}" in have]
+            cases.append(f"WHEN '{p}' THEN ({' + '.join(['0D', *terms])}) * {float(rule.weight)}D")
+        return f"CASE `{pos}` {' '.join(cases)} END AS score_{name}"
 
-    scored = df.withColumns({f"score_{n}": pillar(n) for n in PILLARS})
-    total = F.col(f"score_{PILLARS[0]}")
-    for n in PILLARS[1:]:
-        total = total + F.col(f"score_{n}")
-    return scored.withColumn("scout_score", total)
+    scored = df.selectExpr("*", *[pillar(n) for n in PILLARS])
+    return scored.selectExpr("*", " + ".join(f"score_{n}" for n in PILLARS) + " AS scout_score")
 
 
 def scout_scores(df: DataFrame, league: str | None = "League", pos="Pos", overwrite=True) -> DataFrame:
     """Normalise and score; ``overwrite`` leaves the normalised value in the stat column."""
     normed = minmax(df, league, pos, overwrite=False)
     scored = add_scores(normed, pos)
-    stats = [x for x in df.columns if f"{x}_norm" in scored.columns]
     if not overwrite:
         return scored
-    return scored.withColumns({s: F.coalesce(c(f"{s}_norm"), c(s)) for s in stats}).drop(
-        *[f"{s}_norm" for s in stats]
+    kept, stats = scored.columns, {x for x in df.columns if f"{x}_norm" in scored.columns}
+    return scored.selectExpr(
+        *[
+            f"coalesce(`{x}_norm`, `{x}`) AS `{x}`" if x in stats else f"`{x}`"
+            for x in kept
+            if not (x.endswith("_norm") and x[:-5] in stats)
+        ]
     )
 
 

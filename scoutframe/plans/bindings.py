@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.matching import exact_values  # noqa: F401  (re-exported for queries)
 from ..operators.rollup import (
-    add_per90, career_minutes, derive_rates, latest_season, season_rollup, still_active,
+    add_per90, career_minutes, derive_rates, latest_season, league_span, season_rollup, still_active,
 )
 from ..operators.scoring import adjust_team_strength, age_weighted, league_weighted, scout_scores
 from ..operators.standings import attach_rank, league_table
@@ -26,8 +27,15 @@ LEAGUE_FACTOR_OF = {"AFRICA": 1.10, "AMERICA": 1.08, "ASIA": 1.05, "EUROPE": 1.0
 MATCH_RESULT_OF = {"R": "H", "A": "A", "N": "D"}
 
 
+_schemas: dict[str, T.StructType] = {}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A test table; its schema is read from the footer once per path."""
+    path = f"{sf}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 def _n(condition: Column) -> Column:
@@ -92,18 +100,19 @@ def players_dim(spark: SparkSession, sf: str) -> DataFrame:
 LAST = ("Squad", "Pos", "Age", "market_value_eur")
 
 
-def rolled(spark: SparkSession, sf: str, seasons: DataFrame | None = None) -> DataFrame:
-    seasons = cust_season(spark, sf) if seasons is None else seasons
-    return season_rollup(seasons, last=LAST)
+def rolled(spark: SparkSession, sf: str) -> DataFrame:
+    return season_rollup(cust_season(spark, sf), last=LAST)
 
 
 def rated(spark: SparkSession, sf: str) -> DataFrame:
-    """Rolled up, with rates, after the minutes and activity filters."""
-    seasons = cut_lineage(cust_season(spark, sf).drop("c_custkey"))
-    players = derive_rates(rolled(spark, sf, seasons))
-    per_league = seasons.groupBy("League").agg(F.count_distinct("season").alias("n_seasons"))
-    players = career_minutes(players, per_league, per_season=PER_SEASON)
-    return add_per90(still_active(players, latest_season(seasons)))
+    """Rolled up, with rates, after the minutes and activity filters.
+
+    The roll-up is stored; all that follows is narrow work on one row per player.
+    """
+    players = cut_lineage(rolled(spark, sf))
+    span = small_side(league_span(players))
+    players = career_minutes(derive_rates(players), span, per_season=PER_SEASON)
+    return add_per90(still_active(players, span).drop("seasons"))
 
 
 def matches(spark: SparkSession, sf: str) -> DataFrame:
@@ -149,9 +158,8 @@ def standings(spark: SparkSession, sf: str) -> DataFrame:
 
 def current_standings(spark: SparkSession, sf: str) -> DataFrame:
     """Each league's latest season, latest meaning that of its players."""
-    every = standings(spark, sf)
-    latest = small_side(latest_season(every))
-    return every.join(latest, "League").where(F.col("season") == F.col("latest")).drop("latest")
+    every = cut_lineage(standings(spark, sf).select("League", "season", "Squad", "Rk"))
+    return every.join(latest_season(every), "League").where(F.col("season") == F.col("latest")).drop("latest")
 
 
 def with_rank_column(spark: SparkSession, sf: str) -> DataFrame:
@@ -159,7 +167,7 @@ def with_rank_column(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def strength_adjusted(spark: SparkSession, sf: str) -> DataFrame:
-    return adjust_team_strength(cut_lineage(with_rank_column(spark, sf)))
+    return adjust_team_strength(with_rank_column(spark, sf))
 
 
 def scored(spark: SparkSession, sf: str, overwrite: bool = True) -> DataFrame:

@@ -12,7 +12,7 @@ from ..functions import parse, rates, text
 from ..operators import matching, merge, neighbours, ranking, regression, rollup, scoring, serving
 from ..operators import standings as tables
 from ..operators.fuzzy import fuzzy_best
-from ..session import c, cut_lineage, scratch_path
+from ..session import c, cut_lineage, scratch_path, small_side
 from ..sources import files, html, items
 from . import bindings as b
 from .oracles import (
@@ -96,9 +96,9 @@ SELECT ru."League", "Player", "Min" FROM ru
 JOIN (SELECT "League", count(DISTINCT season) AS n FROM cs GROUP BY 1) s ON s."League" = ru."League"
 WHERE coalesce("Min", 0) >= {b.PER_SEASON} * n""", "ru"))
 def minutes_filter(spark, sf):
-    s = b.cust_season(spark, sf)
-    n = s.groupBy("League").agg(F.count_distinct("season").alias("n_seasons"))
-    return rollup.career_minutes(b.rolled(spark, sf, s), n, per_season=b.PER_SEASON).select("League", "Player", "Min")
+    players = cut_lineage(b.rolled(spark, sf))
+    span = small_side(rollup.league_span(players))
+    return rollup.career_minutes(players, span, per_season=b.PER_SEASON).select("League", "Player", "Min")
 
 
 @query("table_minutes_filter", sql('SELECT "League", "Player", season, "Min" FROM cs WHERE "Min" >= 100', "cs"))
@@ -113,7 +113,7 @@ SELECT "League", "Player", single_season FROM ru WHERE EXISTS (
   AND cs.season = (SELECT max(season) FROM cs c2 WHERE c2."League" = ru."League"))""", "ru"))
 def active_latest_semi(spark, sf):
     s = cut_lineage(b.cust_season(spark, sf))
-    return rollup.active_in_latest(b.rolled(spark, sf, s), s).select("League", "Player", "single_season")
+    return rollup.active_in_latest(rollup.season_rollup(s), s).select("League", "Player", "single_season")
 
 
 @query("players_rated", sql(f"""
@@ -689,6 +689,12 @@ def pages_without_table(spark, sf):
     return html.pages_without(b.table(spark, sf, "pages"), "stats_standard")
 
 
+def by_order(spark, sf):
+    """Lines grouped by order on every core: parsing needs far more time per byte than scanning."""
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return b.table(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "page_id").repartition(n, "page_id").groupBy("page_id")
+
+
 def stat_pages(spark, sf) -> DataFrame:
     """One page per order: its lines as a stat table, in a comment for even orders."""
     line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
@@ -708,10 +714,10 @@ def stat_pages(spark, sf) -> DataFrame:
 
     rows = F.array_join(F.transform(F.array_sort(F.collect_list(line)), row), again)
     t = F.concat(F.lit(head), rows, F.lit("</tbody></table>"))
-    page = F.when(F.col("l_orderkey") % 2 == 0, F.concat(F.lit("<html><body><!-- "), t, F.lit(" --></body></html>"))).otherwise(
+    page = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("<html><body><!-- "), t, F.lit(" --></body></html>"))).otherwise(
         F.concat(F.lit("<html><body><div>"), t, F.lit("</div></body></html>"))
     )
-    return b.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(page.alias("html")).withColumnRenamed("l_orderkey", "page_id")
+    return by_order(spark, sf).agg(page.alias("html"))
 
 
 @query("page_stat_table", """
@@ -735,7 +741,7 @@ def squad_pages(spark, sf) -> DataFrame:
 
     rows = F.array_join(F.transform(F.array_sort(F.collect_list(line)), row), "")
     page = F.concat(F.lit('<table class="items"><tr><th>Player</th><th></th><th>Value</th></tr>'), rows, F.lit("</table>"))
-    return b.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("page_id")).agg(page.alias("html"))
+    return by_order(spark, sf).agg(page.alias("html"))
 
 
 @query("page_squad_rows", """

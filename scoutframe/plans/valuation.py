@@ -12,7 +12,7 @@ from ..operators.merge import star_join
 from ..operators.neighbours import similar_players
 from ..operators.regression import undervaluation
 from ..operators.rollup import (
-    add_per90, career_minutes, coerce_numeric, derive_rates, latest_season, season_rollup, still_active,
+    add_per90, career_minutes, coerce_numeric, derive_rates, league_span, season_rollup, still_active,
 )
 from ..operators.scoring import adjust_team_strength, age_weighted, league_weighted, scout_scores
 from ..operators.standings import attach_rank
@@ -38,18 +38,16 @@ def build_dataset(
     if wide is None:
         return None
     wide = coerce_numeric(wide, ("League", "season", *JOIN_KEYS, "Nation", *order))
-    wide = cut_lineage(wide)
-    players = derive_rates(season_rollup(wide, order=order))
-    players = players.withColumn("Pos", primary_position(c("Pos")))
-    seasons = wide.groupBy("League").agg(F.count_distinct("season").alias("n_seasons"))
-    players = career_minutes(players, seasons, per_season=per_season)
-    latest = small_side(latest_season(wide))
-    players = still_active(players, latest).drop("last_season")
+    players = cut_lineage(season_rollup(wide, order=order))
+    span = small_side(league_span(players))
+    players = derive_rates(players).withColumn("Pos", primary_position(c("Pos")))
+    players = career_minutes(players, span, per_season=per_season)
+    players = still_active(players, span).drop("last_season", "seasons")
     if xg is not None:
         players = attach_xg(players, xg)
     players = add_per90(players)
     if standings is not None:
-        standings = standings.join(latest, "League").where(c("season") == c("latest"))
+        standings = standings.join(span.drop("n_seasons"), "League").where(c("season") == c("latest"))
     players = attach_rank(players, standings)
     if values is None:
         return players.withColumn("market_value_eur", F.lit(None).cast("double"))

@@ -7,7 +7,8 @@ and typing cells stay native and need no shuffle.
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
+import re
+from html import unescape
 
 import pyarrow as pa
 
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.parse import to_number
 from ..session import c
 
-_CELL = pa.struct([(n, pa.string()) for n in ("header", "text", "cls", "link")])
+_CELL = pa.struct([(n, pa.string()) for n in ("text", "cls", "link")])
 _ROW = pa.struct([("cls", pa.string()), ("cells", pa.list_(_CELL))])
 _TABLE = pa.struct(
     [
@@ -27,60 +28,68 @@ _TABLE = pa.struct(
 )
 TABLES_TYPE = (
     "array<struct<id:string,cls:string,in_comment:boolean,headers:array<string>,"
-    "rows:array<struct<cls:string,cells:array<struct<header:string,text:string,cls:string,link:string>>>>>>"
+    "rows:array<struct<cls:string,cells:array<struct<text:string,cls:string,link:string>>>>>>"
 )
 
 
-class _Tables(HTMLParser):
-    """Collects tables as grids; a comment that holds a table is read as well."""
+_HIDDEN = re.compile(r"<!--(.*?)-->|<(script|style)\b.*?</\2\s*>", re.S | re.I)
+_TAG = re.compile(
+    r"""<(/?)(table|tr|td|th|a)\b((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.I
+)
+_ATTR = re.compile(r"""([\w-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_ANY_TAG = re.compile(r"<[^>]*>")
+
 
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.direct, self.hidden, self.open = [], [], []
+def _attributes(text: str) -> dict[str, str]:
+    return {k.lower(): unescape(x or y or z) for k, x, y, z in _ATTR.findall(text)} if "=" in text else {}
 
-    def handle_comment(self, data):
-        if "<table" in data:
-            inner = _Tables()
-            inner.feed(data)
-            inner.close()
-            self.hidden += inner.direct + inner.hidden
 
-    def handle_starttag(self, tag, attrs):
-        a = dict(attrs)
+def _tables(source: str) -> list[dict]:
+    """Tables of one markup text in page order, each with its rows and raw cells."""
+    found, open_tables = [], []
+    for m in _TAG.finditer(source):
+        closing, tag = m.group(1), m.group(2).lower()
+        t = open_tables[-1] if open_tables else None
         if tag == "table":
-            t = {"id": a.get("id") or "", "cls": a.get("class") or "", "rows": [], "cell": None}
-            self.direct.append(t)
-            self.open.append(t)
-        elif self.open:
-            t = self.open[-1]
+            if closing:
+                if t:
+                    _close_cell(t, source, m.start())
+                    open_tables.pop()
+                continue
+            a = _attributes(m.group(3))
+            t = {"id": a.get("id", ""), "cls": a.get("class", ""), "rows": [], "cell": None}
+            found.append(t)
+            open_tables.append(t)
+        elif t is None:
+            continue
+        elif tag == "a":
+            cell = t["cell"]
+            if cell is None:
+                continue
+            if not closing and cell["from"] is None:
+                cell["from"] = m.end()
+            elif closing and cell["from"] is not None and cell["link"] is None:
+                cell["link"] = _text(source[cell["from"] : m.start()])
+        else:
+            _close_cell(t, source, m.start())
+            if closing:
+                continue
+            a = _attributes(m.group(3))
             if tag == "tr":
-                t["cell"] = None
-                t["rows"].append({"cls": a.get("class") or "", "cells": []})
-            elif tag in ("td", "th") and t["rows"]:
+                t["rows"].append({"cls": a.get("class", ""), "cells": []})
+            elif t["rows"]:
                 t["cell"] = {
-                    "text": [], "link": None, "in_link": False, "cls": a.get("class") or "",
-                    "across": _span(a.get("colspan")), "down": _span(a.get("rowspan")),
+                    "at": m.end(), "from": None, "link": None, "cls": a.get("class", ""),
+                    "across": _span(a.get("colspan")), "down": _span(a.get("rowspan")), "text": "",
                 }
                 t["rows"][-1]["cells"].append(t["cell"])
-            elif tag == "a" and t["cell"] is not None and t["cell"]["link"] is None:
-                t["cell"]["link"], t["cell"]["in_link"] = [], True
-
-    def handle_endtag(self, tag):
-        if self.open:
-            t = self.open[-1]
-            if tag == "table":
-                self.open.pop()
-            elif tag in ("td", "th", "tr"):
-                t["cell"] = None
-            elif tag == "a" and t["cell"] is not None:
-                t["cell"]["in_link"] = False
-
-    def handle_data(self, data):
-        if self.open and self.open[-1]["cell"] is not None:
-            cell = self.open[-1]["cell"]
-            cell["text"].append(data)
-            if cell["in_link"]:
-                cell["link"].append(data)
+    return found
+
+
+def _close_cell(table: dict, source: str, end: int) -> None:
+    if table["cell"] is not None:
+        table["cell"]["text"] = _text(source[table["cell"]["at"] : end])
+        table["cell"] = None
 
 
 def _span(v) -> int:
@@ -107,8 +116,12 @@ def _grid(rows) -> list[list[dict]]:
     return out
 
 
-def _text(parts) -> str | None:
-    return None if parts is None else " ".join("".join(parts).split())
+def _text(markup: str) -> str:
+    if "<" in markup:
+        markup = _ANY_TAG.sub("", markup)
+    if "&" in markup:
+        markup = unescape(markup)
+    return " ".join(markup.split())
 
 
 def _headers(lines, levels: int) -> list[str]:
@@ -116,7 +129,7 @@ def _headers(lines, levels: int) -> list[str]:
     width = max((len(x) for x in lines), default=0)
     names, seen = [], {}
     for i in range(width):
-        stack = [_text(x[i]["text"]) for x in lines[:levels] if i < len(x)]
+        stack = [x[i]["text"] for x in lines[:levels] if i < len(x)]
         name = next((s for s in reversed(stack) if s), f"Unnamed: {i}")
         k = seen.get(name, 0)
         seen[name] = k + 1
@@ -124,29 +137,21 @@ def _headers(lines, levels: int) -> list[str]:
     return names
 
 
-def _page_tables(html: str, levels: int) -> list[dict]:
+def _page_tables(html: str | None, levels: int) -> list[dict]:
     """Visible tables first, then those in comments, each in page order."""
-    parser = _Tables()
-    parser.feed(html or "")
-    parser.close()
+    if not html or "<table" not in html.lower():
+        return []
+    notes = [m.group(1) for m in _HIDDEN.finditer(html) if m.group(1) and "<table" in m.group(1).lower()]
     out = []
-    for hidden, tables in ((False, parser.direct), (True, parser.hidden)):
-        for t in tables:
+    for hidden, parts in ((False, [_HIDDEN.sub("", html)]), (True, notes)):
+        for t in (t for p in parts for t in _tables(p)):
             rows = [r for r in t["rows"] if r["cells"]]
             lines = _grid(rows)
             names = _headers(lines, levels) if levels else []
             body = [
                 {
                     "cls": row["cls"],
-                    "cells": [
-                        {
-                            "header": names[i] if i < len(names) else None,
-                            "text": _text(x["text"]),
-                            "cls": x["cls"],
-                            "link": _text(x["link"]),
-                        }
-                        for i, x in enumerate(line)
-                    ],
+                    "cells": [{"text": x["text"], "cls": x["cls"], "link": x["link"]} for x in line],
                 }
                 for row, line in zip(rows[levels:], lines[levels:])
             ]
@@ -176,18 +181,23 @@ def first_table(condition) -> Column:
 
 
 def cell(header: str) -> Column:
-    """Text of the first cell under ``header``, NULL when there is none or it is blank."""
-    hit = F.filter("r.cells", lambda x: x["header"] == header)
-    return F.nullif(F.try_element_at(hit, F.lit(1))["text"], F.lit(""))
+    """Text under ``header`` in row ``r`` of table ``t``, NULL when there is none or it is blank."""
+    at = F.nullif(F.array_position("t.headers", header), F.lit(0)).cast("int")
+    return F.nullif(F.try_element_at("r.cells", at)["text"], F.lit(""))
 
 
 def table_cells(pages: DataFrame, page: str = "page_id", html: str = "html", header_levels: int = 2) -> DataFrame:
     """Every cell of every table in long form."""
     t = read_tables(pages, page, html, header_levels).select(c(page), F.posexplode("tables").alias("table_ix", "t"))
-    r = t.select(c(page), "table_ix", F.col("t.id").alias("table_id"), "t.in_comment", F.posexplode("t.rows").alias("row_ix", "r"))
-    return r.select(
-        c(page), "table_ix", "table_id", "in_comment", "row_ix", F.posexplode("r.cells").alias("col_ix", "x")
-    ).select(c(page), "table_ix", "table_id", "in_comment", "row_ix", "col_ix", "x.header", "x.text", "x.link")
+    r = t.select(c(page), "table_ix", "t.id", "t.in_comment", "t.headers", F.posexplode("t.rows").alias("row_ix", "r"))
+    x = r.select(
+        c(page), "table_ix", "id", "in_comment", "headers", "row_ix", F.posexplode("r.cells").alias("col_ix", "x")
+    )
+    header = F.try_element_at("headers", F.col("col_ix") + 1)
+    return x.select(
+        c(page), "table_ix", F.col("id").alias("table_id"), "in_comment", "row_ix", "col_ix",
+        header.alias("header"), "x.text", "x.link",
+    )
 
 
 def stat_table(pages: DataFrame, table_id: str, columns: list[str], page: str = "page_id", html: str = "html", header_levels: int = 2) -> DataFrame:
@@ -195,7 +205,7 @@ def stat_table(pages: DataFrame, table_id: str, columns: list[str], page: str =
     t = read_tables(pages, page, html, header_levels).select(
         c(page), first_table(lambda x: x["id"] == table_id).alias("t")
     )
-    rows = t.select(c(page), F.posexplode("t.rows").alias("row_ix", "r"))
+    rows = t.select(c(page), "t", F.posexplode("t.rows").alias("row_ix", "r"))
     out = rows.select(c(page), "row_ix", cell("Rk").alias("_rk"), *[cell(x).alias(x) for x in columns])
     return out.where(~F.col("_rk").eqNullSafe(F.lit("Rk"))).drop("_rk")
 
@@ -245,7 +255,7 @@ def standings_rows(pages: DataFrame, known_id: str | None = None, page: str = "p
     )
     rows = read_tables(pages, page, html, 1).select(c(page), choice.alias("t"))
     return (
-        rows.select(c(page), F.explode("t.rows").alias("r"))
+        rows.select(c(page), "t", F.explode("t.rows").alias("r"))
         .select(c(page), to_number(cell("Rk")).cast("int").alias("Rk"), cell("Squad").alias("Squad"))
         .where(F.col("Rk").isNotNull())
     )
