@@ -26,13 +26,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import match_text, sorted_tokens
-from ..session import c, cut_lineage, salted_join, small_side
+from ..session import c, cut_lineage, salted_join, small_side, spread
 
 TOKEN_SORT_WEIGHT = 0.95
 CONTAINMENT_SCORE = 90.0
 LOWEST_THRESHOLD = 67.0  # below this K + 1 segments may not fit into a short text
 HEAVY_ROWS = 1_000
 LEVELS = 3
+BAND_ROWS = 10_000
 _EPS = 1e-9
 
 
@@ -156,13 +157,13 @@ def _segment_candidates(
     within the edits, so they are cut in the same way and the key is extended by
     one of their segments; what is still heavy after three levels is salted.
     """
-    r = _forms(right, threshold).withColumn("len_r", F.length("s"))
+    r = _forms(spread(right, "norm"), threshold).withColumn("len_r", F.length("s"))
     r = r.select(
         *[c(e) for e in equi], F.col("norm").alias("norm_r"), F.col("s").alias("s_r"),
         (_segments(F.col("len_r"), F.col("t")) - 1).alias("k"),
         F.xxhash64("kind", "len_r").alias("key"), F.col("s").alias("rest"),
     )
-    l = _forms(left, threshold).withColumn("len_l", F.length("s"))
+    l = _forms(spread(left, "norm"), threshold).withColumn("len_l", F.length("s"))
     lengths = F.sequence(
         F.ceil(F.col("len_l") * F.col("t") - _EPS).cast("int"),
         F.floor(F.col("len_l") / F.col("t") + _EPS).cast("int"),
@@ -174,7 +175,7 @@ def _segment_candidates(
     )
 
     allowed = F.floor((1 - F.col("t")) * F.greatest(F.length("s_l"), F.length("s_r")) + _EPS)
-    close = F.levenshtein(F.col("s_l"), F.col("s_r")) <= allowed
+    close = F.call_function("levenshtein", F.col("s_l"), F.col("s_r"), allowed.cast("int")) >= 0
     keys, out = [*equi, "key"], [*[c(e) for e in equi], "norm_l", "norm_r"]
     carry_l, carry_r = [*equi, "norm_l", "s_l", "t"], [*equi, "norm_r", "s_r"]
 
@@ -220,6 +221,28 @@ def _contained(small: DataFrame, large: DataFrame, equi: list[str], most: int) -
     )
 
 
+def _best_pairs(
+    l: DataFrame, r: DataFrame, equi: list[str], threshold: float, n_l: int, n_r: int,
+    heavy_rows: int, contained: bool,
+) -> DataFrame:
+    # a name has each key at most once, so its side's size bounds the rows of a key
+    pairs = _segment_candidates(l, r, equi, threshold, n_r, heavy_rows)
+    e = [c(x) for x in equi]
+    if contained:
+        down = _contained(l, r, equi, n_r).select(*e, F.col("norm_a").alias("norm_l"), F.col("norm_b").alias("norm_r"))
+        up = _contained(r, l, equi, n_l).select(*e, F.col("norm_b").alias("norm_l"), F.col("norm_a").alias("norm_r"))
+        pairs = pairs.unionByName(down).unionByName(up)
+    score = name_score(match_text(F.col("norm_l")), match_text(F.col("norm_r")))
+    return (
+        pairs.distinct()
+        .withColumn("score", score)
+        .where(F.col("score") >= threshold)
+        .groupBy(*e, "norm_l")
+        .agg(F.min_by(F.struct("norm_r", "score"), F.struct(-F.col("score"), "norm_r")).alias("b"))
+        .select(*e, "norm_l", "b.norm_r", "b.score")
+    )
+
+
 def fuzzy_best(
     left: DataFrame,
     right: DataFrame,
@@ -228,11 +251,14 @@ def fuzzy_best(
     left_norm: str = "norm",
     right_norm: str = "norm",
     heavy_rows: int = HEAVY_ROWS,
+    band_rows: int = BAND_ROWS,
 ) -> DataFrame:
     """(equi..., norm_l, norm_r, score): the best right name per left name.
 
     Only left names whose best score reaches ``threshold`` appear. Equal scores
-    go to the alphabetically first right name.
+    go to the alphabetically first right name. With more than ``band_rows`` left
+    names those with a match of 90 or more are settled first, by few and long
+    segments; nothing below can beat such a match, so only the others go on.
     """
     if not LOWEST_THRESHOLD <= threshold <= 100:
         raise ValueError(f"threshold must lie in {LOWEST_THRESHOLD}..100")
@@ -240,19 +266,10 @@ def fuzzy_best(
     l = cut_lineage(_names(left, equi, left_norm))
     r = cut_lineage(_names(right, equi, right_norm))
     n_l, n_r = l.count(), r.count()
-    # a name has each key at most once, so its side's size bounds the rows of a key
-    pairs = _segment_candidates(l, r, equi, threshold, n_r, heavy_rows)
-    if threshold <= CONTAINMENT_SCORE:
-        e = [c(x) for x in equi]
-        down = _contained(l, r, equi, n_r).select(*e, F.col("norm_a").alias("norm_l"), F.col("norm_b").alias("norm_r"))
-        up = _contained(r, l, equi, n_l).select(*e, F.col("norm_b").alias("norm_l"), F.col("norm_a").alias("norm_r"))
-        pairs = pairs.unionByName(down).unionByName(up)
-    score = name_score(match_text(F.col("norm_l")), match_text(F.col("norm_r")))
-    return (
-        pairs.distinct()
-        .withColumn("score", score)
-        .where(F.col("score") >= threshold)
-        .groupBy(*[c(x) for x in equi], "norm_l")
-        .agg(F.min_by(F.struct("norm_r", "score"), F.struct(-F.col("score"), "norm_r")).alias("b"))
-        .select(*[c(x) for x in equi], "norm_l", "b.norm_r", "b.score")
-    )
+    nested = threshold <= CONTAINMENT_SCORE
+    if n_l <= band_rows or threshold >= CONTAINMENT_SCORE:
+        return _best_pairs(l, r, equi, threshold, n_l, n_r, heavy_rows, nested)
+    high = cut_lineage(_best_pairs(l, r, equi, CONTAINMENT_SCORE, n_l, n_r, heavy_rows, True))
+    done = high.select(*[c(x) for x in equi], F.col("norm_l").alias("norm"))
+    rest = l.join(done, [*equi, "norm"], "left_anti")
+    return high.unionByName(_best_pairs(rest, r, equi, threshold, n_l, n_r, heavy_rows, False))

@@ -12,7 +12,7 @@ from ..functions import parse, rates, text
 from ..operators import matching, merge, neighbours, ranking, regression, rollup, scoring, serving
 from ..operators import standings as tables
 from ..operators.fuzzy import fuzzy_best
-from ..session import c, cut_lineage, scratch_path, small_side
+from ..session import c, cut_lineage, scratch_path, small_side, spread
 from ..sources import files, html, items
 from . import bindings as b
 from .oracles import (
@@ -691,8 +691,8 @@ def pages_without_table(spark, sf):
 
 def by_order(spark, sf):
     """Lines grouped by order on every core: parsing needs far more time per byte than scanning."""
-    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return b.table(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "page_id").repartition(n, "page_id").groupBy("page_id")
+    lines = b.table(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "page_id")
+    return spread(lines, "page_id").groupBy("page_id")
 
 
 def stat_pages(spark, sf) -> DataFrame:

@@ -72,6 +72,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition over every core: for small rows that fan out into much work.
+
+    An explicit partition count is left alone by adaptive coalescing, which
+    judges by bytes and would put such rows into a few tasks.
+    """
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *[c(k) for k in keys])
+
+
 def small_side(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> DataFrame:
     """Broadcast an aggregate, but only after its size has been checked.
 

@@ -44,15 +44,17 @@ def names(rng, n, firsts):
     return sorted(made)
 
 
-@pytest.mark.parametrize("threshold,heavy", [(80, 1000), (70, 1000), (80, 3), (70, 5), (92, 4)])
-def test_same_as_all_pairs(spark, threshold, heavy):
-    """Also with a tiny bound for heavy segments, so that every refinement level is used."""
+@pytest.mark.parametrize(
+    "threshold,heavy,band", [(80, 1000, 1000), (70, 1000, 10), (80, 3, 1000), (70, 5, 10), (92, 4, 10)]
+)
+def test_same_as_all_pairs(spark, threshold, heavy, band):
+    """Also with tiny bounds, so that every refinement level and both bands are used."""
     rng = random.Random(threshold + heavy)
     firsts = ["maria", "mari", "joao", "de", ""]
     left, right = names(rng, 90, firsts), names(rng, 90, firsts)
     l = spark.createDataFrame([(x.strip(),) for x in left if x.strip()], "norm string")
     r = spark.createDataFrame([(x.strip(),) for x in right if x.strip()], "norm string")
-    got = {x["norm_l"]: (x["norm_r"], x["score"]) for x in fuzzy_best(l, r, threshold, heavy_rows=heavy).collect()}
+    got = {x["norm_l"]: (x["norm_r"], x["score"]) for x in fuzzy_best(l, r, threshold, heavy_rows=heavy, band_rows=band).collect()}
     want = brute([x.strip() for x in left if x.strip()], sorted({x.strip() for x in right if x.strip()}), threshold)
     assert got == want and len(want) > 4
 
