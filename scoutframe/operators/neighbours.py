@@ -24,7 +24,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import NEIGHBOURS, PILLARS, POSITIONS
-from ..session import c, cut_lineage, small_side
+from ..session import c, cut_lineage, ships_with_tasks, small_side
+
+ships_with_tasks(__name__)
 
 LEAF_ROWS = 1024
 MAX_LEAVES = 8192
@@ -185,7 +187,7 @@ def nearest_keys(
     for p in sizes:
         part = _matrix(sample[sample["pos"] == p], axes) if p in picks else np.empty((0, len(axes)))
         trees[p] = grow_tree(part, len(axes), leaves[p])
-    shared = df.sparkSession.sparkContext.broadcast(trees)
+    shared = df.sparkSession.sparkContext.broadcast({p: vars(t) for p, t in trees.items()})
 
     axis_type = ", ".join(f"{a} double" for a in axes)
 
@@ -193,7 +195,7 @@ def nearest_keys(
         for pdf in batches:
             pdf["leaf"] = 0
             for p, part in pdf.groupby("pos"):
-                pdf.loc[part.index, "leaf"] = shared.value[p].locate(_matrix(part, axes))
+                pdf.loc[part.index, "leaf"] = Tree(**shared.value[p]).locate(_matrix(part, axes))
             yield pdf
 
     placed = points.select("pos", "dir", *axes).mapInPandas(
@@ -225,7 +227,7 @@ def nearest_keys(
             for p, part in pdf.groupby("pos"):
                 x = _matrix(part, axes)
                 worst = np.array([v[-1] if len(v) >= want else -1.0 for v in part["sims"]])
-                r, leaf = shared.value[p].reach(x, np.maximum(2 - 2 * worst, 0) + _SLACK)
+                r, leaf = Tree(**shared.value[p]).reach(x, np.maximum(2 - 2 * worst, 0) + _SLACK)
                 away = leaf != part["leaf"].to_numpy()[r]
                 got = part.iloc[r[away]][["pos", "dir", *axes]].copy()
                 got["leaf"] = leaf[away]

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +38,11 @@ def build_session(app: str = "scoutframe", master: str | None = None, **conf: st
     return b.getOrCreate()
 
 
+def ships_with_tasks(module: str) -> None:
+    """Send a module's functions to the workers by value, so they need not have the package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 def c(name: str) -> Column:
     """Column by its literal name (names such as ``Save%`` or ``Cmp%.1`` stay whole)."""
     return F.col("`" + name.replace("`", "``") + "`")

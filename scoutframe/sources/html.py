@@ -16,7 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.parse import to_number
-from ..session import c
+from ..session import c, ships_with_tasks
+
+ships_with_tasks(__name__)
 
 _CELL = pa.struct([(n, pa.string()) for n in ("text", "cls", "link")])
 _ROW = pa.struct([("cls", pa.string()), ("cells", pa.list_(_CELL))])
