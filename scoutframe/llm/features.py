@@ -29,7 +29,11 @@ def buckets(hashes: np.ndarray, bits: int) -> np.ndarray:
 
 
 def word_ngrams(docs: list[bytes], bits: int, order: int):
-    """(bucket, document) of every run of one to ``order`` tokens inside a document; case is kept."""
+    """(bucket, document) of every run of one to ``order`` tokens inside a document; case is kept.
+
+    A token that repeats the one before, or the one before that, also counts as a run of its own kind, whatever
+    the token is.
+    """
     h, doc, _, _ = tokens(docs, False)
     out_b, out_d, run = [buckets(h, bits)], [doc], h
     for n in range(2, order + 1):
@@ -40,6 +44,10 @@ def word_ngrams(docs: list[bytes], bits: int, order: int):
         same = doc[:m] == doc[n - 1 :]
         out_b.append(buckets(run[same], bits))
         out_d.append(doc[:m][same])
+    for gap in (1, 2):
+        again = doc[:-gap][(h[gap:] == h[:-gap]) & (doc[gap:] == doc[:-gap])]
+        out_b.append(np.full(len(again), gap))
+        out_d.append(again)
     return np.concatenate(out_b), np.concatenate(out_d)
 
 

@@ -31,15 +31,16 @@ def noisy_or(p: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
 
 def fit_toxicity(
     docs: DataFrame, labels: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text",
-    label: str = "toxic", bits: int = 18, most: int = 4000, epochs: int = 60, rate: float = 0.3,
-    l1: float = 2e-5, start: float = -6.0,
+    label: str = "toxic", bits: int = 18, most: int = 12_000, epochs: int = 250, rate: float = 1.0,
+    l1: float = 4e-5, start: float = -6.0, least_docs: int = 4,
 ) -> ToxicModel:
     """Fit on at most ``most`` labelled rows where ``train`` (a condition on ``labels``) holds.
 
     A sentence's score is the logistic of the summed weights of its words; noisy-or makes the document's score,
     and the gradient of the document's log loss is passed down to the sentences.  Executors turn the whole
     texts into word buckets; the updates (adaptive gradient steps, then shrinking by ``l1``) run on the driver
-    over these, whose number ``most`` bounds.  Without rows every score is close to 0.
+    over these, whose number ``most`` bounds.  Words of fewer than ``least_docs`` of these rows get no weight.
+    Without rows every score is close to 0.
     """
     chosen = F.broadcast(sampled(labels, doc_id, label, train, most))
     rows = pick(docs, doc_id=doc_id, text=text).join(chosen, "doc_id")
@@ -72,9 +73,12 @@ def fit_toxicity(
         y.append(r["label"])
     weights, bias = np.zeros(1 << bits), start
     if made:
-        sentence, word = np.concatenate(sentences), np.concatenate(words)
-        used, word = np.unique(word, return_inverse=True)
+        sentence, word = np.concatenate(sentences).astype(np.int32), np.concatenate(words)
         owner, y = np.concatenate(owner), np.array(y, np.float64)
+        seen_in = np.unique((owner[sentence] << bits) | word) & ((1 << bits) - 1)
+        common = (np.bincount(seen_in, minlength=1 << bits) >= least_docs)[word]
+        sentence = sentence[common]
+        used, word = np.unique(word[common], return_inverse=True)
         w, seen, seen_bias = np.zeros(len(used)), np.full(len(used), 1e-6), 1e-6
         for _ in range(epochs):
             p = _sigmoid(np.bincount(sentence, w[word], minlength=made) + bias)
