@@ -18,51 +18,53 @@ MAGIC = b"RPR1"
 HEADER = "<4sIQQQQ"  # magic, first nonterminal, documents, rules, symbols, tokens
 
 
-def frequent_pairs(seq: np.ndarray, ends: np.ndarray, most: int, least: int) -> np.ndarray:
-    """The up to ``most`` pairs with ``least`` or more places, the most frequent first; none spans documents."""
-    keys = ((seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:])[~ends[:-1]]
-    slot = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-    heavy = np.bincount(slot, minlength=1 << 20)
-    # the most frequent pairs lie in the fullest slots; counts are then taken exactly
-    floor = max(least, int(np.partition(heavy, -2 * most)[-2 * most]))
-    pairs, counts = np.unique(keys[heavy[slot] >= floor], return_counts=True)
-    keep = counts >= least
-    pairs, counts = pairs[keep], counts[keep]
-    return pairs[np.lexsort((pairs, -counts))[:most]]
+SLOT_BITS = 19
 
 
 def compress(seq: np.ndarray, ends: np.ndarray, rounds: int, most: int, least: int):
-    """(symbols, rules, first nonterminal): each round replaces frequent pairs by new nonterminals."""
+    """(symbols, rules, first nonterminal): each round replaces frequent pairs by new nonterminals.
+
+    Pairs are dealt to hash slots; each slot stands for one of its pairs, which is counted exactly, and the others
+    have their turn in a later round.  A round takes the up to ``most`` pairs with the highest counts of ``least``
+    or more.  No pair spans two documents.
+    """
     first = int(seq.max()) + 1 if len(seq) else 0
     rules: list[np.ndarray] = []
     size = 0
     for _ in range(rounds):
         if len(seq) < 2:
             break
-        pairs = frequent_pairs(seq, ends, most, least)
-        if not len(pairs):
-            break
-        order = np.sort(pairs)
         keys = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        starts = np.zeros(first + size + 1, bool)
-        starts[(order >> np.uint64(32)).astype(np.int64)] = True
-        at = np.flatnonzero(starts[seq[:-1]] & ~ends[:-1])
-        i = np.minimum(np.searchsorted(order, keys[at]), len(order) - 1)
-        hit = order[i] == keys[at]
-        at, i = at[hit], i[hit]
+        slot = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        slot[ends[:-1]] = 1 << SLOT_BITS
+        stands = np.zeros((1 << SLOT_BITS) + 1, np.uint64)
+        stands[slot] = keys
+        own = stands[slot] == keys
+        counts = np.bincount(slot[own], minlength=(1 << SLOT_BITS) + 1)
+        counts[-1] = 0
+        chosen = np.flatnonzero(counts >= least)
+        chosen = chosen[np.lexsort((stands[chosen], -counts[chosen]))[:most]]
+        if not len(chosen):
+            break
+        rule_of = np.full((1 << SLOT_BITS) + 1, -1, np.int32)
+        rule_of[chosen] = np.arange(len(chosen))
+        i = rule_of[slot]
+        at = np.flatnonzero((i >= 0) & own)
+        i = i[at]
         # of overlapping places every other one is replaced, from the left
         run = np.concatenate(([True], np.diff(at) != 1))
         index = np.arange(len(at))
         take = (index - index[run][np.cumsum(run) - 1]) % 2 == 0
         at, i = at[take], i[take]
-        rules.append(np.stack(((order >> np.uint64(32)), order & np.uint64(0xFFFFFFFF)), 1).astype(np.uint32))
+        pairs = stands[chosen]
+        rules.append(np.stack((pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)), 1).astype(np.uint32))
         seq = seq.copy()
         seq[at] = (first + size + i).astype(np.uint32)
         ends = ends.copy()
         ends[at] = ends[at + 1]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        seq, ends, size = seq[keep], ends[keep], size + len(order)
+        seq, ends, size = seq[keep], ends[keep], size + len(chosen)
     return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), first
 
 
@@ -161,9 +163,9 @@ def write_tokens(
     doc_id: str = "doc_id",
     text: str = "text",
     end_id: int = 1,
-    block_tokens: int = 1 << 22,
-    rounds: int = 3,
-    pairs_per_round: int = 1024,
+    block_tokens: int = 1 << 21,
+    rounds: int = 2,
+    pairs_per_round: int = 2048,
     least: int = 8,
 ) -> None:
     """Write every document's ids and ``end_id`` in ascending order of doc_id, as blocks in a Parquet folder.
