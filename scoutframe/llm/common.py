@@ -64,6 +64,12 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Distinct values, ascending, by sorting."""
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
 def _tables():
     powers = np.full(SLICE * 2, BASE, np.uint64)
     inverse = np.full(SLICE * 2, pow(BASE, -1, 2**64), np.uint64)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scoutframe.llm.common import (
-    NO_ID, SLICE, hash_tables, mix, prefix_sums, run_hashes, text_bytes, word_units,
+    NO_ID, SLICE, distinct, hash_tables, mix, prefix_sums, run_hashes, text_bytes, word_units,
 )
 
 BUCKET_BITS, KEY_BYTES = 24, 5
@@ -115,20 +115,34 @@ def _chunk(table: pa.Table, spec: Windows) -> Chunk:
     return Chunk(table, docs, ranks, np.frombuffer(b"".join(docs), np.uint8), bounds)
 
 
-def _keys(c: Chunk, spec: Windows, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The chunk's distinct keys, ascending, and which of them two of its ids share."""
-    keys, ranks = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for _, doc, _, key in _scan(c, spec):
-        rank = c.ranks[doc]
-        at = _runs(key, rank)
-        keys.append(_code(key[at], buckets))
-        ranks.append(rank[at])
-    key, rank = np.concatenate(keys), np.concatenate(ranks)
-    order = np.lexsort((rank, key))
-    key, rank = key[order], rank[order]
-    at = _runs(key)
-    last = np.concatenate((at[1:], [len(key)])) - 1 if len(at) else at
-    return key[at], rank[at] != rank[last]
+@dataclass
+class _Keys:
+    """Runs of neighbouring windows [start, end) with one key, and the chunk's distinct keys, ascending."""
+
+    start: np.ndarray
+    end: np.ndarray
+    doc: np.ndarray
+    which: np.ndarray  # the key of each run, as a place in ``codes``
+    codes: np.ndarray
+    local: np.ndarray  # which keys two of the chunk's ids share
+
+
+def _keys(c: Chunk, spec: Windows, buckets: int) -> _Keys:
+    none = np.zeros(0, np.int64)
+    parts = [(none, none, none, none.astype(np.uint64))]
+    for start, doc, _, key in _scan(c, spec):
+        at = _runs(key, doc)
+        if len(at):
+            last = np.concatenate((at[1:], [len(key)])) - 1
+            parts.append((start[at], start[last] + 1, doc[at], _code(key[at], buckets)))
+    start, end, doc, code = (np.concatenate(x) for x in zip(*parts, strict=True))
+    rank = c.ranks[doc]
+    order = np.lexsort((rank, code))
+    at = _runs(code[order])
+    which = np.empty(len(code), np.int64)
+    which[order] = np.repeat(np.arange(len(at)), np.diff(np.concatenate((at, [len(code)]))))
+    last = np.concatenate((at[1:], [len(code)])) - 1 if len(at) else at
+    return _Keys(start, end, doc, which, code[order[at]], rank[order[at]] != rank[order[last]])
 
 
 def _blobs(chunk: int, values: np.ndarray, bucket_of: np.ndarray, pack: Callable) -> pa.Table:
@@ -203,21 +217,24 @@ def _bits(marks: pa.Table, kind: int, buckets_of: np.ndarray) -> np.ndarray:
     return out
 
 
-def _candidates(c: Chunk, spec: Windows, codes: np.ndarray, wanted: np.ndarray, buckets: int):
-    """(start, document, hash) of the windows whose key is wanted."""
-    inverse, out = hash_tables()[1], [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))]
-    base = 0
-    for start, doc, sums, key in _scan(c, spec):
-        at = _runs(key)
-        if len(at):
-            hit = np.repeat(
-                wanted[np.searchsorted(codes, _code(key[at], buckets))], np.diff(np.concatenate((at, [len(key)])))
-            )
-            s = start[hit]
-            i = s - base
-            out.append((s, doc[hit], mix((sums[i + spec.length] - sums[i]) * inverse[i])))
-        base += SLICE
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+def _windows(c: Chunk, spec: Windows, keys: _Keys, wanted: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(start, document, hash, key) of the windows whose key is wanted."""
+    run = np.flatnonzero(wanted[keys.which])
+    sizes = keys.end[run] - keys.start[run]
+    inside = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    starts = np.repeat(keys.start[run], sizes) + inside
+    hashes = np.empty(len(starts), np.uint64)
+    _, inverse, codes = hash_tables()
+    a = i = 0
+    while i < len(starts):
+        a = int(starts[i])
+        j = int(np.searchsorted(starts, a + SLICE))
+        part = c.units[a : int(starts[j - 1]) + spec.length]
+        sums = prefix_sums(codes[part] if spec.unit == "byte" else part)
+        at = starts[i:j] - a
+        hashes[i:j] = mix((sums[at + spec.length] - sums[at]) * inverse[at])
+        i = j
+    return starts, np.repeat(keys.doc[run], sizes), hashes, np.repeat(keys.which[run], sizes)
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -226,16 +243,16 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
 
 def _with_marks(table: pa.Table, marks: pa.Table, spec: Windows, buckets: int, final: bool) -> Chunk | np.ndarray:
     c = _chunk(table, spec)
-    codes, local = _keys(c, spec, buckets)
-    shared = _bits(marks, 0, codes >> np.uint64(8 * KEY_BYTES))
+    keys = _keys(c, spec, buckets)
+    shared = _bits(marks, 0, keys.codes >> np.uint64(8 * KEY_BYTES))
     if not final:
-        return np.unique(_candidates(c, spec, codes, shared, buckets)[2])
-    c.starts, c.owner, c.hashes = _candidates(c, spec, codes, shared | local, buckets)
-    sent = np.unique(_candidates(c, spec, codes, shared, buckets)[2])
-    flags = _bits(marks, 1, _bucket(sent, buckets))
+        return distinct(_windows(c, spec, keys, shared)[2])
+    c.starts, c.owner, c.hashes, which = _windows(c, spec, keys, shared | keys.local)
     # only windows with a shared key were sent; for the others the answer is no
-    i = np.minimum(np.searchsorted(sent, c.hashes), max(len(sent) - 1, 0))
-    c.earlier = (sent[i] == c.hashes) & flags[i] if len(sent) else np.zeros(len(c.hashes), bool)
+    sent = np.flatnonzero(shared[which])
+    values, place = np.unique(c.hashes[sent], return_inverse=True)
+    c.earlier = np.zeros(len(c.starts), bool)
+    c.earlier[sent] = _bits(marks, 1, _bucket(values, buckets))[place]
     return c
 
 
@@ -267,7 +284,7 @@ def repeated(
     chunked, _, buckets = by_chunk(docs, spec)
 
     def send_keys(table: pa.Table) -> pa.Table:
-        codes, _ = _keys(_chunk(table, spec), spec, buckets)
+        codes = _keys(_chunk(table, spec), spec, buckets).codes
         chunk = table["chunk"][0].as_py()
         return _blobs(chunk, codes, codes >> np.uint64(8 * KEY_BYTES), _pack_keys)
 
@@ -296,7 +313,5 @@ def repeated(
 
 def covered(c: Chunk, starts: np.ndarray, length: int | np.ndarray) -> np.ndarray:
     """Which units lie in one of the runs of ``length`` units at ``starts``."""
-    steps = np.zeros(len(c.units) + 1, np.int64)
-    np.add.at(steps, starts, 1)
-    np.add.at(steps, starts + length, -1)
-    return np.cumsum(steps[:-1]) > 0
+    n = len(c.units) + 1
+    return np.cumsum((np.bincount(starts, minlength=n) - np.bincount(starts + length, minlength=n))[:-1]) > 0

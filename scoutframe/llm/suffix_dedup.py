@@ -69,9 +69,15 @@ def window_classes(passages: list[np.ndarray], depth: int) -> list[np.ndarray]:
 def _settled(c: Chunk, length: int) -> np.ndarray:
     """Starts of the windows that a smaller doc_id also holds."""
     open_ = np.flatnonzero(~c.earlier)
+    # windows whose hash no other id of the chunk has cannot be repeated
+    _, first, place = np.unique(c.hashes[open_], return_index=True, return_inverse=True)
+    ranks = c.ranks[c.owner[open_]]
+    again = np.zeros(len(first), bool)
+    again[place[ranks > ranks[first][place]]] = True
+    open_ = open_[again[place]]
     starts, owner = c.starts[open_], c.owner[open_]
     if not len(starts):
-        return c.starts
+        return c.starts[c.earlier]
     cut = np.flatnonzero((np.diff(starts) != 1) | (np.diff(owner) != 0)) + 1
     firsts, lasts = starts[np.concatenate(([0], cut))], starts[np.concatenate((cut - 1, [len(starts) - 1]))]
     passages = [c.units[a : b + length] for a, b in zip(firsts.tolist(), lasts.tolist(), strict=True)]
@@ -94,7 +100,7 @@ def suffix_dedup(
     count against each other, so a repeated row is as whole as the first.  Other columns are ignored; an empty
     table gives an empty table.
     """
-    spec = Windows("byte", length, min(20, length), chunk_bytes)
+    spec = Windows("byte", length, length // 2 + 1, chunk_bytes)
 
     def finish(c: Chunk) -> pa.Table:
         gone = covered(c, _settled(c, length), length)

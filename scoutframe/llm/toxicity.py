@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoutframe.llm.common import pick
+from scoutframe.llm.common import distinct, pick
 from scoutframe.llm.features import in_slabs, sentence_words
 from scoutframe.llm.quality import sampled
 
@@ -52,7 +52,7 @@ def fit_toxicity(
             texts = [(x or "").encode() for x in t["text"]]
             for a, b in in_slabs(texts):
                 bucket, sentence, doc, _ = sentence_words(texts[a:b], bits)
-                keys = np.unique((sentence << bits) | bucket)
+                keys = distinct((sentence << bits) | bucket)
                 s, w = keys >> bits, (keys & ((1 << bits) - 1)).astype(np.int32)
                 edges = np.searchsorted(doc[s] if len(s) else s, np.arange(b - a + 1))
                 yield pd.DataFrame({
@@ -75,7 +75,7 @@ def fit_toxicity(
     if made:
         sentence, word = np.concatenate(sentences).astype(np.int32), np.concatenate(words)
         owner, y = np.concatenate(owner), np.array(y, np.float64)
-        seen_in = np.unique((owner[sentence] << bits) | word) & ((1 << bits) - 1)
+        seen_in = distinct((owner[sentence] << bits) | word) & ((1 << bits) - 1)
         common = (np.bincount(seen_in, minlength=1 << bits) >= least_docs)[word]
         sentence = sentence[common]
         used, word = np.unique(word[common], return_inverse=True)
@@ -120,7 +120,7 @@ def score_toxicity(
         for a, b in in_slabs(docs_):
             bucket, sentence, doc, start = sentence_words(docs_[a:b], bits)
             # a word counts once in a sentence
-            keys = np.unique((sentence << bits) | bucket)
+            keys = distinct((sentence << bits) | bucket)
             total = np.bincount(keys >> bits, weights[keys & ((1 << bits) - 1)], minlength=len(doc))
             p = _sigmoid(total + bias)
             out.append(noisy_or(p, doc, b - a))
