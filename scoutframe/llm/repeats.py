@@ -103,8 +103,10 @@ def _code(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _chunk(table: pa.Table, spec: Windows) -> Chunk:
-    ids = table["doc_id"].to_numpy()
-    docs = text_bytes(table["text"])
+    import zstandard
+
+    ids, expand = table["doc_id"].to_numpy(), zstandard.ZstdDecompressor().decompress
+    docs = [expand(t) for t in table["text"].to_pylist()]
     order = sorted(range(len(ids)), key=lambda i: (ids[i], docs[i]))
     table, docs = table.take(pa.array(order, pa.int64())), [docs[i] for i in order]
     ranks = np.unique(ids[order], return_inverse=True)[1]
@@ -256,8 +258,11 @@ def _with_marks(table: pa.Table, marks: pa.Table, spec: Windows, buckets: int, f
     return c
 
 
-def by_chunk(docs: DataFrame, spec: Windows) -> tuple[DataFrame, int, int]:
-    """``docs`` with a chunk column, the number of chunks, and that of buckets."""
+def by_chunk(docs: DataFrame, spec: Windows) -> tuple[DataFrame, int]:
+    """``docs`` with its text compressed and a chunk column, and the number of buckets.
+
+    A chunk is a range of doc_id with about ``chunk_bytes`` of text; the cuts are eight bytes a chunk.
+    """
     spark = docs.sparkSession
     known = docs.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
     least = min(int(spark.conf.get("spark.sql.shuffle.partitions")), known[1])
@@ -267,13 +272,22 @@ def by_chunk(docs: DataFrame, spec: Windows) -> tuple[DataFrame, int, int]:
         shares = [i / chunks for i in range(1, chunks)]
         cuts = np.unique(docs.agg(F.percentile_approx("doc_id", shares, 20 * chunks)).first()[0])
 
-    @F.pandas_udf("long")
-    def chunk_of(ids):
-        import pandas as pd
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
 
-        return pd.Series(np.searchsorted(cuts, ids.to_numpy(), "right"))
+        squeeze = zstandard.ZstdCompressor(level=3, write_checksum=False).compress
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy()
+            columns = [
+                pa.array([squeeze(t) for t in text_bytes(batch.column(name))], pa.binary()) if name == "text"
+                else batch.column(name)
+                for name in batch.schema.names
+            ]
+            columns.append(pa.array(np.searchsorted(cuts, ids, "right"), pa.int64()))
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "chunk"])
 
-    return docs.withColumn("chunk", chunk_of("doc_id")), chunks, max(1, least, chunks // 4)
+    fields = [f if f.name != "text" else T.StructField("text", T.BinaryType()) for f in docs.schema.fields]
+    return docs.mapInArrow(run, T.StructType([*fields, T.StructField("chunk", T.LongType())])), chunks
 
 
 def repeated(
@@ -281,7 +295,7 @@ def repeated(
 ) -> DataFrame:
     """``finish`` of every chunk of ``docs`` (doc_id long, text string, others are carried along)."""
     docs = docs.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    chunked, _, buckets = by_chunk(docs, spec)
+    chunked, buckets = by_chunk(docs, spec)
 
     def send_keys(table: pa.Table) -> pa.Table:
         codes = _keys(_chunk(table, spec), spec, buckets).codes
