@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-# --- fixed values: positions, pillars, weights, labels, colours ---------------
+# --- fixed values: positions, pillars, weights, labels ------------------------
 POSITIONS = ("GK", "FW", "MF", "DF")
 PILLARS = ("attacking", "progression", "creation", "defense", "retention")
 
@@ -15,42 +15,41 @@ class Pillar:
     name: str
     weight: float
     label: str
-    color: str
     stats: tuple[tuple[str, float], ...]
 
 
 PILLAR_MODEL: tuple[Pillar, ...] = (
-    Pillar("FW", "attacking", 45, "Attacking", "#ff3131",
+    Pillar("FW", "attacking", 45, "Attacking",
            (("xG_p90", 0.45), ("SoT_p90", 0.35), ("Ast_p90", 0.20))),
-    Pillar("FW", "progression", 20, "Progression", "#00ff41",
+    Pillar("FW", "progression", 20, "Progression",
            (("Sh_p90", 0.65), ("Fld_p90", 0.35))),
-    Pillar("FW", "creation", 20, "Creation", "#00cfff",
+    Pillar("FW", "creation", 20, "Creation",
            (("xA_p90", 0.50), ("Ast_p90", 0.30), ("Crs_p90", 0.20))),
-    Pillar("FW", "defense", 5, "Defense", "#f5a623",
+    Pillar("FW", "defense", 5, "Defense",
            (("Int_p90", 0.55), ("TklW_p90", 0.45))),
-    Pillar("FW", "retention", 10, "Retention", "#c084fc", (("Fld_p90", 1.00),)),
-    Pillar("MF", "attacking", 20, "Attacking", "#ff3131",
+    Pillar("FW", "retention", 10, "Retention", (("Fld_p90", 1.00),)),
+    Pillar("MF", "attacking", 20, "Attacking",
            (("xG_p90", 0.40), ("Gls_p90", 0.35), ("SoT_p90", 0.25))),
-    Pillar("MF", "progression", 30, "Progression", "#00ff41",
+    Pillar("MF", "progression", 30, "Progression",
            (("Crs_p90", 0.55), ("Fld_p90", 0.45))),
-    Pillar("MF", "creation", 25, "Creation", "#00cfff",
+    Pillar("MF", "creation", 25, "Creation",
            (("xA_p90", 0.50), ("Ast_p90", 0.30), ("Crs_p90", 0.20))),
-    Pillar("MF", "defense", 15, "Defense", "#f5a623",
+    Pillar("MF", "defense", 15, "Defense",
            (("Int_p90", 0.55), ("TklW_p90", 0.45))),
-    Pillar("MF", "retention", 10, "Retention", "#c084fc", (("Fld_p90", 1.00),)),
-    Pillar("DF", "attacking", 10, "Attacking", "#ff3131",
+    Pillar("MF", "retention", 10, "Retention", (("Fld_p90", 1.00),)),
+    Pillar("DF", "attacking", 10, "Attacking",
            (("Gls_p90", 0.40), ("Ast_p90", 0.35), ("SoT_p90", 0.25))),
-    Pillar("DF", "progression", 15, "Progression", "#00ff41", (("Crs_p90", 1.00),)),
-    Pillar("DF", "creation", 10, "Creation", "#00cfff",
+    Pillar("DF", "progression", 15, "Progression", (("Crs_p90", 1.00),)),
+    Pillar("DF", "creation", 10, "Creation",
            (("Ast_p90", 0.60), ("Crs_p90", 0.40))),
-    Pillar("DF", "defense", 45, "Defense", "#f5a623",
+    Pillar("DF", "defense", 45, "Defense",
            (("Int_p90", 0.55), ("TklW_p90", 0.45))),
-    Pillar("DF", "retention", 20, "Retention", "#c084fc", (("Fld_p90", 1.00),)),
-    Pillar("GK", "attacking", 70, "Shot Stopping", "#ff3131", (("Save%", 1.00),)),
-    Pillar("GK", "progression", 20, "Workload", "#00ff41", (("Saves_p90", 1.00),)),
-    Pillar("GK", "creation", 5, "Aerial Command", "#00cfff", (("Int_p90", 1.00),)),
-    Pillar("GK", "defense", 3, "Sweeping", "#f5a623", (("TklW_p90", 1.00),)),
-    Pillar("GK", "retention", 2, "Composure", "#c084fc", (("Fld_p90", 1.00),)),
+    Pillar("DF", "retention", 20, "Retention", (("Fld_p90", 1.00),)),
+    Pillar("GK", "attacking", 70, "Shot Stopping", (("Save%", 1.00),)),
+    Pillar("GK", "progression", 20, "Workload", (("Saves_p90", 1.00),)),
+    Pillar("GK", "creation", 5, "Aerial Command", (("Int_p90", 1.00),)),
+    Pillar("GK", "defense", 3, "Sweeping", (("TklW_p90", 1.00),)),
+    Pillar("GK", "retention", 2, "Composure", (("Fld_p90", 1.00),)),
 )
 
 # --- fixed values: aggregation -------------------------------------------------

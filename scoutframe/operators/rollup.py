@@ -43,16 +43,19 @@ def season_rollup(
     season="season",
     stats=SUM_STATS,
     last=("Squad", "Pos", "Age", "Nation"),
-    order=(),
+    order=("Rk",),
 ) -> DataFrame:
     """Sum counts over seasons; text fields are the last ones that are not NULL.
 
     The sum of nothing is 0. One partial/final aggregation: the last value comes
-    from ``max_by`` over (season, order...). ``seasons`` lists a player's seasons,
+    from ``max_by`` over (season, order...), ``order`` being numbers of rows inside a
+    season where the table has them. Rows equal in these go by their text fields, so
+    the result never depends on how rows arrive. ``seasons`` lists a player's seasons,
     which also tells the single-season players and the last season.
     """
     keys = list(keys)
-    rank = F.struct(c(season), *[c(o) for o in order])
+    ties = [c(x) for x in last if x in df.columns and x not in keys]
+    rank = F.struct(c(season), *[to_number(c(o).cast("string")).alias(o) for o in order if o in df.columns], *ties)
     aggs = [F.coalesce(F.sum(c(s).cast("double")), F.lit(0.0)).alias(s) for s in stats if s in df.columns]
     for name in last:
         if name in df.columns and name not in keys:

@@ -74,7 +74,8 @@ def league_table(matches: DataFrame, by=("League", "season"), names: dict[str, s
 def attach_rank(df: DataFrame, standings: DataFrame | None, league="League", squad="Squad", order="Rk") -> DataFrame:
     """The club's rank as ``league_position``; unknown and multi-club squads stay NULL.
 
-    A squad listed twice takes its last row. ``standings`` covers one season per
+    A squad listed twice takes the row that is last by ``order``, by default the one with
+    the highest rank; pass a row number for the last one loaded. ``standings`` covers one season per
     league; without any, the column is all NULL.
     """
     if standings is None:

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.matching import exact_values  # noqa: F401  (re-exported for queries)
 from ..operators.rollup import (
     add_per90, career_minutes, derive_rates, latest_season, league_span, season_rollup, still_active,
 )
@@ -188,9 +187,9 @@ _HEX, _LETTERS = "0123456789abcdef", "bcdfghklmnaeiour"
 
 
 def part_names(spark: SparkSession, sf: str) -> DataFrame:
-    """A two-word name per part: a word of its own name and a made-up surname."""
+    """A name per part: its own name and a made-up surname."""
     surname = F.translate(F.substring(F.md5(F.col("p_partkey").cast("string")), 1, 8), _HEX, _LETTERS)
-    first = F.substring_index("p_name", " ", 1)
+    first = F.col("p_name")
     return table(spark, sf, "part").select(
         "p_partkey", "p_size", "p_retailprice",
         first.alias("first"), surname.alias("surname"),
@@ -224,7 +223,7 @@ def misspelt_players(spark: SparkSession, sf: str) -> DataFrame:
     name = (
         F.when(how == 0, F.col("name"))
         .when(how == 1, F.concat_ws(" ", "first", F.concat(F.substring(s, 1, 2), F.substring(s, 4, 5))))
-        .when(how == 2, F.concat_ws(" ", s, F.initcap("first")))
+        .when(how == 2, F.concat_ws(" ", s, F.concat(F.upper(F.substring("first", 1, 1)), F.expr("substring(first, 2)"))))
         .when(how == 3, F.concat_ws(" ", "first", F.lit("de"), s))
         .otherwise(F.concat_ws(" ", "first", F.concat(F.substring(s, 1, 1), F.lit("xx"), F.substring(s, 4, 3), F.lit("yy"))))
     )

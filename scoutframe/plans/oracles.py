@@ -167,8 +167,8 @@ WHERE rank <= 5""")
 
 _SURNAME = "translate(substr(md5(CAST(p_partkey AS VARCHAR)), 1, 8), '0123456789abcdef', 'bcdfghklmnaeiour')"
 cte("pn", (), f"""
-SELECT p_partkey, p_size, p_retailprice, split_part(p_name, ' ', 1) AS first, {_SURNAME} AS surname,
-  split_part(p_name, ' ', 1) || ' ' || {_SURNAME} AS name, p_brand AS club, p_type AS "League" FROM part""")
+SELECT p_partkey, p_size, p_retailprice, p_name AS first, {_SURNAME} AS surname,
+  p_name || ' ' || {_SURNAME} AS name, p_brand AS club, p_type AS "League" FROM part""")
 cte("nv", ("pn",), """
 SELECT name AS player_name_tm, club || ' FC' AS club_tm, p_retailprice * f AS market_value_eur, season, "League" AS league_tm
 FROM pn CROSS JOIN (VALUES ('2023-24', 1000.0::DOUBLE), ('2024-25', 1500.0::DOUBLE)) y(season, f)""")

@@ -735,8 +735,10 @@ def squad_pages(spark, sf) -> DataFrame:
     def row(x):
         name = F.when(x["l_returnflag"] == "N", "").otherwise(F.concat(F.lit("Part "), x["l_partkey"].cast("string")))
         return F.concat(
-            F.lit('<tr class="odd"><td class="hauptlink"><a href="#">7</a></td><td class="x hauptlink"><a href="/p">'), name,
-            F.lit("</a></td><td>€"), F.floor(x["l_extendedprice"] / 1000).cast("string"), F.lit("k</td></tr>"),
+            F.lit('<tr class="odd"><td class="hauptlink"><a href="#">7</a></td><td class="posrela"><table><tr>'
+                  '<td class="x hauptlink"><a href="/p">'), name,
+            F.lit('</a></td></tr><tr><td>Keeper</td></tr></table></td><td class="rechts hauptlink"><a href="/v">€'),
+            F.floor(x["l_extendedprice"] / 1000).cast("string"), F.lit("k</a></td></tr>"),
         )
 
     rows = F.array_join(F.transform(F.array_sort(F.collect_list(line)), row), "")
@@ -753,6 +755,30 @@ def page_squad_rows(spark, sf):
     return r.select("page_id", "player_name_tm", parse.parse_money(c("market_value_raw")).alias("market_value_eur"))
 
 
+@query("page_club_links", """
+SELECT l_orderkey AS page_id, CAST(l_suppkey AS VARCHAR) AS id, 'club-' || l_suppkey AS slug, 'Club & ' || l_suppkey AS name
+FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem)""")
+def page_club_links(spark, sf):
+    """One page per order: its suppliers as clubs, with crest, menu and comment links around them."""
+    line = F.struct("l_linenumber", "l_suppkey")
+
+    def row(x):
+        key = x["l_suppkey"].cast("string")
+        target = F.concat(F.lit('<a href="/club-'), key, F.lit("/startseite/verein/"), key, F.lit('/saison_id/2024">'))
+        return F.concat(
+            F.lit('<tr class="odd"><td class="zentriert">'), target, F.lit('<img src="c.png"></a></td><td class="hauptlink no-border">'),
+            target, F.lit("Club &amp; "), key, F.lit("</a></td></tr>"),
+        )
+
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(line)), row), "")
+    page = F.concat(
+        F.lit('<a href="/menu/startseite/verein/9">Menu</a><!-- <table class="items"><tr><td class="hauptlink">'
+              '<a href="/old/startseite/verein/77">Old</a></td></tr></table> --><table class="items">'),
+        rows, F.lit("</table>"),
+    )
+    return html.club_links(by_order(spark, sf).agg(page.alias("html")))
+
+
 def standings_pages(spark, sf) -> DataFrame:
     """The league tables printed as pages, one per league and season."""
     row = F.struct("Rk", "Squad", "Pts")

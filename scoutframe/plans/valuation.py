@@ -25,7 +25,7 @@ def build_dataset(
     xg: DataFrame | None = None,
     standings: DataFrame | None = None,
     per_season: float = MIN_MINUTES_PER_SEASON,
-    order=(),
+    order=("Rk",),
 ) -> DataFrame | None:
     """One row per (league, player).
 

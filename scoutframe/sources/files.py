@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,9 +59,12 @@ def header_of(spark: SparkSession, path: str) -> list[str]:
 def read_csv(spark: SparkSession, path: str, columns=None, modified_after: str | None = None) -> DataFrame:
     """All-text read with a positional schema, so repeated headers are safe.
 
+    Where no header is repeated, a file whose header differs is an error.
     ``modified_after`` keeps only files written since, before any is opened.
     """
-    reader = spark.read.schema(text_schema(columns or header_of(spark, path))).option("header", True)
+    columns = list(columns or header_of(spark, path))
+    plain = not any(re.fullmatch(r".+\.\d+|_c\d+", x) for x in columns)
+    reader = spark.read.schema(text_schema(columns)).option("header", True).option("enforceSchema", not plain)
     if modified_after:
         reader = reader.option("modifiedAfter", modified_after)
     return reader.csv(path)
@@ -113,11 +118,12 @@ def value_table(df: DataFrame, seasons=SEASONS) -> DataFrame:
     )
 
 
-def read_xg(spark: SparkSession, folder: str, prefix: str = "*") -> DataFrame:
+def read_xg(spark: SparkSession, folder: str, prefix: str) -> DataFrame:
+    """xG files ``<prefix>_<league>_<season>.csv``; others in the folder are not read."""
     columns = ("Player", "Squad", "Pos", "Min", "xG", "xA", "season")
     raw = read_csv(spark, f"{folder}/{prefix}_*_[0-9]*.csv", columns)
-    league = F.regexp_extract(F.col("_metadata.file_name"), r"^[^_]+_(.+)_\d{4}-\d{2}\.csv$", 1)
-    return raw.select(
+    league = F.regexp_extract(F.col("_metadata.file_name"), rf"^\Q{prefix}\E_(.+)_\d{{4}}-\d{{2}}\.csv$", 1)
+    return raw.where(league != "").select(
         league.alias("League"), "Player", "Squad", "Pos",
         *[to_number(c(x)).alias(x) for x in ("Min", "xG", "xA")], "season",
     )
@@ -138,9 +144,11 @@ def read_matches(spark: SparkSession, path: str, required=("HomeTeam", "AwayTeam
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", by=("League", "season")) -> None:
-    """Partitioned sink; one directory per league and season, replaced as a whole."""
+    """Partitioned sink; each league and season in ``df`` replaces its directory, others stay."""
     keys = [b for b in by if b in df.columns]
-    writer = df.write.mode("overwrite").format(fmt)
+    if keys:
+        df = df.hint("rebalance", *keys)
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").format(fmt)
     if fmt == "csv":
         writer = writer.option("header", True)
     (writer.partitionBy(*keys) if keys else writer).save(path)

@@ -20,8 +20,8 @@ from ..session import c, ships_with_tasks
 
 ships_with_tasks(__name__)
 
-_CELL = pa.struct([(n, pa.string()) for n in ("text", "cls", "link")])
-_ROW = pa.struct([("cls", pa.string()), ("cells", pa.list_(_CELL))])
+_CELL = pa.struct([(n, pa.string()) for n in ("text", "cls", "link", "href")])
+_ROW = pa.struct([("cls", pa.string()), ("cells", pa.list_(_CELL)), ("inner", pa.list_(_CELL))])
 _TABLE = pa.struct(
     [
         ("id", pa.string()), ("cls", pa.string()), ("in_comment", pa.bool_()),
@@ -30,7 +30,8 @@ _TABLE = pa.struct(
 )
 TABLES_TYPE = (
     "array<struct<id:string,cls:string,in_comment:boolean,headers:array<string>,"
-    "rows:array<struct<cls:string,cells:array<struct<text:string,cls:string,link:string>>>>>>"
+    f"rows:array<struct<cls:string,cells:array<{(_C := 'struct<text:string,cls:string,link:string,href:string>')}>,"
+    f"inner:array<{_C}>>>>>"
 )
 
 
@@ -70,6 +71,7 @@ def _tables(source: str) -> list[dict]:
                 continue
             if not closing and cell["from"] is None:
                 cell["from"] = m.end()
+                cell["href"] = _attributes(m.group(3)).get("href")
             elif closing and cell["from"] is not None and cell["link"] is None:
                 cell["link"] = _text(source[cell["from"] : m.start()])
         else:
@@ -78,13 +80,16 @@ def _tables(source: str) -> list[dict]:
                 continue
             a = _attributes(m.group(3))
             if tag == "tr":
-                t["rows"].append({"cls": a.get("class", ""), "cells": []})
+                t["rows"].append({"cls": a.get("class", ""), "cells": [], "inner": []})
             elif t["rows"]:
                 t["cell"] = {
-                    "at": m.end(), "from": None, "link": None, "cls": a.get("class", ""),
+                    "at": m.end(), "from": None, "link": None, "href": None, "cls": a.get("class", ""),
                     "across": _span(a.get("colspan")), "down": _span(a.get("rowspan")), "text": "",
                 }
                 t["rows"][-1]["cells"].append(t["cell"])
+                for outer in open_tables:
+                    if outer["rows"]:
+                        outer["rows"][-1]["inner"].append(t["cell"])
     return found
 
 
@@ -139,21 +144,29 @@ def _headers(lines, levels: int) -> list[str]:
     return names
 
 
-def _page_tables(html: str | None, levels: int) -> list[dict]:
-    """Visible tables first, then those in comments, each in page order."""
+def _plain(cells) -> list[dict]:
+    return [{k: x[k] for k in ("text", "cls", "link", "href")} for x in cells]
+
+
+def _page_tables(html: str | None, levels: int, only: str | None = None) -> list[dict]:
+    """Visible tables first, then those in comments, each in page order; with ``only`` those of that id.
+
+    A row's ``inner`` lists all its cells and those of tables nested in it, in page order, where there are such.
+    """
     if not html or "<table" not in html.lower():
         return []
     notes = [m.group(1) for m in _HIDDEN.finditer(html) if m.group(1) and "<table" in m.group(1).lower()]
     out = []
     for hidden, parts in ((False, [_HIDDEN.sub("", html)]), (True, notes)):
-        for t in (t for p in parts for t in _tables(p)):
+        for t in (t for p in parts for t in _tables(p) if only is None or t["id"] == only):
             rows = [r for r in t["rows"] if r["cells"]]
             lines = _grid(rows)
             names = _headers(lines, levels) if levels else []
             body = [
                 {
                     "cls": row["cls"],
-                    "cells": [{"text": x["text"], "cls": x["cls"], "link": x["link"]} for x in line],
+                    "cells": _plain(line),
+                    "inner": _plain(row["inner"]) if len(row["inner"]) > len(row["cells"]) else None,
                 }
                 for row, line in zip(rows[levels:], lines[levels:])
             ]
@@ -163,14 +176,14 @@ def _page_tables(html: str | None, levels: int) -> list[dict]:
     return out
 
 
-def read_tables(pages: DataFrame, page: str = "page_id", html: str = "html", header_levels: int = 2, keep=()) -> DataFrame:
-    """(page, keep..., tables): one record per page."""
+def read_tables(pages: DataFrame, page: str = "page_id", html: str = "html", header_levels: int = 2, keep=(), only: str | None = None) -> DataFrame:
+    """(page, keep..., tables): one record per page; with ``only`` just the tables of that id are built."""
     carried = [page, *keep]
     kinds = dict(pages.dtypes)
 
     def read(batches):
         for b in batches:
-            tables = [_page_tables(h, header_levels) for h in b.column("_html").to_pylist()]
+            tables = [_page_tables(h, header_levels, only) for h in b.column("_html").to_pylist()]
             cols = [b.column(x) for x in carried] + [pa.array(tables, pa.list_(_TABLE))]
             yield pa.RecordBatch.from_arrays(cols, names=[*carried, "tables"])
 
@@ -204,7 +217,8 @@ def table_cells(pages: DataFrame, page: str = "page_id", html: str = "html", hea
 
 def stat_table(pages: DataFrame, table_id: str, columns: list[str], page: str = "page_id", html: str = "html", header_levels: int = 2) -> DataFrame:
     """One stat table by id, visible or in a comment; repeated header lines (Rk = 'Rk') left out."""
-    t = read_tables(pages, page, html, header_levels).select(
+    pages = pages.where(F.contains(c(html), F.lit(table_id)))
+    t = read_tables(pages, page, html, header_levels, only=table_id).select(
         c(page), first_table(lambda x: x["id"] == table_id).alias("t")
     )
     rows = t.select(c(page), "t", F.posexplode("t.rows").alias("row_ix", "r"))
@@ -219,7 +233,7 @@ def pages_without(pages: DataFrame, table_id: str, page: str = "page_id", html:
 
 
 def squad_rows(pages: DataFrame, page: str = "page_id", html: str = "html", keep=()) -> DataFrame:
-    """Players and raw values of squad pages: linked name, last cell as value."""
+    """Players and raw values of squad pages: linked name, last cell as value; nested tables count."""
     t = read_tables(pages, page, html, 0, keep).select(
         c(page), *[c(k) for k in keep],
         first_table(lambda x: F.array_contains(F.split(x["cls"], " "), "items")).alias("t"),
@@ -227,8 +241,9 @@ def squad_rows(pages: DataFrame, page: str = "page_id", html: str = "html", keep
     rows = t.select(c(page), *[c(k) for k in keep], F.posexplode("t.rows").alias("row_ix", "r")).where(
         F.arrays_overlap(F.split("r.cls", " "), F.array(F.lit("odd"), F.lit("even")))
     )
+    cells = F.coalesce("r.inner", "r.cells")
     named = F.filter(
-        "r.cells",
+        cells,
         lambda x: F.array_contains(F.split(x["cls"], " "), "hauptlink")
         & (F.coalesce(x["link"], F.lit("")) != "")
         & ~x["link"].rlike(r"^[0-9]+$"),
@@ -236,7 +251,7 @@ def squad_rows(pages: DataFrame, page: str = "page_id", html: str = "html", keep
     return rows.select(
         c(page), *[c(k) for k in keep], "row_ix",
         F.try_element_at(named, F.lit(1))["link"].alias("player_name_tm"),
-        F.try_element_at("r.cells", F.lit(-1))["text"].alias("market_value_raw"),
+        F.try_element_at(cells, F.lit(-1))["text"].alias("market_value_raw"),
     ).where(F.col("player_name_tm").isNotNull())
 
 
@@ -261,3 +276,30 @@ def standings_rows(pages: DataFrame, known_id: str | None = None, page: str = "p
         .select(c(page), to_number(cell("Rk")).cast("int").alias("Rk"), cell("Squad").alias("Squad"))
         .where(F.col("Rk").isNotNull())
     )
+
+
+def club_links(
+    pages: DataFrame, page: str = "page_id", html: str = "html", marker: str = "/verein/",
+    table_class: str = "items", cell_class: str = "hauptlink",
+) -> DataFrame:
+    """Clubs linked in cells of ``cell_class`` of visible tables of ``table_class``: id, slug and link text.
+
+    The first link per page and id counts; anchors elsewhere, such as crests, menus and comments, do not.
+    """
+
+    def has(x, name):
+        return F.array_contains(F.split(x["cls"], " "), name)
+
+    tables = F.filter("tables", lambda x: ~x["in_comment"] & has(x, table_class))
+    cells = F.flatten(F.flatten(F.transform(tables, lambda t: F.transform(t["rows"], lambda r: r["cells"]))))
+    links = F.filter(cells, lambda x: has(x, cell_class) & F.contains(F.coalesce(x["href"], F.lit("")), F.lit(marker)))
+    found = read_tables(pages, page, html, 0).select(c(page), F.posexplode(links).alias("at", "x"))
+    parts = F.split(F.col("x.href"), F.lit(f"\\Q{marker}\\E"))
+    found = found.where(F.size(parts) == 2).select(
+        c(page), "at", F.substring_index(parts.getItem(1), "/", 1).alias("id"),
+        F.substring_index(F.regexp_replace("x.href", "^/+", ""), "/", 1).alias("slug"), F.col("x.link").alias("name"),
+    ).where(F.col("id") != "")
+    return (
+        found.groupBy(c(page), "id").agg(F.min_by(F.struct("slug", "name"), "at").alias("l"))
+        .select(c(page), "id", "l.slug", "l.name")
+    )

@@ -339,3 +339,13 @@ def test_profile_radar_comparison(spark):
         serving.comparison(d, [("EPL", "p00")])
     s = serving.scatter_points(served(spark), ["Ana"])
     assert rows(s, "Player", "market_value_m", "highlighted") == [("Ana", 5.0, True), ("Bo", 200.0, False), ("Cy", 5.0, False)]
+
+
+def test_rollup_of_two_rows_in_one_season_ignores_arrival(spark):
+    rows = [("L", "2024-25", "A", 1, "Rennes", "MF"), ("L", "2024-25", "A", 2, "Marseille", "FW"), ("L", "2023-24", "A", 9, "Lens", None)]
+    for some in (rows, rows[::-1]):
+        d = spark.createDataFrame(some, "League string, season string, Player string, Rk int, Squad string, Pos string")
+        r = rollup.season_rollup(d).first()
+        assert (r["Squad"], r["Pos"], r["seasons"]) == ("Marseille", "FW", ["2023-24", "2024-25"])
+        r = rollup.season_rollup(d.drop("Rk")).first()
+        assert (r["Squad"], r["Pos"]) == ("Rennes", "MF")

@@ -42,7 +42,8 @@ def test_values_xg_standings_matches(spark, tmp_path):
     assert [tuple(r) for r in files.read_values(spark, str(v)).collect()] == [("A", "C", 10.5, "2024-25", "EPL")]
     x = tmp_path / "x"
     write(x, "xgs_EPL_2024-25.csv", "Player,Squad,Pos,Min,xG,xA,season\nA,C,FW,900,1.5,,2024-25\n")
-    r = files.read_xg(spark, str(x)).first()
+    write(x, "src_EPL_stats_keeper_2024-25.csv", "Rk,Player\n1,B\n")
+    (r,) = files.read_xg(spark, str(x), "xgs").collect()
     assert (r["League"], r["xG"], r["xA"], r["season"]) == ("EPL", 1.5, None, "2024-25")
     s = tmp_path / "s"
     write(s, "src_EPL_standings_2024-25.csv", "Rk,Squad\n1,Liverpool\n")
@@ -77,6 +78,28 @@ def test_sink_round_trip(spark, fmt):
     files.write_table(d, path, fmt)
     back = spark.read.schema("Player string, v double, League string, season string").option("header", True).format(fmt).load(path)
     assert sorted(tuple(r) for r in back.select(*d.columns).collect()) == sorted(tuple(r) for r in d.collect())
+    files.write_table(d.where("season = 't'").withColumn("v", F.lit(2.5)), path, fmt)
+    again = spark.read.schema("Player string, v double, League string, season string").option("header", True).format(fmt).load(path)
+    assert sorted((r["season"], r["v"]) for r in again.collect()) == [("s", 1.5), ("t", 2.5)]
+
+
+def test_a_file_with_another_header_is_an_error(spark, tmp_path):
+    write(tmp_path, "src_EPL_standings_2024-25.csv", "Squad,Rk\nLiverpool,1\n")
+    with pytest.raises(Exception, match="Rk"):
+        files.read_standings(spark, str(tmp_path)).collect()
+
+
+def test_nested_squad_rows_and_scoped_links(spark):
+    row = (
+        '<tr class="odd"><td class="zentriert"><a href="/c/verein/3"><img></a></td><td><table><tr><td class="hauptlink">'
+        '<a href="/e">Ederson</a></td></tr><tr><td>Keeper</td></tr></table></td><td class="rechts hauptlink"><a>35.00m</a></td></tr>'
+        '<tr class="even"><td class="hauptlink"><a href="/city/x/verein/281/s">City &amp; Co</a></td></tr>'
+    )
+    text = f'<a href="/nav/verein/9">Nav</a><!-- <a href="/old/verein/77">x</a> --><table class="items">{row}</table>'
+    first = html.squad_rows(page(spark, text)).orderBy("row_ix").first()
+    assert (first["player_name_tm"], first["market_value_raw"]) == ("Ederson", "35.00m")
+    links = html.club_links(page(spark, text)).select("id", "slug", "name").collect()
+    assert [tuple(r) for r in links] == [("281", "city", "City & Co")]
 
 
 STATS = """<html><body><div id="x"><!-- <p>ad</p> <table class="stats" id="stats_standard"><thead>
