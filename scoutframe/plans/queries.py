@@ -737,7 +737,9 @@ def squad_pages(spark, sf) -> DataFrame:
         return F.concat(
             F.lit('<tr class="odd"><td class="hauptlink"><a href="#">7</a></td><td class="posrela"><table><tr>'
                   '<td class="x hauptlink"><a href="/p">'), name,
-            F.lit('</a></td></tr><tr><td>Keeper</td></tr></table></td><td class="rechts hauptlink"><a href="/v">€'),
+            F.lit("</a></td></tr><tr><td>Keeper</td></tr></table></td>"),
+            # the value of a row without a name has no link
+            F.when(x["l_returnflag"] == "N", '<td class="rechts">€').otherwise('<td class="rechts hauptlink"><a href="/v">€'),
             F.floor(x["l_extendedprice"] / 1000).cast("string"), F.lit("k</a></td></tr>"),
         )
 
