@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoutframe.llm.common import pick, slabs, text_bytes
+from scoutframe.llm.common import pick
 from scoutframe.llm.tokens import word_encoder
 
 MAGIC = b"RPR1"
@@ -189,14 +189,13 @@ def write_tokens(
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], columns)
 
         for batch in batches:
-            texts, keys = text_bytes(batch.column("text")), batch.column("doc_id").to_pylist()
-            for a, b in slabs(texts, 1 << 20):
-                for key, x in zip(keys[a:b], encoder.encode(texts[a:b]), strict=True):
-                    names.append(key)
-                    ids.append(x + end)
-                    held += len(x) // 4 + 1
-                    if held >= block_tokens:
-                        yield image()
+            for key, value in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                x = encoder.encode(value.as_py() or "")
+                names.append(key)
+                ids.append(x + end)
+                held += len(x) // 4 + 1
+                if held >= block_tokens:
+                    yield image()
         if names:
             yield image()
 

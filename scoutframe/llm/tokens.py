@@ -1,113 +1,132 @@
-"""Token ids by public vocabulary files, inside tasks; the files' paths are parameters."""
+"""Token ids by the tokenizers library, inside tasks; the vocabulary files' paths are parameters."""
 
 from __future__ import annotations
 
-import json
-import unicodedata
+import os
+import re
 
 import numpy as np
 
 from scoutframe.llm.common import per_process
 
 LONG_TEXT = 1 << 20
+LONG_PIECE = 64
 
 
-def _byte_letters() -> dict[str, int]:
-    """The printable letter that byte-level vocabularies write for each byte, by their public rule."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+class PieceEncoder:
+    """The ids that the tokenizers library gives, found by encoding each distinct piece of a text once.
 
+    A text is cut where white space follows another character: no token crosses such a place, so the ids of
+    the pieces, joined, are those of the whole text (tested).  The first ``most`` short pieces seen stay in
+    memory; the others go to the library again, plain ones together as one text whose ids show where each
+    ends.  Texts with an added token or a character that the library and Python class differently are
+    encoded whole.  Long texts are cut in slices first, so a call's memory does not grow with the text.
+    """
 
-def byte_encoder(path: str):
-    """An encoder for a byte-level BPE file; ids are those of the tokenizers library (tested), found faster."""
+    SLICE_END = re.compile(r"\S(?=\s)")
+    UNCOMMON = ("\x1c", "\x1d", "\x1e", "\x1f", "Σ", "<|")
 
-    def make():
-        import public_tokenizers
-        import tiktoken
+    def __init__(self, path: str, most: int) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
 
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        letters = _byte_letters()
-        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        ranks = {bytes(letters[x] for x in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
-        return tiktoken.Encoding(
-            "byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special
-        )
+        self.library = Tokenizer.from_file(path)
+        self.most, self.known = most, {}
+        vocabulary = self.library.get_vocab()
+        self.mark = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.mark[[i for token, i in vocabulary.items() if self.marked(token)]] = True
+
+    def _alone(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _new(self, pieces: list[str]) -> dict[str, bytes]:
+        plain, out = list(filter(self.plain, pieces)), {}
+        if plain:
+            line = self.library.encode_batch_fast([self.line(plain)], add_special_tokens=False)[0]
+            ids = np.array(line.ids, "<u4")
+            raw, ends = ids.tobytes(), (self.ends(np.flatnonzero(self.mark[ids]), len(ids), plain) * 4).tolist()
+            before = 0
+            for p, end in zip(plain, ends, strict=True):
+                out[p] = raw[before:end]
+                before = end
+        other = [p for p in pieces if p not in out]
+        if other:
+            out.update(zip(other, self._alone(other), strict=True))
+        return out
 
-    return per_process(("byte_encoder", path), make)
+    def _slices(self, text: str):
+        at = 0
+        while at < len(text):
+            end = self.SLICE_END.search(text, at + LONG_TEXT) if len(text) - at > LONG_TEXT else None
+            end = end.end() if end else len(text)
+            yield text[at:end]
+            at = end
+
+    def _slice(self, text: str) -> bytes:
+        pieces, known = self.cut(text), self.known.get
+        new = set(pieces).difference(self.known)
+        if not new:
+            return b"".join(map(known, pieces))
+        fresh = self._new(list(new))
+        out = b"".join([known(p) or fresh.get(p, b"") for p in pieces])
+        if len(self.known) < self.most:
+            self.known.update((p, x) for p, x in fresh.items() if len(p) <= LONG_PIECE)
+        return out
 
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
+        if any(x in text for x in self.UNCOMMON):
+            return self._alone([text])[0]
+        return b"".join(map(self._slice, self._slices(text)))
 
-def byte_ids(path: str, text: str) -> np.ndarray:
-    return byte_encoder(path).encode_to_numpy(text, allowed_special="all").astype(np.uint32)
 
+class ByteEncoder(PieceEncoder):
+    """For a byte-level BPE file: white space belongs to the piece after it, a plain piece has one leading space."""
 
-class WordEncoder:
-    """A lower-casing BPE file that drops white space, so every white-space word has its own ids.
+    cut = staticmethod(re.compile(r"\s*\S+|\s+").findall)
+    line = staticmethod("".join)
 
-    The ids are those of the tokenizers library (tested); the merging is done by a faster engine that sees a
-    space as the end of a word.  The first ``most`` words seen are kept.  Rare texts whose characters the two
-    could read differently go through the tokenizers library itself.
-    """
+    @staticmethod
+    def marked(token: str) -> bool:
+        return token.startswith("Ġ")  # the letter such files write for a space
 
-    PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-    UNCOMMON = "[\x1c-\x1f\u03a3]|<\\|"
+    @staticmethod
+    def plain(piece: str) -> bool:
+        return piece[0] == " " and not piece[1:2].isspace() and len(piece) > 1
 
-    def __init__(self, path: str, most: int = 150_000) -> None:
-        import regex
-        import tiktoken
-        from tokenizers import Tokenizer
+    @staticmethod
+    def ends(marks: np.ndarray, n: int, pieces: list[str]) -> np.ndarray:
+        return np.append(marks[1:], n)
 
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        letters, suffix = _byte_letters(), spec["model"]["end_of_word_suffix"]
-        special = {t["content"] for t in spec["added_tokens"]}
-        ranks = {}
-        for token, i in spec["model"]["vocab"].items():
-            if token not in special:
-                last = token.endswith(suffix) and len(token) > len(suffix)
-                body = token[: -len(suffix)] if last else token
-                ranks[bytes(letters[x] for x in body) + b" " * last] = i
-        self.engine = tiktoken.Encoding("word_bpe", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
-        self.ends = np.zeros(max(ranks.values()) + 1, bool)
-        self.ends[[i for b, i in ranks.items() if b.endswith(b" ")]] = True
-        self.library = Tokenizer.from_file(path)
-        self.pieces, self.uncommon = regex.compile(self.PIECES), regex.compile(self.UNCOMMON)
-        self.most, self.known = most, {}
 
-    def _new(self, words: list[str]) -> dict[str, bytes]:
-        pieces = [[w] if w.isalpha() else self.pieces.findall(w) for w in words]
-        line = " ".join([x for part in pieces for x in part])
-        ids = self.engine.encode_to_numpy(line + " " if line else "", disallowed_special=()).astype(np.uint32)
-        ends = np.concatenate(([0], np.flatnonzero(self.ends[ids]) + 1)) * 4
-        at, raw, out, before = np.cumsum([len(p) for p in pieces]).tolist(), ids.tobytes(), {}, 0
-        for w, n in zip(words, ends[at].tolist() if words else [], strict=True):
-            out[w] = raw[before:n]
-            before = n
-        if len(self.known) < self.most:
-            self.known.update(out)
-        return out
+class WordEncoder(PieceEncoder):
+    """For a lower-casing BPE file that drops white space: a piece is a word, plain if it is ASCII."""
 
-    def encode(self, docs: list[bytes]) -> list[bytes]:
-        """Ids of each UTF-8 text as little-endian unsigned 32-bit integers."""
-        texts, odd = [d.decode() for d in docs], {}
-        for i, t in enumerate(texts):
-            if self.uncommon.search(t):
-                odd[i] = np.array(self.library.encode(t, add_special_tokens=False).ids, np.uint32).tobytes()
-                texts[i] = ""
-        split = [unicodedata.normalize("NFC", t).lower().split() for t in texts]
-        words = [w for part in split for w in part]
-        ids = list(map(self.known.get, words))
-        gaps = [i for i, x in enumerate(ids) if x is None]
-        fresh = self._new(list({words[i] for i in gaps}))
-        for i in gaps:
-            ids[i] = fresh[words[i]]
-        out, at = [], 0
-        for i, part in enumerate(split):
-            out.append(odd[i] if i in odd else b"".join(ids[at : at + len(part)]))
-            at += len(part)
-        return out
+    PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+    cut = staticmethod(str.split)
+    line = staticmethod(" ".join)
+
+    @staticmethod
+    def marked(token: str) -> bool:
+        return token.endswith("</w>")
+
+    @staticmethod
+    def plain(piece: str) -> bool:
+        return piece.isascii()
+
+    @classmethod
+    def ends(cls, marks: np.ndarray, n: int, pieces: list[str]) -> np.ndarray:
+        parts = [1 if p.isalpha() else len(cls.PARTS.findall(p.lower())) for p in pieces]
+        return marks[np.cumsum(parts) - 1] + 1
 
 
-def word_encoder(path: str) -> WordEncoder:
-    return per_process(("word_encoder", path), lambda: WordEncoder(path))
+def byte_encoder(path: str, most: int = 150_000) -> ByteEncoder:
+    return per_process(("byte_encoder", path, most), lambda: ByteEncoder(path, most))
+
+
+def word_encoder(path: str, most: int = 150_000) -> WordEncoder:
+    return per_process(("word_encoder", path, most), lambda: WordEncoder(path, most))
+
+
+def byte_ids(path: str, text: str) -> np.ndarray:
+    return np.frombuffer(byte_encoder(path).encode(text), "<u4")

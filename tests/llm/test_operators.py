@@ -7,7 +7,9 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
+from scoutframe.llm import tokens
 from scoutframe.llm.common import crc_mod
 from scoutframe.llm.components import components
 from scoutframe.llm.decontam import decontaminate
@@ -20,7 +22,7 @@ from scoutframe.llm.simhash import near_duplicates
 from scoutframe.llm.substring_dedup import SuffixAutomaton, substring_dedup
 from scoutframe.llm.suffix_dedup import suffix_dedup, window_classes
 from scoutframe.llm.token_store import Block, read_tokens, write_block, write_tokens
-from scoutframe.llm.tokens import WordEncoder, byte_ids
+from scoutframe.llm.tokens import ByteEncoder, WordEncoder
 from scoutframe.llm.toxicity import fit_toxicity, score_toxicity
 from scoutframe.session import scratch_path
 
@@ -122,9 +124,9 @@ def test_window_classes_and_automaton():
 
 def test_packing(docs, empty):
     path = vocabulary("byte_bpe_50k.json")
-    ids = {}
+    library, ids = Tokenizer.from_file(path), {}
     for i, t in TEXTS:
-        ids.setdefault(i, [*byte_ids(path, t or "").tolist(), 0])
+        ids.setdefault(i, [*library.encode(t or "", add_special_tokens=False).ids, 0])
     rows = pack(docs, path, capacity=64).collect()
     assert sum(r.length for r in rows) == sum(len(ids[i]) for i, _ in TEXTS)
     sequences = {}
@@ -161,27 +163,26 @@ def test_packer_picks_the_smallest_sum_of_squares():
     assert sum(sizes) == 39 and sizes[:4] == [8] * 4 and all(s & (s - 1) == 0 for s in sizes)
 
 
-def test_tokens_equal_the_library():
-    from tokenizers import Tokenizer
-
+def test_tokens_equal_the_library(monkeypatch):
     word, byte = vocabulary("word_bpe_49k.json"), vocabulary("byte_bpe_50k.json")
     letters = [*"abDEéß'’.,!?1２ \n\t ​ΣİK中ा́\x1c\x85\x00ﬁ😀<|>", "'re", "<|endoftext|>", "tion", "the "]
-    mine, a, b = WordEncoder(word, most=50), Tokenizer.from_file(word), Tokenizer.from_file(byte)
-    texts = ["".join(random.choice(letters) for _ in range(random.randint(0, 40))) for _ in range(800)]
-    for t, ids in zip(texts, mine.encode([t.encode() for t in texts]), strict=True):
-        assert np.frombuffer(ids, np.uint32).tolist() == a.encode(t, add_special_tokens=False).ids
-        assert byte_ids(byte, t).tolist() == b.encode(t, add_special_tokens=False).ids
+    monkeypatch.setattr(tokens, "LONG_TEXT", 30)
+    texts = ["".join(random.choice(letters) for _ in range(random.randint(0, 60))) for _ in range(800)]
+    for mine in (WordEncoder(word, most=50), ByteEncoder(byte, most=50)):
+        library = Tokenizer.from_file(word if isinstance(mine, WordEncoder) else byte)
+        for t in texts:
+            assert np.frombuffer(mine.encode(t), np.uint32).tolist() == library.encode(t, add_special_tokens=False).ids
 
 
 def test_token_store(spark, docs, empty):
     path, folder = vocabulary("word_bpe_49k.json"), scratch_path(spark)
-    encoder = WordEncoder(path)
+    encoder = Tokenizer.from_file(path)
     write_tokens(docs, folder, path, block_tokens=300, least=2)
     got = read_tokens(spark, folder).orderBy("start").collect()
     want = sorted(TEXTS, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or ""))
     start = 0
     for r, (i, t) in zip(got, want, strict=True):
-        ids = encoder.encode([(t or "").encode()])[0] + b"\1\0\0\0"
+        ids = np.array([*encoder.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes()
         assert (r.doc_id, r.start, r.n_tokens, bytes(r.ids)) == (i, start, len(ids) // 4, ids)
         start += r.n_tokens
     write_tokens(empty, empty_folder := scratch_path(spark), path)
@@ -380,9 +381,9 @@ def test_digests_of_queries(spark):
                 gone[a : a + 50] = b"\1" * 50
         kept = bytes(x for x, g in zip(b, gone) if not g)
         assert (r.n_removed, r.kept_sha256) == (sum(gone), hashlib.sha256(kept).hexdigest())
-    encoder, start = WordEncoder(vocabulary("word_bpe_49k.json")), 0
+    encoder, start = Tokenizer.from_file(vocabulary("word_bpe_49k.json")), 0
     for r in op10_token_store(spark, sf).orderBy("doc_id").collect():
-        ids = encoder.encode([texts[r.doc_id]])[0] + b"\1\0\0\0"
+        ids = np.array([*encoder.encode(texts[r.doc_id].decode(), add_special_tokens=False).ids, 1], "<u4").tobytes()
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids) // 4, zlib.crc32(ids))
         start += r.n_tokens
 
