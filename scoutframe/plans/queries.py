@@ -353,6 +353,20 @@ def shortlist_top25(spark, sf):
     return pick(d, "Player", "Squad", "League", "Pos", "Age", r6=_DISPLAY_R)
 
 
+_CLUBS, _YEARS = [f"NATION_{i}" for i in range(0, 25, 3)], ["1995", "1996", "1998"]
+
+
+@query("shortlist_clubs_seasons", sql(f"""
+SELECT "League", "Player", "Squad", season, "Min", "Gls" FROM cs
+WHERE "Squad" IN ({', '.join(f"'{x}'" for x in _CLUBS)}) AND season IN ({', '.join(f"'{x}'" for x in _YEARS)})
+  AND {AGE} BETWEEN 20 AND 30 AND market_value_eur BETWEEN 0 AND 80000000""", "cs"))
+def shortlist_clubs_seasons(spark, sf):
+    """The club and season filters, on rows of single seasons."""
+    wanted = serving.ShortlistQuery(clubs=_CLUBS, seasons=_YEARS, ages=(20, 30), values_m=(0, 80))
+    d = serving.shortlist(b.cust_season(spark, sf).withColumnRenamed("season", "_season"), wanted)
+    return d.select("League", "Player", "Squad", c("_season").alias("season"), "Min", "Gls")
+
+
 @query("top_undervalued", sql('SELECT "League", "Player", round(uv_score, 6) AS uv_score FROM uv ORDER BY uv.uv_score DESC, "League", "Player" LIMIT 5', "uv"))
 def top_undervalued(spark, sf):
     return pick(serving.top_n(b.valued(spark, sf)), "League", "Player", r6=["uv_score"])
