@@ -97,13 +97,18 @@ def add_per90(df: DataFrame, stats=PER90_STATS, minutes="Min") -> DataFrame:
     return df.withColumns(new) if new else df
 
 
-def league_span(players: DataFrame, league="League") -> DataFrame:
-    """Per league the number of seasons and the latest one, from a roll-up."""
-    return (
+def league_span(players: DataFrame, league="League", supplied: int | None = None) -> DataFrame:
+    """Per league the number of seasons and the latest one, from a roll-up.
+
+    ``supplied`` is the number of seasons given to the job where some may hold no
+    rows; each league then counts that many.
+    """
+    span = (
         players.select(c(league), F.explode("seasons").alias("s"))
         .groupBy(c(league))
         .agg(F.size(F.collect_set("s")).alias("n_seasons"), F.max("s").alias("latest"))
     )
+    return span if supplied is None else span.withColumn("n_seasons", F.lit(supplied))
 
 
 def career_minutes(

@@ -26,12 +26,14 @@ def build_dataset(
     standings: DataFrame | None = None,
     per_season: float = MIN_MINUTES_PER_SEASON,
     order=("Rk",),
+    seasons: int | None = None,
 ) -> DataFrame | None:
     """One row per (league, player).
 
     ``tables`` maps a table name to one DataFrame with ``League`` and ``season``
     columns holding every league and season. ``standings`` has (League, season,
-    Squad, Rk); each league's latest season is used. Order of steps: roll-up,
+    Squad, Rk); each league's latest season is used. ``seasons`` is the number of
+    seasons supplied, where one may be empty, and sets the minutes threshold. Order of steps: roll-up,
     position, minutes, activity, xG, per-90, standings, market values.
     """
     wide = star_join(tables)
@@ -39,7 +41,7 @@ def build_dataset(
         return None
     wide = coerce_numeric(wide, ("League", "season", *JOIN_KEYS, "Nation", *order))
     players = cut_lineage(season_rollup(wide, order=order))
-    span = small_side(league_span(players))
+    span = small_side(league_span(players, supplied=seasons))
     players = derive_rates(players).withColumn("Pos", primary_position(c("Pos")))
     players = career_minutes(players, span, per_season=per_season)
     players = still_active(players, span).drop("last_season", "seasons")

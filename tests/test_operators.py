@@ -76,6 +76,7 @@ def test_rollup(spark):
     got = rows(out, "Player", "Gls", "Ast", "Squad", "Pos", "single_season", "last_season")
     assert got == [("A", 15.0, 0.0, "New", "FW", False, "2024-25"), ("B", 0.0, 1.0, "X", "GK", True, "2024-25")]
     assert rows(rollup.league_span(out), "League", "n_seasons", "latest") == [("L", 2, "2024-25")]
+    assert rows(rollup.league_span(out, supplied=3), "League", "n_seasons", "latest") == [("L", 3, "2024-25")]
 
 
 def test_rates_only_where_inputs_exist(spark):
