@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 
 import numpy as np
 
@@ -11,47 +12,46 @@ from scoutframe.llm.common import per_process
 
 LONG_TEXT = 1 << 20
 LONG_PIECE = 64
+LETTER, DIGIT = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
 
 
 class PieceEncoder:
-    """The ids that the tokenizers library gives, found by encoding each distinct piece of a text once.
-
-    A text is cut where white space follows another character: no token crosses such a place, so the ids of
-    the pieces, joined, are those of the whole text (tested).  The first ``most`` short pieces seen stay in
-    memory; the others go to the library again, plain ones together as one text whose ids show where each
-    ends.  Texts with an added token or a character that the library and Python class differently are
-    encoded whole.  Long texts are cut in slices first, so a call's memory does not grow with the text.
+    """The ids that the tokenizers library gives, found by encoding each distinct part of a text once.
+
+    A text is cut in pieces where white space follows another character: no token crosses such a place.  A piece
+    of Latin-1 characters is cut further, where the vocabulary's own rule ends a word or a run of signs.  So the
+    ids of the parts, joined, are those of the whole text (tested).  Up to ``most`` short pieces and as many
+    parts stay in memory; the others go to the library again.  Texts with an added token or a character that
+    the library and Python class differently are encoded whole.  Long texts are cut in slices first, so a call's
+    memory does not grow with the text.
     """
 
     SLICE_END = re.compile(r"\S(?=\s)")
     UNCOMMON = ("\x1c", "\x1d", "\x1e", "\x1f", "Σ", "<|")
+    BEYOND_LATIN_1 = re.compile(r"[^\x00-\xff]")
 
     def __init__(self, path: str, most: int) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.most, self.known = most, {}
-        vocabulary = self.library.get_vocab()
-        self.mark = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.mark[[i for token, i in vocabulary.items() if self.marked(token)]] = True
-
-    def _alone(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _new(self, pieces: list[str]) -> dict[str, bytes]:
-        plain, out = list(filter(self.plain, pieces)), {}
-        if plain:
-            line = self.library.encode_batch_fast([self.line(plain)], add_special_tokens=False)[0]
-            ids = np.array(line.ids, "<u4")
-            raw, ends = ids.tobytes(), (self.ends(np.flatnonzero(self.mark[ids]), len(ids), plain) * 4).tolist()
-            before = 0
-            for p, end in zip(plain, ends, strict=True):
-                out[p] = raw[before:end]
-                before = end
-        other = [p for p in pieces if p not in out]
-        if other:
-            out.update(zip(other, self._alone(other), strict=True))
+        self.most, self.pieces, self.parts = most, {}, {}
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        found = (x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False))
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in found]
+
+    def _remember(self, store: dict[str, bytes], fresh: dict[str, bytes]) -> None:
+        if len(store) < self.most:
+            store.update((p, x) for p, x in fresh.items() if len(p) <= LONG_PIECE)
+
+    def _new(self, pieces: set[str]) -> dict[str, bytes]:
+        cuts = {p: [p] if self.BEYOND_LATIN_1.search(p) else self.split(p) for p in pieces}
+        known = self.parts
+        new = [x for x in {x for parts in cuts.values() for x in parts} if x not in known]
+        fresh = dict(zip(new, self._library(new), strict=True)) if new else {}
+        out = {p: b"".join([known.get(x) or fresh.get(x, b"") for x in parts]) for p, parts in cuts.items()}
+        self._remember(known, fresh)
         return out
 
     def _slices(self, text: str):
@@ -63,68 +63,48 @@ class PieceEncoder:
             at = end
 
     def _slice(self, text: str) -> bytes:
-        pieces, known = self.cut(text), self.known.get
-        new = set(pieces).difference(self.known)
-        if not new:
-            return b"".join(map(known, pieces))
-        fresh = self._new(list(new))
-        out = b"".join([known(p) or fresh.get(p, b"") for p in pieces])
-        if len(self.known) < self.most:
-            self.known.update((p, x) for p, x in fresh.items() if len(p) <= LONG_PIECE)
-        return out
+        pieces = self.cut(text)
+        out = list(map(self.pieces.get, pieces))
+        if None in out:
+            at = [i for i, x in enumerate(out) if x is None]
+            fresh = self._new({pieces[i] for i in at})
+            for i in at:
+                out[i] = fresh[pieces[i]]
+            self._remember(self.pieces, fresh)
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if any(x in text for x in self.UNCOMMON):
-            return self._alone([text])[0]
+            return self._library([text])[0]
         return b"".join(map(self._slice, self._slices(text)))
 
 
 class ByteEncoder(PieceEncoder):
-    """For a byte-level BPE file: white space belongs to the piece after it, a plain piece has one leading space."""
+    """For a byte-level BPE file: white space belongs to the piece after it."""
 
     cut = staticmethod(re.compile(r"\s*\S+|\s+").findall)
-    line = staticmethod("".join)
-
-    @staticmethod
-    def marked(token: str) -> bool:
-        return token.startswith("Ġ")  # the letter such files write for a space
-
-    @staticmethod
-    def plain(piece: str) -> bool:
-        return piece[0] == " " and not piece[1:2].isspace() and len(piece) > 1
-
-    @staticmethod
-    def ends(marks: np.ndarray, n: int, pieces: list[str]) -> np.ndarray:
-        return np.append(marks[1:], n)
+    split = staticmethod(re.compile(
+        rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTER}]+| ?[{DIGIT}]+| ?[^\s{LETTER}{DIGIT}]+|\s+(?!\S)|\s+"
+    ).findall)
 
 
 class WordEncoder(PieceEncoder):
-    """For a lower-casing BPE file that drops white space: a piece is a word, plain if it is ASCII."""
+    """For a lower-casing BPE file that drops white space: a piece is a word."""
 
-    PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+    PARTS = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{LETTER}]+|[{DIGIT}]|[^\s{LETTER}{DIGIT}]+")
     cut = staticmethod(str.split)
-    line = staticmethod(" ".join)
-
-    @staticmethod
-    def marked(token: str) -> bool:
-        return token.endswith("</w>")
-
-    @staticmethod
-    def plain(piece: str) -> bool:
-        return piece.isascii()
 
     @classmethod
-    def ends(cls, marks: np.ndarray, n: int, pieces: list[str]) -> np.ndarray:
-        parts = [1 if p.isalpha() else len(cls.PARTS.findall(p.lower())) for p in pieces]
-        return marks[np.cumsum(parts) - 1] + 1
+    def split(cls, piece: str) -> list[str]:
+        return cls.PARTS.findall(piece.lower())
 
 
-def byte_encoder(path: str, most: int = 150_000) -> ByteEncoder:
+def byte_encoder(path: str, most: int = 400_000) -> ByteEncoder:
     return per_process(("byte_encoder", path, most), lambda: ByteEncoder(path, most))
 
 
-def word_encoder(path: str, most: int = 150_000) -> WordEncoder:
+def word_encoder(path: str, most: int = 400_000) -> WordEncoder:
     return per_process(("word_encoder", path, most), lambda: WordEncoder(path, most))
 
 
