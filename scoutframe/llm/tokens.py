@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import struct
+from collections.abc import Callable
 
 import numpy as np
 
@@ -15,44 +16,64 @@ LONG_PIECE = 64
 LETTER, DIGIT = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
 
 
+def byte_letters() -> dict[int, str]:
+    """What byte-level files write for each Latin-1 character: a letter for each of its UTF-8 bytes, which is the
+    byte's own character where that can be seen, else the next one from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in seen]
+    letter = {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(256)}
+
+
+class Remembered(dict):
+    """Ids by text, made when first asked for; the first ``most`` short texts are kept."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int) -> None:
+        self.make, self.most = make, most
+
+    def __missing__(self, text: str) -> bytes:
+        out = self.make(text)
+        if len(self) < self.most and len(text) <= LONG_PIECE:
+            self[text] = out
+        return out
+
+
 class PieceEncoder:
     """The ids that the tokenizers library gives, found by encoding each distinct part of a text once.
 
     A text is cut in pieces where white space follows another character: no token crosses such a place.  A piece
-    of Latin-1 characters is cut further, where the vocabulary's own rule ends a word or a run of signs.  So the
-    ids of the parts, joined, are those of the whole text (tested).  Up to ``most`` short pieces and as many
-    parts stay in memory; the others go to the library again.  Texts with an added token or a character that
-    the library and Python class differently are encoded whole.  Long texts are cut in slices first, so a call's
-    memory does not grow with the text.
+    of Latin-1 characters is cut further, where the vocabulary's own rule ends a word or a run of signs, and such a
+    part goes straight to the library's model, in the letters that byte-level files write for bytes.  So the ids
+    of the parts, joined, are those of the whole text (tested).  Up to ``most`` short pieces and as many parts stay in memory; the others go to the
+    library again.  Texts with an added token or a character that the library and Python class differently are
+    encoded whole.  Long texts are cut in slices first, so a call's memory does not grow with the text.
     """
 
     SLICE_END = re.compile(r"\S(?=\s)")
     UNCOMMON = ("\x1c", "\x1d", "\x1e", "\x1f", "Σ", "<|")
     BEYOND_LATIN_1 = re.compile(r"[^\x00-\xff]")
+    symbols = byte_letters()
 
     def __init__(self, path: str, most: int) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.most, self.pieces, self.parts = most, {}, {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        found = (x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False))
-        return [struct.pack(f"<{len(ids)}I", *ids) for ids in found]
-
-    def _remember(self, store: dict[str, bytes], fresh: dict[str, bytes]) -> None:
-        if len(store) < self.most:
-            store.update((p, x) for p, x in fresh.items() if len(p) <= LONG_PIECE)
-
-    def _new(self, pieces: set[str]) -> dict[str, bytes]:
-        cuts = {p: [p] if self.BEYOND_LATIN_1.search(p) else self.split(p) for p in pieces}
-        known = self.parts
-        new = [x for x in {x for parts in cuts.values() for x in parts} if x not in known]
-        fresh = dict(zip(new, self._library(new), strict=True)) if new else {}
-        out = {p: b"".join([known.get(x) or fresh.get(x, b"") for x in parts]) for p, parts in cuts.items()}
-        self._remember(known, fresh)
-        return out
+        self.model = self.library.model
+        self.pieces, self.parts = Remembered(self._piece, most), Remembered(self._part, most)
+
+    def _whole(self, text: str) -> bytes:
+        ids = self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _part(self, part: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(part.translate(self.symbols))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _piece(self, piece: str) -> bytes:
+        if not piece.isascii() and self.BEYOND_LATIN_1.search(piece):
+            return self._whole(piece)
+        return b"".join(map(self.parts.__getitem__, self.split(piece)))
 
     def _slices(self, text: str):
         at = 0
@@ -62,22 +83,11 @@ class PieceEncoder:
             yield text[at:end]
             at = end
 
-    def _slice(self, text: str) -> bytes:
-        pieces = self.cut(text)
-        out = list(map(self.pieces.get, pieces))
-        if None in out:
-            at = [i for i, x in enumerate(out) if x is None]
-            fresh = self._new({pieces[i] for i in at})
-            for i in at:
-                out[i] = fresh[pieces[i]]
-            self._remember(self.pieces, fresh)
-        return b"".join(out)
-
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if any(x in text for x in self.UNCOMMON):
-            return self._library([text])[0]
-        return b"".join(map(self._slice, self._slices(text)))
+            return self._whole(text)
+        return b"".join([b"".join(map(self.pieces.__getitem__, self.cut(x))) for x in self._slices(text)])
 
 
 class ByteEncoder(PieceEncoder):
