@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scoutframe.llm.common import crc_mod
 from scoutframe.llm.decontam import decontaminate
-from scoutframe.llm.langid import UNDETERMINED, fit_profiles, identify
+from scoutframe.llm.langid import UNDETERMINED, fit_profiles, has_letter, identify
 from scoutframe.llm.packing import pack
 from scoutframe.llm.queries import table, vocabulary
 from scoutframe.llm.simhash import near_duplicates
@@ -18,8 +18,14 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: those without any letter go."""
+    """Documents with a language: those without any letter go.
+
+    Where no labelled row gives a profile (``lang`` all NULL, or no labelled row to train on) no language can be
+    told, and every document with a letter stays.
+    """
     profiles = fit_profiles(docs, crc_mod("doc_id", 3) != 1)
+    if not profiles:
+        return docs.where(has_letter(F.col("text"))).select(*COLUMNS)
     found = identify(docs, profiles, lang_pred="_lang_pred", score="_score")
     return found.where(F.col("_lang_pred") != UNDETERMINED).select(*COLUMNS)
 

@@ -115,6 +115,18 @@ def fit_profiles(
     return {k: [g for _, g in sorted(v)] for k, v in sorted(profiles.items())}
 
 
+def has_letter(text: Column) -> Column:
+    """Whether a text has a letter, by the same table of letters as ``codes_of``; NULL has none."""
+
+    @F.pandas_udf("boolean")
+    def found(texts):
+        import pandas as pd
+
+        return pd.Series([bool(t) and len(codes_of(t)) > 0 for t in texts], dtype=bool)
+
+    return found(text)
+
+
 class Profiles:
     """Ranks of every profile gram in every language."""
 

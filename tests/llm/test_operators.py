@@ -418,3 +418,17 @@ def test_pipeline(spark):
     flags = decontaminate(kept["substrings"], bench).collect()
     assert clean == {r.doc_id for r in flags if not r.n_hit} and len(clean) > 0
     assert {r.doc_id for r in kept["packing"].collect()} == clean
+
+
+def test_language_stage_without_profiles(spark):
+    """Documents with a letter stay where lang is all NULL or no labelled row is trained on."""
+    import corpus_pipeline
+
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 3 == 1)
+    texts = [(200, "né ja"), (201, "12 ... 7"), (202, None), (203, ""), (held, "日本"), (None, "plain words")]
+    for label in (None, "aa"):
+        rows = [(i, t, label if i == held else None, "s", 1) for i, t in texts]
+        frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+        out = corpus_pipeline.language(spark, frame, "")
+        assert out.columns == list(corpus_pipeline.COLUMNS)
+        assert sorted(key(r.doc_id) for r in out.collect()) == sorted(key(i) for i in (200, held, None))
