@@ -18,45 +18,65 @@ MAGIC = b"RPR1"
 HEADER = "<4sIQQQQ"  # magic, first nonterminal, documents, rules, symbols, tokens
 
 
-SLOT_BITS = 19
+SLOT_BITS = 22
 
 
-def compress(seq: np.ndarray, ends: np.ndarray, rounds: int, most: int, least: int):
+def _frequent(seq: np.ndarray, ends: np.ndarray, least: int, most: int | None):
+    """(pairs, place, rank of the pair at the place): the pairs with ``least`` places, most frequent first.
+
+    Every pair is counted exactly; of overlapping places of one pair every other one counts, from the left.  Hash
+    slots whose pairs have fewer places together hold no such pair, so only the places of the others are sorted.
+    No pair spans two documents.
+    """
+    at = np.flatnonzero(~ends[:-1])
+    keys = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
+    repeat = np.flatnonzero((keys[1:] == keys[:-1]) & (np.diff(at) == 1)) + 1
+    if len(repeat):
+        run = np.concatenate(([True], np.diff(repeat) != 1))
+        index = np.arange(len(repeat))
+        odd = repeat[(index - index[run][np.cumsum(run) - 1]) % 2 == 0]
+        at, keys = np.delete(at, odd), np.delete(keys, odd)
+    bits = min(SLOT_BITS, len(keys).bit_length() + 1)
+    slot = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+    full = np.bincount(slot, minlength=1 << bits)[slot] >= least
+    at, keys = at[full], keys[full]
+    order = np.argsort(keys)
+    ordered = keys[order]
+    head = np.flatnonzero(np.diff(ordered, prepend=~ordered[:1]) != 0)
+    counts = np.diff(head, append=len(keys))
+    pairs = ordered[head]
+    best = np.flatnonzero(counts >= least)
+    best = best[np.lexsort((pairs[best], -counts[best]))[:most]]
+    rank_of = np.full(len(pairs), -1, np.int64)
+    rank_of[best] = np.arange(len(best))
+    rank = np.empty(len(keys), np.int64)
+    rank[order] = np.repeat(rank_of, counts)
+    chosen = rank >= 0
+    return pairs[best], at[chosen], rank[chosen]
+
+
+def compress(seq: np.ndarray, ends: np.ndarray, rounds: int | None, most: int | None, least: int):
     """(symbols, rules, first nonterminal): each round replaces frequent pairs by new nonterminals.
 
-    Pairs are dealt to hash slots; each slot stands for one of its pairs, which is counted exactly, and the others
-    have their turn in a later round.  A round takes the up to ``most`` pairs with the highest counts of ``least``
-    or more.  No pair spans two documents.
+    A round takes the pairs with ``least`` places or more.  Where two overlap the more frequent one is replaced; a
+    pair that keeps fewer than ``least`` places so is counted anew in the next round.  The most frequent pair keeps
+    all of its places, so rounds go on until no pair has ``least`` of them.  ``rounds``, and ``most`` as the number
+    of pairs a round, end it earlier if given.
     """
     first = int(seq.max()) + 1 if len(seq) else 0
     rules: list[np.ndarray] = []
-    size = 0
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        keys = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        slot = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-        slot[ends[:-1]] = 1 << SLOT_BITS
-        stands = np.zeros((1 << SLOT_BITS) + 1, np.uint64)
-        stands[slot] = keys
-        own = stands[slot] == keys
-        counts = np.bincount(slot[own], minlength=(1 << SLOT_BITS) + 1)
-        counts[-1] = 0
-        chosen = np.flatnonzero(counts >= least)
-        chosen = chosen[np.lexsort((stands[chosen], -counts[chosen]))[:most]]
-        if not len(chosen):
+    size = done = 0
+    while len(seq) > 1 and (rounds is None or done < rounds):
+        pairs, at, rank = _frequent(seq, ends, least, most)
+        if not len(pairs):
             break
-        rule_of = np.full((1 << SLOT_BITS) + 1, -1, np.int32)
-        rule_of[chosen] = np.arange(len(chosen))
-        i = rule_of[slot]
-        at = np.flatnonzero((i >= 0) & own)
-        i = i[at]
-        # of overlapping places every other one is replaced, from the left
-        run = np.concatenate(([True], np.diff(at) != 1))
-        index = np.arange(len(at))
-        take = (index - index[run][np.cumsum(run) - 1]) % 2 == 0
-        at, i = at[take], i[take]
-        pairs = stands[chosen]
+        held = np.full(len(seq) + 2, len(pairs), np.int32)
+        held[at + 1] = rank
+        take = (rank < held[at]) & (rank < held[at + 2])
+        paid = np.bincount(rank[take], minlength=len(pairs)) >= least
+        take &= paid[rank]
+        number = np.cumsum(paid) - 1
+        at, i, pairs = at[take], number[rank[take]], pairs[paid]
         rules.append(np.stack((pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)), 1).astype(np.uint32))
         seq = seq.copy()
         seq[at] = (first + size + i).astype(np.uint32)
@@ -64,20 +84,20 @@ def compress(seq: np.ndarray, ends: np.ndarray, rounds: int, most: int, least: i
         ends[at] = ends[at + 1]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        seq, ends, size = seq[keep], ends[keep], size + len(chosen)
+        seq, ends, size, done = seq[keep], ends[keep], size + len(pairs), done + 1
     return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), first
 
 
 def expansion_lengths(rules: np.ndarray, first: int) -> np.ndarray:
     """Tokens under each rule; a rule only names symbols before it."""
     lengths = np.ones(len(rules), np.int64)
-    for _ in range(64):
+    for _ in range(len(rules) + 1):
         sides = [np.where(s >= first, lengths[np.maximum(s.astype(np.int64) - first, 0)], 1) for s in rules.T]
         new = sides[0] + sides[1] if len(rules) else lengths
         if np.array_equal(new, lengths):
             return lengths
         lengths = new
-    raise ValueError("rules are nested too deep")
+    raise ValueError("a rule names itself")
 
 
 def expand(seq: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
@@ -100,7 +120,7 @@ def _from_planes(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
 
 
-def write_block(docs: list, ids: list[bytes], rounds: int, most: int, least: int) -> bytes:
+def write_block(docs: list, ids: list[bytes], rounds: int | None, most: int | None, least: int) -> bytes:
     """The file image: header, document ids and sizes, rules, their expansion lengths, symbols."""
     sizes = np.array([len(x) // 4 for x in ids], np.int64)
     tokens = np.frombuffer(b"".join(ids), np.uint32)
@@ -164,14 +184,15 @@ def write_tokens(
     text: str = "text",
     end_id: int = 1,
     block_tokens: int = 1 << 21,
-    rounds: int = 2,
-    pairs_per_round: int = 2048,
+    rounds: int | None = None,
+    pairs_per_round: int | None = None,
     least: int = 8,
 ) -> None:
     """Write every document's ids and ``end_id`` in ascending order of doc_id, as blocks in a Parquet folder.
 
     Documents are dealt to shards by ranges of doc_id and sorted there (NULL first, equal ids by text).  A block
-    of a shard closes with the document that brings it to ``block_tokens``; each has its own grammar.  NULL or
+    of a shard closes with the document that brings it to ``block_tokens``; each has its own grammar, in which no pair is
+    left with ``least`` places unless ``rounds`` or ``pairs_per_round`` end it earlier.  NULL or
     empty text is ``end_id`` alone; other columns are ignored; an empty table gives an empty folder.
     """
     end = np.array([end_id], np.uint32).tobytes()

@@ -202,6 +202,32 @@ def test_block_random_access():
         Block(b"XXXX" + image[4:])
 
 
+def test_no_frequent_pair_is_left():
+    """With the settings that write_tokens has, every pair of the symbols is below ``least``, counted plainly."""
+    import inspect
+
+    given = inspect.signature(write_tokens).parameters
+    rounds, most, least = (given[k].default for k in ("rounds", "pairs_per_round", "least"))
+    rng = np.random.default_rng(3)
+    passage = rng.integers(10, 40_000, 1000)
+    copies = [np.concatenate((rng.integers(10, 40_000, 5), passage, [1])).astype(np.uint32) for _ in range(40)]
+    mixed = [rng.choice(30, n).astype(np.uint32) for n in (4000, 1, 0, 3000)] + [np.full(n, 7, np.uint32) for n in (15, 16, 17, 900)]
+    many = [np.append(np.repeat(rng.permutation(50_000), 2), 1).astype(np.uint32) for _ in range(9)]
+    for docs in (copies, mixed, many):
+        docs = [d for d in docs if len(d)]
+        block = Block(write_block(list(range(len(docs))), [d.tobytes() for d in docs], rounds, most, least))
+        assert all(got.tolist() == d.tolist() for (_, _, got), d in zip(block.documents(), docs, strict=True))
+        ends, counts, before = set(np.cumsum([len(d) for d in docs]).tolist()), {}, None
+        seq, at = block.seq.tolist(), block.at.tolist()
+        for i, p in enumerate(zip(seq, seq[1:])):
+            if at[i + 1] in ends or p == before:
+                before = None
+                continue
+            counts[p], before = counts.get(p, 0) + 1, p
+        assert len(block.rules) and max(counts.values(), default=0) < least
+    assert len(Block(write_block(list(range(40)), [d.tobytes() for d in copies], rounds, most, least)).seq) <= 40 * 8
+
+
 def test_pivot_search(spark):
     rng = np.random.default_rng(2)
     data = [(i, rng.normal(0, 0.3, 8).astype(float).tolist()) for i in range(300)]
