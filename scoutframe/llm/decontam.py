@@ -21,9 +21,9 @@ def exact_words(text: Column) -> Column:
     return _words(F.translate(text, UPPER, LOWER))
 
 
-def folded_hashes(text: Column) -> Column:
-    """A hash for each word with all letters lower-cased: equal words have equal hashes, at the same places."""
-    return F.transform(_words(F.lower(text)), lambda w: F.xxhash64(w))
+def word_hashes(text: Column) -> Column:
+    """A hash for each of the exact words: equal words have equal hashes, whatever stands beside them."""
+    return F.transform(exact_words(text), lambda w: F.xxhash64(w))
 
 
 def _winnowed(rows: DataFrame, length: int, gram: int, rest: list[str]) -> DataFrame:
@@ -101,13 +101,13 @@ def decontaminate(
             lists.append(name)
         return df, lists
 
-    entries = windows.select("n", folded_hashes(F.col("words")).alias("wh"))
+    entries = windows.select("n", word_hashes(F.col("words")).alias("wh"))
     marks, lists = kept(entries, ["n"])
     none = F.array().cast("array<struct<n:int,p:int,h:bigint>>")
     marks = marks.select("n", F.explode(F.concat(none, *lists)).alias("k")).where("k.n = n")
     marks = cut_lineage(marks.select("n", F.col("k.h").alias("h")).distinct())
 
-    hashed = rows.select("doc_id", folded_hashes(F.col("text")).alias("wh"))
+    hashed = rows.select("doc_id", word_hashes(F.col("text")).alias("wh"))
     hashed = hashed.select("doc_id", F.size("wh").alias("n_words"), "wh")
     found, lists = kept(hashed, ["doc_id", "n_words"])
     # one row more for each document keeps its number of words

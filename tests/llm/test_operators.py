@@ -296,6 +296,14 @@ def test_decontaminate(spark, docs, empty):
     assert decontaminate(frame, marks.where("false")).where("n_hit > 0").count() == 0
 
 
+def test_decontaminate_capital_sigma(spark):
+    """A capital sigma at a word's end is the same word before a full stop as before a space."""
+    frame = spark.createDataFrame([(1, "x ΝΟΜΟΣ.ΑΡΘΡΟ y"), (2, "νομος αρθρο")], "doc_id long, text string")
+    marks = spark.createDataFrame([(7, "ΝΟΜΟΣ ΑΡΘΡΟ")], "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontaminate(frame, marks).collect()}
+    assert got == {1: (4, 2, ["7"]), 2: (2, 0, [])}
+
+
 def test_decontamination_plan_is_native(spark, docs):
     marks = spark.createDataFrame([(1, COMMON)], "item_id long, text string")
     plan = decontaminate(docs, marks)._jdf.queryExecution().executedPlan().toString()
