@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoutframe.llm.common import crc_mod
+from scoutframe.llm.conversation import damaged, repair_conversations, turns_digest
 from scoutframe.llm.decontam import decontaminate
 from scoutframe.llm.langid import fit_profiles, identify
 from scoutframe.llm.packing import pack
@@ -16,7 +17,7 @@ from scoutframe.llm.substring_dedup import substring_dedup
 from scoutframe.llm.suffix_dedup import suffix_dedup
 from scoutframe.llm.token_store import read_tokens, write_tokens
 from scoutframe.llm.toxicity import fit_toxicity, score_toxicity
-from scoutframe.session import scratch_path
+from scoutframe.session import cut_lineage, scratch_path
 
 
 def vocabulary(name: str) -> str:
@@ -99,11 +100,23 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    found = turns_digest(cut_lineage(repair_conversations(damaged(rows)))).withColumnRenamed("conv_id", "_id")
+    every = rows.select("conv_id").distinct()
+    numbers = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return every.join(found, every["conv_id"].eqNullSafe(found["_id"]), "left").select(
+        "conv_id", *[F.coalesce(x, F.lit(0).cast("long")).alias(x) for x in numbers],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", _sha256(F.lit(""))).alias("repaired_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_packing, op2_suffix_dedup, op3_pivot_search, op4_language_id, op5_decontaminate, op6_toxicity,
-        op7_simhash, op8_quality, op9_substring_dedup, op10_token_store,
+        op7_simhash, op8_quality, op9_substring_dedup, op10_token_store, op11_conversation_repair,
     )
 }
 
@@ -159,4 +172,65 @@ ORACLES = {
         SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
                sha256(coalesce(t, '')) AS kept_sha256
         FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)""",
+    "op11_conversation_repair": r"""
+        WITH RECURSIVE tab AS (
+            SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)),
+                   lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+        keyed AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(
+                       coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT)),
+                       lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 20 AS how
+            FROM conversations, tab),
+        dam AS (
+            SELECT conv_id, turn, CASE WHEN how = 4 THEN 'user' ELSE role END AS role,
+                   CASE how WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                   unnest(range(CASE WHEN how = 3 THEN 2 ELSE 1 END)) AS copy
+            FROM keyed WHERE how <> 0),
+        num AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM dam),
+        marked AS (
+            SELECT *, left(role, 1) AS x, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS px,
+                   CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1
+                        WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2
+                        WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 3 ELSE 0 END AS fault
+            FROM num),
+        stat AS (
+            SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                   count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+                   count(*) FILTER (fault = 3) AS truncated,
+                   count(*) FILTER (i > 1 AND px || x NOT IN ('su', 'ua', 'au')) AS illegal
+            FROM marked GROUP BY conv_id),
+        ins(st, pre, st2, made) AS (VALUES
+            ('b', '', 'b', []::VARCHAR[]), ('s', '', 's', []), ('u', '', 'u', []), ('a', '', 'a', []),
+            ('b', 'I', 'u', ['user:']), ('s', 'I', 'u', ['user:']), ('a', 'I', 'u', ['user:']), ('u', 'I', 'a', ['assistant:']),
+            ('b', 'II', 'a', ['user:', 'assistant:']), ('s', 'II', 'a', ['user:', 'assistant:']),
+            ('u', 'II', 'u', ['assistant:', 'user:'])),
+        move(st2, x, letter, st3, c) AS (VALUES
+            ('b', 's', 'K', 's', 0), ('b', 'u', 'K', 'u', 0), ('s', 'u', 'K', 'u', 0), ('a', 'u', 'K', 'u', 0), ('u', 'a', 'K', 'a', 0),
+            ('b', NULL, 'R', 'u', 2), ('s', NULL, 'R', 'u', 2), ('a', NULL, 'R', 'u', 2), ('u', NULL, 'R', 'a', 2),
+            ('b', NULL, 'D', 'b', 3), ('s', NULL, 'D', 's', 3), ('u', NULL, 'D', 'u', 3), ('a', NULL, 'D', 'a', 3)),
+        walk AS (
+            SELECT conv_id, 0::BIGINT AS i, 'b' AS st, 0::BIGINT AS cost, '' AS audit, []::VARCHAR[] AS made FROM stat
+            UNION ALL
+            SELECT conv_id, i, st, cost, audit, made FROM (
+                SELECT w.conv_id, m.i, v.st3 AS st,
+                       w.cost + 2 * len(n.pre) + v.c + CASE WHEN m.fault = 3 AND v.letter <> 'D' THEN 1 ELSE 0 END AS cost,
+                       w.audit || n.pre || v.letter AS audit,
+                       list_concat(list_concat(w.made, n.made), CASE v.letter WHEN 'D' THEN [] WHEN 'K' THEN [m.role || ':' || m.text]
+                           ELSE [CASE v.st3 WHEN 'u' THEN 'user:' ELSE 'assistant:' END || m.text] END) AS made
+                FROM walk w JOIN marked m ON m.conv_id IS NOT DISTINCT FROM w.conv_id AND m.i = w.i + 1
+                JOIN ins n ON n.st = w.st JOIN move v ON v.st2 = n.st2 AND (v.x IS NULL OR v.x = m.x)
+                WHERE m.fault NOT IN (1, 2) OR v.letter = 'D')
+            QUALIFY row_number() OVER (PARTITION BY conv_id, st ORDER BY cost, audit) = 1),
+        goal AS (
+            SELECT s.*, w.cost + 2 * len(e.pre) AS cost, w.audit || e.pre AS audit, list_concat(w.made, e.made) AS made
+            FROM stat s JOIN walk w ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND s.n = w.i
+            JOIN ins e ON e.st = w.st AND e.st2 IN ('b', 'a')
+            QUALIFY row_number() OVER (PARTITION BY s.conv_id ORDER BY w.cost + 2 * len(e.pre), w.audit || e.pre) = 1)
+        SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank,
+               coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+               coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit,
+               sha256(coalesce(array_to_string(made, chr(10)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN goal g ON c.conv_id IS NOT DISTINCT FROM g.conv_id""",
 }
