@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scoutframe.llm.common import crc_mod
 from scoutframe.llm.conversation import damaged, repair_conversations, turns_digest
 from scoutframe.llm.decontam import decontaminate
+from scoutframe.llm.hard_negatives import hard_negatives
 from scoutframe.llm.langid import fit_profiles, identify
 from scoutframe.llm.packing import pack
 from scoutframe.llm.pivot_search import top_inner_products
@@ -112,11 +113,18 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", label)
+    return hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_packing, op2_suffix_dedup, op3_pivot_search, op4_language_id, op5_decontaminate, op6_toxicity,
         op7_simhash, op8_quality, op9_substring_dedup, op10_token_store, op11_conversation_repair,
+        op13_hard_negatives,
     )
 }
 
@@ -233,4 +241,22 @@ ORACLES = {
                coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit,
                sha256(coalesce(array_to_string(made, chr(10)), '')) AS repaired_sha256
         FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN goal g ON c.conv_id IS NOT DISTINCT FROM g.conv_id""",
+    "op13_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_dot_product(a.v, c.v)::BIGINT AS score
+            FROM v a JOIN v c ON a.vec_id <> c.vec_id AND len(a.v) = len(c.v) WHERE a.vec_id % 100 = 0),
+        p AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+        n AS (
+            SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+                   row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank
+            FROM p JOIN s USING (anchor_id)
+            WHERE NOT same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
+        SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10""",
 }
