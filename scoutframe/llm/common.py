@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scoutframe.session import ROWS_PER_SALT, small_side
+
 NO_ID = -(2**63)
 BASE = 0x9E3779B97F4A7C15
 SLICE = 1 << 16
@@ -34,6 +36,20 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[f"`{old}`"].alias(new) for new, old in columns.items()])
 
 
+def join_counted(many: DataFrame, one: DataFrame, key: str, rows: str, how: str = "inner") -> DataFrame:
+    """``many`` joined with ``one``, which has a row per ``key`` and, in ``rows``, how many of ``many`` have that key.
+
+    The rows of a key with over ``ROWS_PER_SALT`` are dealt out to several tasks, and the key's row of ``one`` to
+    all of them; heavy keys are at most as many as ``many`` has rows, over that number.
+    """
+    parts = F.ceil(F.col(rows) / ROWS_PER_SALT).cast("int")
+    heavy = small_side(one.where(F.col(rows) > ROWS_PER_SALT).select(key, parts.alias("_parts")))
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{x}`") for x in many.columns]), F.coalesce("_parts", F.lit(1))).cast("int")
+    left = many.join(heavy, key, "left").withColumn("_salt", salt).drop("_parts")
+    right = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 bytes of a string column; NULL is empty."""
     if isinstance(column, pa.ChunkedArray):

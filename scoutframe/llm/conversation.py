@@ -22,8 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoutframe.llm.common import pick
-from scoutframe.session import ROWS_PER_SALT, cut_lineage, small_side
+from scoutframe.llm.common import join_counted, pick
+from scoutframe.session import cut_lineage, small_side
 
 START, SYSTEM, USER, DONE = range(4)  # no turn yet; a system turn; ends in user; ends in assistant
 STATES = (START, SYSTEM, USER, DONE)
@@ -158,16 +158,11 @@ def _with_duplicates(rows: DataFrame) -> DataFrame:
     """Adds ``fault``; the turns that repeat one another are dealt out where they are many."""
     first = (
         rows.where("not blank").groupBy("who").agg(F.min(F.struct("turn", "n")).alias("first"), F.count(F.lit(1)).alias("_rows"))
-        .where("_rows > 1").withColumn("_parts", F.ceil(F.col("_rows") / ROWS_PER_SALT).cast("int"))
+        .where("_rows > 1")
     )
-    heavy = small_side(first.where("_parts > 1").select("who", "_parts"))
-    salt = F.pmod(F.xxhash64("n"), F.coalesce("_parts", F.lit(1))).cast("int")
-    left = rows.join(heavy, "who", "left").withColumn("_salt", salt).drop("_parts")
-    right = first.select("who", "first", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_salt"))
-    repeated = F.col("first").isNotNull() & (F.col("first") != F.struct("turn", "n"))
-    repeated = repeated & ~F.col("first").eqNullSafe(F.struct("turn", "n"))
+    repeated = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.struct("turn", "n"))
     fault = F.when(F.col("blank"), BLANK).when(repeated, DUPLICATE).when(F.col("truncated"), TRUNCATED).otherwise(SOUND)
-    return left.join(right, ["who", "_salt"], "left").withColumn("fault", fault).drop("who", "_salt", "first")
+    return join_counted(rows, first, "who", "_rows", "left").withColumn("fault", fault).drop("who", "first", "_rows")
 
 
 def _block_summary(rows: list[tuple]) -> str:

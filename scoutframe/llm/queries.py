@@ -9,6 +9,7 @@ from scoutframe.llm.common import crc_mod
 from scoutframe.llm.conversation import damaged, repair_conversations, turns_digest
 from scoutframe.llm.decontam import decontaminate
 from scoutframe.llm.hard_negatives import hard_negatives
+from scoutframe.llm.jaccard_join import similar_documents
 from scoutframe.llm.langid import fit_profiles, identify
 from scoutframe.llm.packing import pack
 from scoutframe.llm.pivot_search import top_inner_products
@@ -113,6 +114,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     rows = table(spark, sf_dir, "embeddings").withColumn("label", label)
@@ -124,7 +129,7 @@ QUERIES = {
     for f in (
         op1_packing, op2_suffix_dedup, op3_pivot_search, op4_language_id, op5_decontaminate, op6_toxicity,
         op7_simhash, op8_quality, op9_substring_dedup, op10_token_store, op11_conversation_repair,
-        op13_hard_negatives,
+        op12_jaccard_join, op13_hard_negatives,
     )
 }
 
@@ -241,6 +246,23 @@ ORACLES = {
                coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit,
                sha256(coalesce(array_to_string(made, chr(10)), '')) AS repaired_sha256
         FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN goal g ON c.conv_id IS NOT DISTINCT FROM g.conv_id""",
+    "op12_jaccard_join": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                   'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS k
+            FROM (SELECT *, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM d WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        common AS (
+            SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.k = y.k AND x.doc_id <> y.doc_id
+            GROUP BY x.doc_id, y.doc_id),
+        link AS (
+            SELECT a, b FROM common JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b
+            WHERE 100 * shared >= 90 * (p.n + q.n - shared)),
+        reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b)
+        SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id
+        FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a) USING (doc_id)""",
     "op13_hard_negatives": """
         WITH v AS (
             SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
