@@ -1,7 +1,8 @@
 """Documents whose sets of word shingles are nearly equal: a grouped prefix join.
 
-Shingles have a global order.  Two sets as alike as asked share one of their first few shingles, the prefix;
-sets of one size and one prefix form a group, and only groups meet, on the shingles of their prefixes.
+Shingles have a global order: by hash, but those common in a bounded sample come last.  Two sets as alike as
+asked share one of their first few shingles, the prefix; sets of one size and one prefix form a group, and only
+groups meet, on the shingles of their prefixes.
 
 1. Equal sets are one class, so copies cost nothing.
 2. On each prefix shingle the groups are tied to few leaders; these star pairs are verified on whole sets and
@@ -10,8 +11,8 @@ sets of one size and one prefix form a group, and only groups meet, on the shing
 4. Every two groups that meet on a shingle, may be alike, and have members in different components are expanded
    into such members and verified.  Nothing else can add a link between components.
 
-Sizes, places in the prefix, and the parity of 256 hash bits (which bounds the sets' difference from below)
-filter pairs; none of these filters loses a link.
+Sizes, places in the prefix, the parity of 256 hash bits and the prefixes' own difference (both bound that of
+the sets from below) filter pairs; none of these filters loses a link.
 """
 
 from __future__ import annotations
@@ -32,8 +33,10 @@ BITS = [f"b{i}" for i in range(WORDS)]
 PART_ROWS = 16_384
 TILE = 1024
 LEADERS = 32
+LONG_RUN = 256
 MOST_MOVED = 100_000
-ROUNDS = 4
+ROUNDS = 2
+SAMPLE, COMMON = 5000, 5
 
 
 def shingle_sets(texts: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,77 +137,108 @@ def _may_link(rows: dict, i, j, percent: int, bitwise) -> np.ndarray:
     return ok & ((apart <= n + m - 2 * least) | ~bitwise)
 
 
+def _run_ids(rows: dict) -> np.ndarray:
+    token, cell = rows["token"], rows["cell"]
+    new = np.ones(len(token), bool)
+    new[1:] = (token[1:] != token[:-1]) | (cell[1:] != cell[:-1])
+    return np.cumsum(new)
+
+
 def _stars(rows: dict, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(entry, leader) pairs: leaders have most copies, and an entry is tied to the first that it may be alike to."""
-    order = np.lexsort((rows["c"], -rows["copies"]))
-    left, a, b = order, [], []
+    """(entry, leader) pairs, all runs at a time: leaders have most copies, and an entry is tied to the first
+    that it may be alike to."""
+    run = _run_ids(rows)
+    left = np.lexsort((rows["c"], -rows["copies"], run))
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for _ in range(LEADERS):
-        if len(left) < 2:
+        new = np.ones(len(left), bool)
+        new[1:] = run[left[1:]] != run[left[:-1]]
+        lead = left[np.maximum.accumulate(np.where(new, np.arange(len(left)), 0))]
+        left, lead = left[~new], lead[~new]
+        if not len(left):
             break
-        lead, left = left[0], left[1:]
         tied = _may_link(rows, left, lead, percent, np.True_)
         a.append(left[tied])
-        b.append(np.full(int(tied.sum()), lead))
+        b.append(lead[tied])
         left = left[~tied]
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *a]), np.concatenate([none, *b])
+    return np.concatenate(a), np.concatenate(b)
 
 
-def _meetings(rows: dict, percent: int, crossing: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Entry pairs of different labels and groups that may be alike; ``crossing``: only those of two sides."""
+def _short_meetings(rows: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Every two entries of one run, all runs at a time; no run is long."""
+    run = _run_ids(rows)
+    for d in range(1, len(run)):
+        i = np.flatnonzero(run[d:] == run[:-d])
+        if not len(i):
+            break
+        yield i, i + d
+
+
+def _long_meetings(rows: dict, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Every two entries of a run whose sizes are near enough, in tiles."""
     order = np.argsort(rows["n"], kind="stable")
     n = rows["n"][order]
     for x in range(0, len(order), TILE):
-        i = order[x : x + TILE]
         high = int(n[min(x + TILE, len(order)) - 1]) * 100 // percent
         stop = int(np.searchsorted(n, high, "right"))
         for y in range(x, stop, TILE):
-            j = order[y : min(y + TILE, stop)]
-            one, two = i[:, None], j[None]
-            ok = (rows["label"][one] != rows["label"][two]) & (rows["g"][one] != rows["g"][two])
-            if crossing:
-                ok &= rows["side"][one] != rows["side"][two]
+            i, j = order[x : x + TILE], order[y : min(y + TILE, stop)]
+            p, q = (v.ravel() for v in np.meshgrid(i, j, indexing="ij"))
             if y == x:
-                ok &= np.arange(len(i))[:, None] < np.arange(len(j))[None]
+                below = (np.arange(len(i))[:, None] < np.arange(len(j))[None]).ravel()
+                p, q = p[below], q[below]
+            yield p, q
+
+
+def _meetings(rows: dict, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Entry pairs of different labels and groups that may be alike; in a cell of two parts those of two sides."""
+    run = _run_ids(rows)
+    size = np.bincount(run)[run]
+    short = {c: v[size <= LONG_RUN] for c, v in rows.items()}
+    found = [(short, _short_meetings(short))]
+    for r in np.unique(run[size > LONG_RUN]):
+        long = {c: v[run == r] for c, v in rows.items()}
+        found.append((long, _long_meetings(long, percent)))
+    for part, pairs in found:
+        for i, j in pairs:
+            cells, cell = part["cells"][i], part["cell"][i]
+            ok = (part["label"][i] != part["label"][j]) & (part["g"][i] != part["g"][j])
+            ok &= (cell // cells == cell % cells) | (part["side"][i] != part["side"][j])
+            i, j = i[ok], j[ok]
+            ok = _may_link(part, i, j, percent, part["single"][i] & part["single"][j])
             if ok.any():
-                p, q = np.nonzero(ok)
-                p, q = i[p], j[q]
-                keep = _may_link(rows, p, q, percent, rows["single"][p] & rows["single"][q])
-                yield p[keep], q[keep]
+                yield part, i[ok], j[ok]
+
+
+def _differ(x: np.ndarray, y: np.ndarray, moved: np.ndarray) -> int:
+    """How many shingles two sets differ in at least, from their prefixes: up to the nearer end both are known."""
+    late_x, late_y = np.isin(x, moved), np.isin(y, moved)
+    last = min((bool(late_x[-1]), int(x[-1])), (bool(late_y[-1]), int(y[-1])))
+    x, y = (v[(w < last[0]) | ((w == last[0]) & (v <= np.uint64(last[1])))] for v, w in ((x, late_x), (y, late_y)))
+    return 2 * len(distinct(np.concatenate((x, y)))) - len(x) - len(y)
 
 
 COLUMNS = ["token", "cell", "side", "cells", "pos", "n", "g", "c", "copies", "single", "label", *BITS]
 
 
 def _runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """The columns of each run of one (token, cell), as the sorted rows stream by."""
+    """Columns of whole runs of one (token, cell), several at a time, as the sorted rows stream by."""
     held: list[pa.RecordBatch] = []
-
-    def columns(parts):
-        table = pa.Table.from_batches(parts)
-        return {c: table[c].to_numpy() for c in COLUMNS}
-
     for batch in batches:
         if not batch.num_rows:
             continue
-        token, cell = batch.column("token").to_numpy(), batch.column("cell").to_numpy()
-        edges = np.flatnonzero((token[1:] != token[:-1]) | (cell[1:] != cell[:-1])) + 1
-        if held and (held[0].column("token")[0].as_py(), held[0].column("cell")[0].as_py()) != (token[0], cell[0]):
-            yield columns(held)
-            held = []
-        edges = [0, *edges.tolist(), batch.num_rows]
-        if len(edges) > 2:
-            yield columns([*held, batch.slice(0, edges[1])])
+        last = [(b["token"][0].as_py(), b["cell"][0].as_py()) for b in (held[-1:] + [batch.slice(batch.num_rows - 1)])]
+        token, cell = (batch.column(c).to_numpy() for c in ("token", "cell"))
+        other = np.flatnonzero((token != last[-1][0]) | (cell != last[-1][1]))
+        start = int(other[-1]) + 1 if len(other) else 0  # of the run that may go on
+        if start or held and last[0] != last[-1]:
+            table = pa.Table.from_batches([*held, batch.slice(0, start)])
+            yield {c: table[c].to_numpy() for c in COLUMNS}
             held = []
-            whole = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in COLUMNS}
-            for a, b in zip(edges[1:-2], edges[2:-1]):
-                if b - a > 1:
-                    yield {c: v[a:b] for c, v in whole.items()}
-            held = [batch.slice(edges[-2])]
-        else:
-            held.append(batch)
+        held.append(batch.slice(start))
     if held:
-        yield columns(held)
+        table = pa.Table.from_batches(held)
+        yield {c: table[c].to_numpy() for c in COLUMNS}
 
 
 def _celled(entries: DataFrame) -> DataFrame:
@@ -221,32 +255,66 @@ def _celled(entries: DataFrame) -> DataFrame:
 def _star_pairs(entries: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs_of(batches):
-            if len(rows["c"]) > 1:
-                a, b = _stars(rows, percent)
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(rows["c"][a]), pa.array(rows["c"][b])], ["a", "b"])
+            a, b = _stars(rows, percent)
+            yield pa.RecordBatch.from_arrays([pa.array(rows["g"][a]), pa.array(rows["g"][b])], ["g1", "g2"])
 
-    return _celled(entries).mapInArrow(run, "a long, b long").where("a <> b").distinct()
+    return _celled(entries).mapInArrow(run, "g1 long, g2 long").where("g1 <> g2").distinct()
 
 
 def _group_pairs(entries: DataFrame, percent: int) -> DataFrame:
     names = ["g1", "l1", "g2", "l2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _runs_of(batches):
-            if len(rows["label"]) > 1 and rows["label"].min() != rows["label"].max():
-                several, cell = int(rows["cells"][0]), int(rows["cell"][0])
-                for i, j in _meetings(rows, percent, several > 1 and cell // several != cell % several):
-                    if len(i):
-                        swap = rows["g"][i] > rows["g"][j]
-                        i, j = np.where(swap, j, i), np.where(swap, i, j)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(rows[k][x]) for x in (i, j) for k in ("g", "label")], names
-                        )
+        for every in _runs_of(batches):
+            for rows, i, j in _meetings(every, percent):
+                swap = rows["g"][i] > rows["g"][j]
+                i, j = np.where(swap, j, i), np.where(swap, i, j)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[k][x]) for x in (i, j) for k in ("g", "label")], names)
 
     return _celled(entries).mapInArrow(run, "g1 long, l1 long, g2 long, l2 long").distinct()
 
 
+def _near(pairs: DataFrame, groups: DataFrame, percent: int, moved: np.ndarray) -> DataFrame:
+    """Those of ``pairs`` (g1, g2, ...) whose prefixes do not differ too much; adds the leaders c1 and c2."""
+    theirs = groups.select(F.col("g").alias("g2"), F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("prefix").alias("y"))
+    hubs = pairs.groupBy("g2").agg(F.count(F.lit(1)).alias("rows")).join(theirs, "g2")
+    mine = groups.select(F.col("g").alias("g1"), F.col("c").alias("c1"), F.col("n").alias("n1"), F.col("prefix").alias("x"))
+    met = join_counted(pairs, hubs, "g2", "rows").drop("rows").join(mine, "g1")
+    names = [x for x in met.columns if x not in ("x", "y", "n1", "n2")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = batch.column("n1").to_numpy(), batch.column("n2").to_numpy()
+            most, keep = n + m - 2 * least_overlap(n, m, percent), []
+            for x, y, d in zip(batch.column("x"), batch.column("y"), most.tolist(), strict=True):
+                x, y = (v.values.to_numpy().view(np.uint64) for v in (x, y))
+                keep.append(_differ(x, y, moved) <= d)
+            yield batch.select(names).filter(pa.array(keep, pa.bool_()))
+
+    return met.mapInArrow(run, ", ".join(f"{x} long" for x in names))
+
+
+def _common(docs: DataFrame, shingle: int) -> np.ndarray:
+    """The shingles that over ``COMMON`` texts of a bounded sample share, ascending, ``MOST_MOVED`` at most.
+
+    The sample has about ``SAMPLE`` rows, chosen by hash.  What is common decides the order of shingles, hence
+    the speed; results are the same for any order.
+    """
+    part = max(1, docs.count() // SAMPLE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = list(set(text_bytes(batch.column("text"))))
+            for a, b in slabs(texts, 2 << 20):
+                h, n = np.unique(shingle_sets(texts[a:b], shingle)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n, pa.int64())], ["token", "rows"])
+
+    sample = docs.where(F.pmod(F.xxhash64("k", F.lit(1)), F.lit(part)) == 0).select("text")
+    counts = sample.mapInArrow(run, "token long, rows long").groupBy("token").agg(F.sum("rows").alias("rows"))
+    top = counts.where(F.col("rows") > COMMON).orderBy(F.desc("rows"), "token").limit(MOST_MOVED).select("token")
+    return distinct(top.toArrow()["token"].to_numpy().view(np.uint64))
+
+
 def _sets(docs: DataFrame, needed: DataFrame, shingle: int) -> DataFrame:
     """(c, shingles) of the classes in ``needed`` (k, c, copies), from one text of each."""
 
@@ -308,12 +376,13 @@ def similar_documents(
     where all its ids are NULL.  Other columns are ignored; an empty table gives no rows.
 
     Shingles are 64-bit hashes, sets and prefixes are told apart by 128-bit digests.  A shingle on which over
-    ``most`` components meet is moved to the end of the order (at most ``MOST_MOVED``, the bound rises with the
-    entries); one with over ``PART_ROWS`` groups is cut into parts.
+    ``most`` components meet is moved to the end of the order too (at most ``MOST_MOVED``, as the bound rises with
+    the entries); one with over ``PART_ROWS`` groups is cut into parts.
     """
     docs = pick(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
     docs = docs.withColumn("k", F.xxhash64("doc_id", "text"))
-    prints = cut_lineage(_prints(docs, shingle, percent, np.zeros(0, np.uint64)))
+    moved = _common(docs, shingle)
+    prints = cut_lineage(_prints(docs, shingle, percent, moved))
     classes = cut_lineage(
         prints.where("n > 0").groupBy("sig").agg(
             F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.min("k").alias("k"),
@@ -340,8 +409,10 @@ def similar_documents(
 
     # stars on every shingle, and inside every group
     inside = members.join(groups.where("members > 1").select("g", F.col("c").alias("b")), "g")
-    stars = _star_pairs(entries, percent).unionByName(inside.where("c <> b").select(F.col("c").alias("a"), "b"))
-    links = cut_lineage(_verified(cut_lineage(stars.distinct()), docs, classes, shingle, percent))
+    inside = inside.where("c <> b").select(F.col("c").alias("a"), "b")
+    stars = _near(cut_lineage(_star_pairs(entries, percent)), groups, percent, moved)
+    stars = stars.select(F.col("c1").alias("a"), F.col("c2").alias("b")).unionByName(inside)
+    links = cut_lineage(_verified(cut_lineage(stars), docs, classes, shingle, percent))
 
     def labelled(of: DataFrame) -> DataFrame:
         roots = components(links).select(F.col("node").alias("c"), "root")
@@ -354,7 +425,6 @@ def similar_documents(
         return entries.drop("label").join(owners, "g")
 
     # shingles on which too many components meet go last
-    moved = np.zeros(0, np.uint64)
     for _ in range(ROUNDS):
         open_ = met(entries, members)
         per_token = open_.groupBy("token").agg(F.approx_count_distinct("label").alias("labels"))
@@ -369,6 +439,7 @@ def similar_documents(
 
     # all that is left: members of different components in groups that may be alike
     pairs = cut_lineage(_group_pairs(met(entries, members), percent))
+    pairs = _near(pairs, groups, percent, moved).select("g1", "l1", "g2", "l2")
     known = cut_lineage(members.join(labels, "c").join(classes.select("c", "n"), "c"))
 
     def side(i: int) -> DataFrame:
