@@ -25,6 +25,7 @@ SLACK = 1e-9
 BUCKET = 512
 FOCUS = 4
 NO_SCORE = -(2**63)
+HELD = 10_000  # anchors whose best a task holds
 
 
 class Bucket:
@@ -103,20 +104,16 @@ class Best:
         self.ids, self.scores = ids[top], scores[top]
 
 
-def best_positives(block: Block, row: int, anchor: np.ndarray, k: int) -> Best:
-    best = Best(k)
-
+def best_positives(block: Block, row: int, anchor: np.ndarray, best: Best) -> None:
     def offer(rows, scores):
         other = block.rows[rows] != row
         best.offer(block.ids[rows[other]], scores[other])
 
     block.search(anchor, best.least, offer)
-    return best
 
 
-def best_negatives(block: Block, label: int, anchor: np.ndarray, bounds: list[tuple[int, int]], k: int) -> list[Best]:
-    """For each (least, most) score the first ``k`` rows of another label inside it."""
-    best = [Best(k) for _ in bounds]
+def best_negatives(block: Block, label: int, anchor: np.ndarray, bounds: list[tuple[int, int]], best: list[Best]) -> None:
+    """For each (least, most) score the first rows of another label inside it."""
 
     def offer(rows, scores):
         rows, scores = rows[block.labels[rows] != label], scores[block.labels[rows] != label]
@@ -128,7 +125,6 @@ def best_negatives(block: Block, label: int, anchor: np.ndarray, bounds: list[tu
         return min(max(low, b.least()) for (low, _), b in zip(bounds, best, strict=True))
 
     block.search(anchor, threshold, offer)
-    return best
 
 
 def _smallest(x: np.ndarray) -> np.ndarray:
@@ -187,6 +183,13 @@ def _unpack(r: dict) -> Block:
     return Block(np.frombuffer(r["rows"], np.int64), ids, np.frombuffer(r["labels"], np.int64), vectors)
 
 
+def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, Block]]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            r = batch.slice(i, 1).to_pylist()[0]
+            yield r, _unpack(r)
+
+
 def hard_negatives(
     vectors: DataFrame, is_anchor: Column, positives: int = 5, negatives: int = 10, low: int = 30, high: int = 90,
     vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", factor: int = 256,
@@ -243,14 +246,20 @@ def hard_negatives(
     names = ["row", "positive_id", "positive_score"]
 
     def positive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                r = batch.slice(i, 1).to_pylist()[0]
-                block, out = _unpack(r), []
-                for a in r["asked"]:
-                    best = best_positives(block, a["row"], np.array(a["v"], np.int64), positives)
-                    out.append((np.full(len(best.ids), a["row"]), best.ids, best.scores))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out, strict=True)], names)
+        # an anchor's best go from block to block of a task, so thresholds start high and rows come out once
+        def flushed():
+            out = [(np.full(len(b.ids), row), b.ids, b.scores) for row, b in best.items()]
+            columns = zip(*out, strict=True) if out else [[np.zeros(0, np.int64)]] * 3
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in columns], names)
+
+        best: dict[int, Best] = {}
+        for r, block in _blocks_of(batches):
+            for a in r["asked"]:
+                best_positives(block, a["row"], np.array(a["v"], np.int64), best.setdefault(a["row"], Best(positives)))
+            if len(best) >= HELD:
+                yield flushed()
+                best = {}
+        yield flushed()
 
     label_key = ["dim", "label"]
     unbound = anchors.withColumn("chosen", F.lit(None).cast("string")).withColumn("floor", F.lit(None).cast("double"))
@@ -270,22 +279,27 @@ def hard_negatives(
     out_names = [x.split()[0] for x in schema.split(", ")]
 
     def negative(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                r = batch.slice(i, 1).to_pylist()[0]
-                block, out = _unpack(r), []
-                for a in r["asked"]:
-                    scores = [c["positive_score"] for c in a["chosen"]]
-                    bounds = [(-(-low * s // 100), high * s // 100) for s in scores]
-                    best = best_negatives(block, a["label"], np.array(a["v"], np.int64), bounds, negatives)
-                    for c, b in zip(a["chosen"], best, strict=True):
-                        given = [a["row"], a["vec_id"], c["nth"], c["positive_id"], c["positive_score"]]
-                        out += [(*given, x, s) for x, s in zip(b.ids.tolist(), b.scores.tolist(), strict=True)]
-                if out:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(x, pa.int32() if n == "nth" else pa.int64()) for x, n in zip(zip(*out, strict=True), out_names, strict=True)],
-                        out_names,
-                    )
+        def flushed():
+            out = []
+            for row, (anchor, chosen, found) in best.items():
+                for c, b in zip(chosen, found, strict=True):
+                    given = [row, anchor, c["nth"], c["positive_id"], c["positive_score"]]
+                    out += [(*given, x, s) for x, s in zip(b.ids.tolist(), b.scores.tolist(), strict=True)]
+            columns = zip(*out, strict=True) if out else [()] * len(out_names)
+            kinds = [pa.int32() if n == "nth" else pa.int64() for n in out_names]
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], out_names)
+
+        best: dict[int, tuple] = {}
+        for r, block in _blocks_of(batches):
+            for a in r["asked"]:
+                scores = [c["positive_score"] for c in a["chosen"]]
+                bounds = [(-(-low * s // 100), high * s // 100) for s in scores]
+                _, _, found = best.setdefault(a["row"], (a["vec_id"], a["chosen"], [Best(negatives) for _ in bounds]))
+                best_negatives(block, a["label"], np.array(a["v"], np.int64), bounds, found)
+            if len(best) >= HELD:
+                yield flushed()
+                best = {}
+        yield flushed()
 
     long_enough = F.col("longest") * F.col("reach") * (1 + SLACK) + 1 >= F.col("floor")
     pairs = met(_blocks(rows, ["dim"], block_rows), asking, ["dim"]).where(long_enough)

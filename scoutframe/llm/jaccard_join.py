@@ -5,13 +5,13 @@ asked share one of their first few shingles, the prefix; sets of one size and on
 groups meet, on the shingles of their prefixes.
 
 1. Equal sets are one class, so copies cost nothing.
-2. On each prefix shingle the groups are tied to few leaders; these star pairs are verified on whole sets and
-   give components.  A family of near copies mostly becomes one component here, without all of its pairs.
+2. On the first few shingles of the prefixes groups are tied to leaders; these star pairs are verified on whole
+   sets and give components.  A family of near copies mostly becomes one component here, without all of its pairs.
 3. Shingles on which very many components still meet are moved to the end of the order, and prefixes are drawn anew.
 4. Every two groups that meet on a shingle, may be alike, and have members in different components are expanded
    into such members and verified.  Nothing else can add a link between components.
 
-Sizes, places in the prefix, the parity of 256 hash bits and the prefixes' own difference (both bound that of
+Sizes, places in the prefix, how many shingles long prefixes share, the parity of 256 hash bits and the prefixes' own difference (both bound that of
 the sets from below) filter pairs; none of these filters loses a link.
 """
 
@@ -34,9 +34,12 @@ PART_ROWS = 16_384
 TILE = 1024
 LEADERS = 32
 LONG_RUN = 256
+LONG_PREFIX = 64
+STAR_PLACES = 24
 MOST_MOVED = 100_000
 ROUNDS = 2
 SAMPLE, COMMON = 5000, 5
+BROADCAST_ROWS = 200_000  # of 24 bytes
 
 
 def shingle_sets(texts: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,6 +76,12 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return np.where(n > 0, n - (n * percent + 99) // 100 + 1, 0)
 
 
+def spare_length(n: np.ndarray, percent: int) -> np.ndarray:
+    """By how many shingles the prefixes of large sets are drawn longer; so many more must then be shared."""
+    p = prefix_length(n, percent)
+    return np.where(p >= LONG_PREFIX, p // 4, 0)
+
+
 def least_overlap(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return -(-(n + m) * percent // (100 + percent))
 
@@ -108,7 +117,7 @@ def _prints(docs: DataFrame, shingle: int, percent: int, moved: np.ndarray) -> D
                 if len(moved):
                     late = np.isin(h, moved)
                     ordered = h[np.lexsort((h, late, doc))]
-                p = prefix_length(n, percent)
+                p = np.minimum(prefix_length(n, percent) + spare_length(n, percent), n)
                 chosen = ordered[np.arange(len(h)) - at[:-1][doc] < p[doc]]
                 ends = np.concatenate(([0], np.cumsum(p)))
                 sig = [xxh3_128_digest(h[x:y].tobytes()) for x, y in zip(at, at[1:])]
@@ -131,7 +140,8 @@ def _may_link(rows: dict, i, j, percent: int, bitwise) -> np.ndarray:
     """Whether entries ``i`` and ``j`` of a run can be alike; ``bitwise`` says where the bits tell."""
     n, m = rows["n"][i], rows["n"][j]
     least = least_overlap(n, m, percent)
-    ok = 1 + np.minimum(n - 1 - rows["pos"][i], m - 1 - rows["pos"][j]) >= least
+    ok = 1 + np.minimum(n - 1 - rows["pos"][i], m - 1 - rows["pos"][j]) >= least  # if this is the first they share
+    ok |= np.minimum(spare_length(n, percent), spare_length(m, percent)) > 0  # these are counted on every shingle
     ok &= 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
     apart = sum(np.bitwise_count((rows[b][i] ^ rows[b][j]).view(np.uint64)).astype(np.int64) for b in BITS)
     return ok & ((apart <= n + m - 2 * least) | ~bitwise)
@@ -258,20 +268,27 @@ def _star_pairs(entries: DataFrame, percent: int) -> DataFrame:
             a, b = _stars(rows, percent)
             yield pa.RecordBatch.from_arrays([pa.array(rows["g"][a]), pa.array(rows["g"][b])], ["g1", "g2"])
 
-    return _celled(entries).mapInArrow(run, "g1 long, g2 long").where("g1 <> g2").distinct()
+    return _celled(entries.where(F.col("pos") < STAR_PLACES)).mapInArrow(run, "g1 long, g2 long").where("g1 <> g2").distinct()
 
 
 def _group_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    names = ["g1", "l1", "g2", "l2"]
+    names = ["g1", "l1", "n1", "g2", "l2", "n2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for every in _runs_of(batches):
             for rows, i, j in _meetings(every, percent):
                 swap = rows["g"][i] > rows["g"][j]
                 i, j = np.where(swap, j, i), np.where(swap, i, j)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[k][x]) for x in (i, j) for k in ("g", "label")], names)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[k][x]) for x in (i, j) for k in ("g", "label", "n")], names)
+
+    met = _celled(entries).mapInArrow(run, ", ".join(f"{x} long" for x in names))
+    shared = met.groupBy(*names).agg(F.count(F.lit(1)).alias("shared"))
+
+    def spare(n: str) -> Column:
+        p = F.col(n) - F.floor((F.col(n) * percent + 99) / 100) + 1
+        return F.when(p >= LONG_PREFIX, F.floor(p / 4)).otherwise(0)
 
-    return _celled(entries).mapInArrow(run, "g1 long, l1 long, g2 long, l2 long").distinct()
+    return shared.where(F.col("shared") > F.least(spare("n1"), spare("n2"))).select("g1", "l1", "g2", "l2")
 
 
 def _near(pairs: DataFrame, groups: DataFrame, percent: int, moved: np.ndarray) -> DataFrame:
@@ -326,7 +343,7 @@ def _sets(docs: DataFrame, needed: DataFrame, shingle: int) -> DataFrame:
                 sets = [h[x:y].tobytes() for x, y in zip(at, at[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column("c").slice(a, b - a), pa.array(sets, pa.binary())], ["c", "shingles"])
 
-    few = small_side(needed)
+    few = small_side(needed, BROADCAST_ROWS)
     chosen = docs.select("k", "text").join(few, "k") if few is not needed else join_counted(
         docs.select("k", "text"), needed, "k", "copies"
     )

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scoutframe.llm.hard_negatives import Block, best_positives, hard_negatives
+from scoutframe.llm.hard_negatives import Best, Block, best_positives, hard_negatives
 
 SCHEMA = "vec_id long, embedding array<float>, label int, row long, part int, chosen string, length double, v int"
 
@@ -87,7 +87,8 @@ def test_ranges_leave_most_rows_of_a_clear_neighbourhood_out():
     scores = block.scores
     block.scores = lambda anchor, rows: (seen.append(len(range(4096)[rows]) if isinstance(rows, slice) else len(rows)), scores(anchor, rows))[1]
     for a in range(20):
-        best = best_positives(block, a, x[a], 5)
+        best = Best(5)
+        best_positives(block, a, x[a], best)
         s = x @ x[a]
         want = sorted((-int(s[i]), i) for i in range(4096) if i != a)[:5]
         assert [(-v, i) for i, v in zip(best.ids.tolist(), best.scores.tolist())] == want

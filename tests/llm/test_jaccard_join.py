@@ -93,7 +93,7 @@ def test_other_thresholds(spark, rows):
 def test_moved_shingles_and_cut_tokens_lose_nothing(spark, rows, monkeypatch):
     """Common shingles go last in the order, every token is cut into parts, and stars are few."""
     monkeypatch.setattr(jaccard_join, "PART_ROWS", 3)
-    monkeypatch.setattr(jaccard_join, "MOST_MOVED", 10**9)
+    monkeypatch.setattr(jaccard_join, "MOST_MOVED", 10**6)
     assert result(similar_documents(frame(spark, rows), most=3)) == brute(rows)
 
 
