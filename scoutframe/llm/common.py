@@ -8,10 +8,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoutframe.session import ROWS_PER_SALT, small_side
+from scoutframe.session import ROWS_PER_SALT, cut_lineage, small_side
 
 NO_ID = -(2**63)
 BASE = 0x9E3779B97F4A7C15
@@ -50,6 +51,22 @@ def join_counted(many: DataFrame, one: DataFrame, key: str, rows: str, how: str
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
+def with_row(df: DataFrame) -> DataFrame:
+    """``df`` with ``_file`` and ``_at`` (longs), which name a row of a stored table whatever its columns hold.
+
+    They are the hash of the file's path and the row's place in it, so each reading gives the same; a frame that
+    is no plain Parquet table is stored first.
+    """
+    names = ["_file", "_at"]
+    path, at = F.xxhash64("_metadata.file_path").alias(names[0]), F.col("_metadata.row_index").alias(names[1])
+    try:
+        out = df.select("*", path, at)
+        out.schema  # noqa: B018 (raises where there is no such metadata)
+    except AnalysisException:
+        out = cut_lineage(df).select("*", path, at)
+    return out
+
+
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 bytes of a string column; NULL is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -67,7 +67,7 @@ def decontaminate(
     gram: int = 5,
     broadcast_rows: int = 100_000,
 ) -> DataFrame:
-    """(doc_id, n_words, n_hit, items): the words of each document inside any window of a benchmark item.
+    """(doc_id, text_hash, n_words, n_hit, items): the words of each document inside any window of a benchmark item.
 
     A window is ``length`` consecutive words of an item, or a shorter item as a whole.  Of every window of a
     document or an item the smallest ``gram``-word hash is kept with its place, so two equal windows share a
@@ -75,10 +75,13 @@ def decontaminate(
     are compared word by word.  ``items`` lists the ids of items found, as sorted strings.
 
     Words are lower-cased in A-Z only.  NULL and empty text has no words; an item without words is none; items
-    with a NULL id count for hits but are not listed.  Rows with the same doc_id (also NULL) are copies of one
-    document and give one row.  Other columns are ignored; empty tables give no rows or no hits.
+    with a NULL id count for hits but are not listed.  Every row of ``docs`` gives a row: rows that share an id
+    (also NULL) are told apart by ``text_hash``, the XXH64 of the text.  Other columns are ignored; empty tables
+    give no rows or no hits.
     """
     rows = pick(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = rows.withColumn("text_hash", F.xxhash64("text"))
+    who = ["doc_id", "text_hash"]
     items = pick(benchmark, item_id=item_id, text=item_text).select("item_id", exact_words(F.col("text")).alias("w"))
     items = items.where(F.size("w") > 0).withColumn("n", F.least(F.size("w"), F.lit(length)))
     windows = items.select(
@@ -107,19 +110,19 @@ def decontaminate(
     marks = marks.select("n", F.explode(F.concat(none, *lists)).alias("k")).where("k.n = n")
     marks = cut_lineage(marks.select("n", F.col("k.h").alias("h")).distinct())
 
-    hashed = rows.select("doc_id", word_hashes(F.col("text")).alias("wh"))
-    hashed = hashed.select("doc_id", F.size("wh").alias("n_words"), "wh")
-    found, lists = kept(hashed, ["doc_id", "n_words"])
-    # one row more for each document keeps its number of words
+    hashed = rows.select(*who, word_hashes(F.col("text")).alias("wh"))
+    hashed = hashed.select(*who, F.size("wh").alias("n_words"), "wh")
+    found, lists = kept(hashed, [*who, "n_words"])
+    # one entry more for each document keeps its number of words, and how often its row is there
     own = F.array(F.struct(F.lit(0).alias("n"), F.lit(-1).alias("p"), F.xxhash64("doc_id").alias("h")))
-    found = found.select("doc_id", "n_words", F.explode(F.concat(own, *lists)).alias("k"))
-    found = found.select("doc_id", "n_words", "k.n", "k.p", "k.h")
+    found = found.select(*who, "n_words", F.explode(F.concat(own, *lists)).alias("k"))
+    found = found.select(*who, "n_words", "k.n", "k.p", "k.h")
     hits = (
         found.join(_small(marks.withColumn("met", F.lit(True)), broadcast_rows), ["n", "h"], "left")
         .where("met or n = 0")
-        .groupBy("doc_id")
+        .groupBy(*who)
         .agg(
-            F.max("n_words").alias("n_words"),
+            F.max("n_words").alias("n_words"), F.count_if(F.col("n") == 0).alias("copies"),
             F.collect_set(F.when(F.col("n") > 0, F.struct("n", "p"))).alias("places"),
         )
     )
@@ -129,15 +132,23 @@ def decontaminate(
         F.sequence(F.greatest(s["p"] - (s["n"] - F.least(s["n"], F.lit(gram))), F.lit(0)), s["p"]),
         lambda i: F.struct(i.alias("start"), s["n"].alias("n")),
     ))))
-    near = hits.where(F.size("places") > 0).select(F.col("doc_id").alias("_id"), reach.alias("reach"))
-    texts = rows.join(near, rows["doc_id"].eqNullSafe(near["_id"])).select("doc_id", "text", "reach")
-    tried = texts.select("doc_id", exact_words(F.col("text")).alias("w"), "reach")
-    tried = tried.select("doc_id", F.explode(F.transform(
+    near = hits.where(F.size("places") > 0)
+
+    def same(df: DataFrame, id_: str = "_id", hash_: str = "_hash") -> Column:
+        return df["doc_id"].eqNullSafe(F.col(id_)) & (df["text_hash"] == F.col(hash_))
+
+    # the keys of hit documents pick their texts first, so that only those texts move
+    hit_keys = _small(near.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), broadcast_rows)
+    texts = rows.join(hit_keys, same(rows), "left_semi")
+    wanted = near.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), reach.alias("reach"))
+    texts = texts.join(wanted, same(texts))
+    tried = texts.select(*who, exact_words(F.col("text")).alias("w"), "reach")
+    tried = tried.select(*who, F.explode(F.transform(
         F.filter("reach", lambda s: s["start"] + s["n"] <= F.size("w")),
         lambda s: F.struct(s["start"].alias("start"), s["n"].alias("n"),
                            F.array_join(F.slice("w", s["start"] + 1, s["n"]), " ").alias("words")),
-    )).alias("t")).select("doc_id", "t.*")
-    matched = tried.join(_small(windows, broadcast_rows), ["n", "words"]).groupBy("doc_id").agg(
+    )).alias("t")).select(*who, "t.*")
+    matched = tried.join(_small(windows, broadcast_rows), ["n", "words"]).groupBy(*who).agg(
         F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("end")))).alias("spans"),
         F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"),
     )
@@ -146,9 +157,10 @@ def decontaminate(
         (a["n"] + F.greatest(s["end"] - F.greatest(s["start"], a["last"]), F.lit(0))).cast("long").alias("n"),
         F.greatest(a["last"], s["end"]).alias("last"),
     ))["n"]
-    matched = matched.select(F.col("doc_id").alias("_id"), n_hit.alias("n_hit"), "items")
-    return hits.join(matched, hits["doc_id"].eqNullSafe(matched["_id"]), "left").select(
-        "doc_id", F.col("n_words").cast("long").alias("n_words"),
+    matched = matched.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), n_hit.alias("n_hit"), "items")
+    out = hits.join(matched, same(hits), "left").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return out.select(
+        *who, F.col("n_words").cast("long").alias("n_words"),
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
     )

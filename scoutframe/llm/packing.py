@@ -20,13 +20,15 @@ class LevelPacker:
     """Places each piece where the sum over fill levels of (open windows at the level) squared gets smallest.
 
     ``counts[h]`` is the number of open windows filled to ``h``.  Equal sums go to the fuller window.  At most
-    ``most_open`` windows are open; beyond that, and at the end, ``flush`` deals the open pieces out anew.
+    ``most_open`` windows are open: beyond that the fullest window is topped up with ids cut from the emptiest,
+    all other placements stay.  Only at the end ``flush`` deals the open pieces out anew.
     """
 
     def __init__(self, capacity: int, most_open: int = 4096) -> None:
         self.capacity, self.most_open = capacity, most_open
         self.counts = np.zeros(capacity + 1, np.int64)
         self.open: list[list[list[Piece]]] = [[] for _ in range(capacity + 1)]
+        self.held = 0  # windows that are open
 
     def best_level(self, size: int) -> int:
         """The fill level, 0 for a new window, that takes a piece of ``size``."""
@@ -46,21 +48,53 @@ class LevelPacker:
         self.counts[level] -= bool(level)
         window.append(piece)
         if level + size == self.capacity:
+            self.held -= bool(level)
             return [window]
         self.open[level + size].append(window)
         self.counts[level + size] += 1
-        return self.flush(False) if int(self.counts.sum()) > self.most_open else []
+        self.held += not level
+        return self._close_fullest() if self.held > self.most_open else []
+
+    def _close_fullest(self) -> list[list[Piece]]:
+        """The fullest window, filled with the last ids of the emptiest ones; none if all together do not fill it."""
+        levels = np.flatnonzero(self.counts)
+        full, low = int(levels[-1]), int(levels[0])
+        window = self.open[full].pop()
+        self.counts[full] -= 1
+        self.held -= 1
+        room = self.capacity - full
+        while room and self.held:
+            while not self.counts[low]:
+                low += 1
+            giver = self.open[low].pop()
+            self.counts[low] -= 1
+            doc, start, ids, total = giver.pop()
+            keep = max(0, len(ids) - room)
+            window.append((doc, start + keep, ids[keep:], total))
+            room -= len(ids) - keep
+            left = low - (len(ids) - keep)
+            if keep:
+                giver.append((doc, start, ids[:keep], total))
+            if left:
+                self.open[left].append(giver)
+                self.counts[left] += 1
+                low = left
+            else:
+                self.held -= 1
+        if not room:
+            return [window]
+        self.open[self.capacity - room].append(window)
+        self.counts[self.capacity - room] += 1
+        self.held += 1
+        return []
 
-    def flush(self, final: bool) -> list[list[Piece]]:
-        """The open pieces cut into full windows; the rest stays open or, at the end, goes to windows whose
-        sizes are powers of two."""
+    def flush(self) -> list[list[Piece]]:
+        """At the end: the open pieces cut into full windows, what is left in windows whose sizes are powers of two."""
         pieces = [p for level in self.open for window in level for p in window]
         self.open = [[] for _ in range(self.capacity + 1)]
-        self.counts[:] = 0
+        self.counts[:] = self.held = 0
         left = sum(len(p[2]) for p in pieces)
-        out, window, room = [], [], min(self.capacity, left)
-        if final and 0 < left < self.capacity:
-            room = 1 << (left.bit_length() - 1)
+        out, window, room = [], [], self._room(left)
         for doc, start, ids, total in pieces:
             while len(ids):
                 part, ids = ids[:room], ids[room:]
@@ -68,15 +102,13 @@ class LevelPacker:
                 start, room, left = start + len(part), room - len(part), left - len(part)
                 if room == 0:
                     out.append(window)
-                    window, room = [], self.capacity
-                    if left < self.capacity:
-                        room = (1 << (left.bit_length() - 1)) if final and left else self.capacity
-        if window:
-            size = sum(len(p[2]) for p in window)
-            self.open[size].append(window)
-            self.counts[size] = 1
+                    window, room = [], self._room(left)
         return out
 
+    def _room(self, left: int) -> int:
+        """Capacity, or the largest power of two that the ids left fill."""
+        return self.capacity if left >= self.capacity else 1 << max(0, left.bit_length() - 1)
+
 
 def pack(
     docs: DataFrame,
@@ -126,7 +158,7 @@ def pack(
                     emit(packer.place((doc, whole, ids[whole:], len(ids))))
                 if len(rows) >= rows_per_batch:
                     yield table()
-        emit(packer.flush(True))
+        emit(packer.flush())
         if rows:
             yield table()
 

@@ -18,12 +18,14 @@ BLOCKS, BLOCK_BITS, SHIFT = 4, 16, 5
 TILE = 1024
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """(doc_id, fp) with the 64-bit fingerprint of every whole text.
+def fingerprints(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """(doc_id, fp, *carry) with the 64-bit fingerprint of every whole text.
 
     Words are runs of characters other than ASCII white space, A-Z lower-cased; a bit is set if it is set in
     over half of the XXH64 values (seed 42) of the shingles.  Fewer words than a shingle are one shingle; text
-    that is NULL or has no word has fingerprint 0.  Other columns are ignored.
+    that is NULL or has no word has fingerprint 0.  Columns named in ``carry`` come along, others are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,10 +58,13 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
                 set_ = np.packbits(2 * sums > n[:, None], axis=1, bitorder="little")
                 out.append(np.ascontiguousarray(set_).view(np.int64).ravel())
             fp = np.concatenate(out) if out else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+            more = [batch.column(k) for k in carried]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp), *more], ["doc_id", "fp", *carried])
 
-    rows = pick(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    carried = {f"carry{i}": name for i, name in enumerate(carry)}
+    rows = pick(docs, doc_id=doc_id, text=text, **carried).withColumn("doc_id", F.col("doc_id").cast("long"))
+    types = dict(rows.dtypes)
+    return rows.mapInArrow(run, "doc_id long, fp long" + "".join(f", {k} {types[k]}" for k in carried))
 
 
 def _steps(radius: int) -> list[int]:
@@ -150,18 +155,23 @@ def links(distinct: DataFrame, radius: int, home_rows: int = 4096, other_rows: i
 
 
 def near_duplicates(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(doc_id, fingerprint, component_id): texts linked at ``radius`` bits or fewer, directly or by others.
+    """(doc_id, fingerprint, component_id, component, *carry): texts linked at ``radius`` bits or fewer, directly or by others.
 
     ``fingerprint`` has 16 lower-case hex digits; ``component_id`` is the smallest id that can be reached.
     Equal fingerprints are one node, so copies cost nothing; repeated rows give a row each.  A NULL id is no
-    component's name unless all its ids are NULL.  See ``fingerprints`` for NULL and empty texts.
+    component's name unless all its ids are NULL; ``component``, a fingerprint, tells components apart in any case.
+    Columns named in ``carry`` come along unchanged.  See ``fingerprints`` for NULL and empty texts.
     """
-    prints = cut_lineage(fingerprints(docs, doc_id, text, shingle))
+    prints = cut_lineage(fingerprints(docs, doc_id, text, shingle, carry))
     distinct = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(distinct.select("fp"), radius))
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = cut_lineage(named.join(names, "root").select("fp", "component_id"))
-    return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    by_print = cut_lineage(named.join(names, "root").select("fp", "component_id", F.col("root").alias("component")))
+    return prints.join(by_print, "fp").select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component",
+        *[F.col(f"carry{i}").alias(name) for i, name in enumerate(carry)],
+    )

@@ -8,6 +8,8 @@ the corpus and could not be broadcast, so a shard gets only what its documents m
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,39 +20,59 @@ from scoutframe.llm.repeats import Chunk, Windows, covered, repeated
 
 
 class SuffixAutomaton:
-    """All substrings of the passages added so far."""
+    """All substrings of the passages added so far.
+
+    Nearly every state has one way on, which lies in flat arrays; only states with more have a dict, so a word
+    costs some 60 bytes instead of 460 with a dict for each state.
+    """
 
     def __init__(self) -> None:
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.size = [-1], [0]
+        self.word, self.to = array("Q", [0]), array("q", [-1])  # the first way on
+        self.more: dict[int, dict[int, int]] = {}
+        self.link, self.size = array("q", [-1]), array("q", [0])
+
+    def _go(self, state: int, c: int) -> int:
+        to = self.to[state]
+        if to >= 0 and self.word[state] == c:
+            return to
+        ways = self.more.get(state)
+        return -1 if ways is None else ways.get(c, -1)
+
+    def _set(self, state: int, c: int, to: int) -> None:
+        if self.to[state] < 0 or self.word[state] == c:
+            self.word[state], self.to[state] = c, to
+        else:
+            self.more.setdefault(state, {})[c] = to
+
+    def _state(self, word: int, to: int, link: int, size: int) -> int:
+        self.word.append(word)
+        self.to.append(to)
+        self.link.append(link)
+        self.size.append(size)
+        return len(self.size) - 1
 
     def _clone(self, p: int, q: int, c: int) -> int:
-        new = len(self.size)
-        self.next.append(dict(self.next[q]))
-        self.link.append(self.link[q])
-        self.size.append(self.size[p] + 1)
+        new = self._state(self.word[q], self.to[q], self.link[q], self.size[p] + 1)
+        if q in self.more:
+            self.more[new] = dict(self.more[q])
         self.link[q] = new
-        while p >= 0 and self.next[p].get(c) == q:
-            self.next[p][c] = new
+        while p >= 0 and self._go(p, c) == q:
+            self._set(p, c, new)
             p = self.link[p]
         return new
 
     def add(self, passage: list[int]) -> None:
         last = 0
         for c in passage:
-            q = self.next[last].get(c)
-            if q is not None:
+            q = self._go(last, c)
+            if q >= 0:
                 last = q if self.size[q] == self.size[last] + 1 else self._clone(last, q, c)
                 continue
-            new, p = len(self.size), last
-            self.next.append({})
-            self.link.append(0)
-            self.size.append(self.size[last] + 1)
-            while p >= 0 and c not in self.next[p]:
-                self.next[p][c] = new
+            new, p = self._state(0, -1, 0, self.size[last] + 1), last
+            while p >= 0 and (q := self._go(p, c)) < 0:
+                self._set(p, c, new)
                 p = self.link[p]
             if p >= 0:
-                q = self.next[p][c]
                 self.link[new] = q if self.size[q] == self.size[p] + 1 else self._clone(p, q, c)
             last = new
 
@@ -60,13 +82,15 @@ class SuffixAutomaton:
         Only the longest of matches that grow word by word is listed.
         """
         out, state, length = [], 0, 0
-        step, link, size = self.next, self.link, self.size
+        go, link, size = self._go, self.link, self.size
         for i, c in enumerate(words):
-            while state and c not in step[state]:
+            to = go(state, c)
+            while state and to < 0:
                 state = link[state]
                 length = size[state]
-            if c in step[state]:
-                state = step[state][c]
+                to = go(state, c)
+            if to >= 0:
+                state = to
                 length += 1
             else:
                 length = 0

@@ -159,10 +159,52 @@ def test_packer_picks_the_smallest_sum_of_squares():
         p.place((0, 0, np.zeros(size, np.uint32), size))
     small = LevelPacker(8, most_open=2)
     out = [w for n in (5, 6, 7, 5, 6, 7, 3) for w in small.place((0, 0, np.zeros(n, np.uint32), n))]
-    sizes = [sum(len(x[2]) for x in w) for w in out + small.flush(True)]
+    sizes = [sum(len(x[2]) for x in w) for w in out + small.flush()]
     assert sum(sizes) == 39 and sizes[:4] == [8] * 4 and all(s & (s - 1) == 0 for s in sizes)
 
 
+@pytest.mark.parametrize("low, high", [(600, 1023), (1, 1023), (1, 200)])
+def test_a_full_packer_keeps_its_placements(low, high):
+    """Past the bound one window is topped up for each that opens; the others stay, and no id is lost or doubled."""
+    rng, packer, out, ids = np.random.default_rng(high), LevelPacker(1024, most_open=1100), [], []
+    for i in range(9000):
+        size = int(rng.integers(low, high + 1))
+        ids.append((i, size))
+        before = {id(w) for level in packer.open for w in level}
+        done = packer.place((i, 0, np.arange(size, dtype=np.uint32), size))
+        out += done
+        assert len(done) <= 1 and packer.held == sum(map(len, packer.open)) == packer.counts.sum() <= 1100
+        if i % 500 == 499:
+            after = {id(w) for level in packer.open for w in level}
+            assert len(before - after) <= 1 + 1024 // max(1, low)
+    pieces = [p for w in out + packer.flush() for p in w]
+    for i, size in ids[::97]:
+        mine = sorted((start, part.tolist()) for doc, start, part, _ in pieces if doc == i)
+        assert [x for _, part in mine for x in part] == list(range(size))
+    assert sum(len(p[2]) for p in pieces) == sum(size for _, size in ids)
+    assert all(sum(len(p[2]) for p in w) == 1024 for w in out)
+
+
+def test_the_automaton_knows_all_substrings_in_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    passages = [rng.integers(0, 2**63, 40).tolist() for _ in range(40)] + [rng.integers(0, 3, 300).tolist() for _ in range(3)]
+    known = SuffixAutomaton()
+    for p in passages:
+        known.add(p)
+    parts = {tuple(p[a : a + 6]) for p in passages for a in range(len(p) - 5)}
+    text = [x for p in passages[::3] for x in p[3:30]] + rng.integers(0, 3, 200).tolist()
+    got = {i for start, size in known.matches(text, 6) for i in range(start, start + size)}
+    assert got == {i + j for i in range(len(text) - 5) if tuple(text[i : i + 6]) in parts for j in range(6)}
+    words = rng.integers(0, 2**63, 50_000).tolist()
+    tracemalloc.start()
+    large = SuffixAutomaton()
+    large.add(words)
+    assert tracemalloc.get_traced_memory()[0] < 250 * len(words)
+    tracemalloc.stop()
+
+
 def test_tokens_equal_the_library(monkeypatch):
     word, byte = vocabulary("word_bpe_49k.json"), vocabulary("byte_bpe_50k.json")
     letters = [*"abDEéß'’.,!?1２ \n\t ​ΣİK中ा́\x1c\x85\x00ﬁ😀<|>", "'re", "<|endoftext|>", "tion", "the "]
@@ -292,10 +334,22 @@ def test_decontaminate(spark, docs, empty):
     for most in (100_000, 0):
         got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontaminate(frame, marks, broadcast_rows=most).collect()}
         assert got == want
+        assert decontaminate(frame, marks, broadcast_rows=most).count() == len(texts)
     assert decontaminate(empty, marks).count() == 0
     assert decontaminate(frame, marks.where("false")).where("n_hit > 0").count() == 0
 
 
+def test_decontaminate_keeps_rows_of_one_id_apart(spark):
+    """Repeated and NULL ids with different texts, and whole rows repeated."""
+    texts = [(None, "a b c d e"), (None, "tiny item x y"), (5, "tiny item"), (5, "nothing here at all"), (5, "tiny item"), (5, None)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    marks = spark.createDataFrame([(7, "Tiny item")], "item_id long, text string")
+    for most in (100_000, 0):
+        got = [(r.doc_id, r.n_words, r.n_hit, r["items"]) for r in decontaminate(frame, marks, broadcast_rows=most).collect()]
+        want = [(i, len((t or "").split()), 2 * ("tiny" in (t or "")), ["7"] * ("tiny" in (t or ""))) for i, t in texts]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_decontaminate_capital_sigma(spark):
     """A capital sigma at a word's end is the same word before a full stop as before a space."""
     frame = spark.createDataFrame([(1, "x ΝΟΜΟΣ.ΑΡΘΡΟ y"), (2, "νομος αρθρο")], "doc_id long, text string")
@@ -454,6 +508,34 @@ def test_pipeline(spark):
     assert {r.doc_id for r in kept["packing"].collect()} == clean
 
 
+def test_pipeline_stages_tell_rows_apart(spark):
+    """Repeated and NULL ids, an empty table and extra columns: one row of a group stays, only rows with a hit go."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").where("text is not null").first().text
+    plain = [prose(60) for _ in range(4)]
+    rows = [
+        (1, plain[0]), (1, plain[0]), (None, plain[0]), (None, plain[1]), (None, plain[1]), (3, plain[2]), (3, plain[3]),
+        (None, plain[2] + " " + item), (3, item), (4, None), (4, ""), (9, plain[3]),
+    ]
+    frame = spark.createDataFrame(
+        [(i, t, "aa", "s", 1, "z", 2) for i, t in rows],
+        "doc_id long, text string, lang string, source string, n_chars long, component string, _hash int",
+    )
+    out = corpus_pipeline.near_duplicate(spark, frame, sf)
+    assert out.columns == list(corpus_pipeline.COLUMNS)
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+    texts = {t for _, t in got}
+    assert texts >= {plain[0], plain[1], plain[2], plain[3]} and len(got) == len({(t or "").strip() for t in texts})
+    assert (1, plain[0]) in got and (3, plain[3]) in got and (4, None) in got or (4, "") in got
+    out = corpus_pipeline.decontamination(spark, frame, sf)
+    clean = [r for r in rows if item not in (r[1] or "")]
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted(clean, key=repr)
+    for stage in (corpus_pipeline.near_duplicate, corpus_pipeline.decontamination, corpus_pipeline.substrings, corpus_pipeline.packing):
+        assert stage(spark, frame.where("false"), sf).count() == 0
+
+
 def test_language_stage_without_profiles(spark):
     """Documents with a letter stay where lang is all NULL or no labelled row is trained on."""
     import corpus_pipeline
