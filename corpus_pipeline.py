@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoutframe.llm.common import crc_mod
+from scoutframe.llm.common import crc_mod, with_row
 from scoutframe.llm.decontam import decontaminate
 from scoutframe.llm.langid import UNDETERMINED, fit_profiles, has_letter, identify
 from scoutframe.llm.packing import pack
 from scoutframe.llm.queries import table, vocabulary
 from scoutframe.llm.simhash import near_duplicates
 from scoutframe.llm.substring_dedup import substring_dedup
-from scoutframe.session import scratch_path
+from scoutframe.session import scratch_path, small_side
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -31,10 +31,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of near-duplicates."""
-    groups = near_duplicates(docs.select("doc_id", "text"))
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["_id"]), "left_semi").select(*COLUMNS)
+    """One row of every group of near-duplicates: that with the smallest id, whatever ids repeat or are NULL.
+
+    NULL ids come last; of rows with the same id the first stored one stays.
+    """
+    rows = with_row(docs)
+    groups = near_duplicates(rows.select("doc_id", "text", "_file", "_at"), carry=("_file", "_at"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_file", "_at")
+    first = groups.groupBy("component").agg(F.min_by(F.struct("_file", "_at"), order).alias("row")).select("row.*")
+    return rows.join(first, ["_file", "_at"], "left_semi").select(*COLUMNS)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,10 +50,12 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
+    """Documents without a benchmark passage; rows that share an id, also NULL, are told apart by their text."""
     found = decontaminate(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    hit = found.where("n_hit > 0").select(F.col("doc_id").alias("_id"))
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_id"]), "left_anti").select(*COLUMNS)
+    hit = found.where("n_hit > 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    hit = small_side(hit, 100_000)  # of 16 bytes; beyond, the rows meet by shuffle
+    same = docs["doc_id"].cast("long").eqNullSafe(hit["_id"]) & (F.xxhash64(docs["text"]) == hit["_hash"])
+    return docs.join(hit, same, "left_anti").select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
