@@ -32,14 +32,15 @@ def noisy_or(p: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
 def fit_toxicity(
     docs: DataFrame, labels: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text",
     label: str = "toxic", bits: int = 18, most: int = 12_000, epochs: int = 250, rate: float = 1.0,
-    l1: float = 4e-5, start: float = -6.0, least_docs: int = 4,
+    l1: float = 4e-5, start: float = -6.0, least_docs: int = 4, toxic_weight: float = 8.0,
 ) -> ToxicModel:
     """Fit on at most ``most`` labelled rows where ``train`` (a condition on ``labels``) holds.
 
     A sentence's score is the logistic of the summed weights of its words; noisy-or makes the document's score,
     and the gradient of the document's log loss is passed down to the sentences.  Executors turn the whole
     texts into word buckets; the updates (adaptive gradient steps, then shrinking by ``l1``) run on the driver
-    over these, whose number ``most`` bounds.  Words of fewer than ``least_docs`` of these rows get no weight.
+    over these, whose number ``most`` bounds.  Words of fewer than ``least_docs`` of these rows get no weight.  A toxic row counts ``toxic_weight`` times, as they
+    are few and a missed one costs more than a clean one too many.
     Without rows every score is close to 0.
     """
     chosen = F.broadcast(sampled(labels, doc_id, label, train, most))
@@ -84,7 +85,7 @@ def fit_toxicity(
             p = _sigmoid(np.bincount(sentence, w[word], minlength=made) + bias)
             whole = np.clip(noisy_or(p, owner, len(y)), 1e-9, 1 - 1e-9)
             # d loss / d logit of a sentence: p for a clean document, -p (1 - whole) / whole for a toxic one
-            pull = np.where(y == 1, -(1 - whole) / whole, 1.0)[owner] * p / len(y)
+            pull = np.where(y == 1, -toxic_weight * (1 - whole) / whole, 1.0)[owner] * p / len(y)
             g = np.bincount(word, pull[sentence], minlength=len(used))
             seen += g * g
             w -= rate * g / np.sqrt(seen)
