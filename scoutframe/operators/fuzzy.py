@@ -10,14 +10,18 @@ and the largest of the three counts. Candidates come from two joins that
 together find every pair at or above the threshold:
 
 * segment join (Pass-Join, Li et al., VLDB 2011): a text within K edits of
-  another contains at least one of its K + 1 segments, at a bounded shift. Both
+  another contains at least one of its K + 1 segments, at a bounded shift. At low
+  thresholds the longer text of a pair is the one that is cut: the score then
+  allows fewer edits than it has letters, so there is no lowest threshold. Both
   sides turn into (length, segment number, segment) keys for an equi-join;
   segments many names share are refined before they are joined on.
 * rarest-token join: a contained name shares its rarest token with the name
   that contains it.
 
-Work is done on distinct names, so copies cost nothing. No candidate is capped
-or dropped.
+Names go best first: they are searched at falling thresholds and leave as soon
+as their best match is settled; a name known to reach some score is searched at
+that score at once. Work is done on distinct names, so copies cost nothing. No
+candidate is capped or dropped.
 """
 
 from __future__ import annotations
@@ -30,10 +34,12 @@ from ..session import c, cut_lineage, salted_join, small_side, spread
 
 TOKEN_SORT_WEIGHT = 0.95
 CONTAINMENT_SCORE = 90.0
-LOWEST_THRESHOLD = 67.0  # below this K + 1 segments may not fit into a short text
 HEAVY_ROWS = 1_000
 LEVELS = 3
 BAND_ROWS = 10_000
+BANDS = (90.0, 80.0)
+STEP = 2.0  # names with a known score go by steps of it, unless there are few
+ONE_WAY = 67.0  # from here on K for the longest partner still leaves a text more letters than edits
 _EPS = 1e-9
 
 
@@ -88,10 +94,10 @@ def _forms(names: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def _segments(length: Column, t: Column) -> Column:
-    """K + 1 for a text: K is the most edits to any partner the ratio allows."""
-    longest = F.floor(length / t + _EPS)
-    return (F.floor((1 - t) * longest + _EPS) + 1).cast("int")
+def _edits(length: Column, t: Column, longest: bool) -> Column:
+    """The most edits the ratio allows between a text and one no longer, or (``longest``) its longest partner."""
+    reach = F.floor(length / t + _EPS) if longest else length
+    return F.floor((1 - t) * reach + _EPS).cast("int")
 
 
 def _cut(length: Column, n: Column, i: Column) -> tuple[Column, Column]:
@@ -148,9 +154,21 @@ def _keyed(rows: DataFrame, carry: list[str]) -> DataFrame:
 
 
 def _segment_candidates(
-    left: DataFrame, right: DataFrame, equi: list[str], threshold: float, n_right: int, heavy_rows: int
+    left: DataFrame, right: DataFrame, equi: list[str], threshold: float, n_left: int, n_right: int, heavy_rows: int
 ) -> DataFrame:
-    """Pairs within the allowed edits, by equality of a segment.
+    """Pairs within the allowed edits; at low thresholds the longer text is cut, of equally long ones the right one."""
+    if threshold >= ONE_WAY:
+        return _cut_pairs(left, right, equi, threshold, n_right, heavy_rows, None)
+    down = _cut_pairs(left, right, equi, threshold, n_right, heavy_rows, 0)
+    up = _cut_pairs(right, left, equi, threshold, n_left, heavy_rows, 1)
+    swapped = up.select(*[c(e) for e in equi], F.col("norm_r").alias("norm_l"), F.col("norm_l").alias("norm_r"))
+    return down.unionByName(swapped)
+
+
+def _cut_pairs(
+    left: DataFrame, right: DataFrame, equi: list[str], threshold: float, n_right: int, heavy_rows: int, longer: int | None
+) -> DataFrame:
+    """Pairs whose right text is at least ``longer`` letters longer (None: any), by equality of one of its segments.
 
     A segment shared by more than ``heavy_rows`` names (a common first name) is
     not joined on alone. Where it matches, the rests of both names must again be
@@ -160,17 +178,15 @@ def _segment_candidates(
     r = _forms(spread(right, "norm"), threshold).withColumn("len_r", F.length("s"))
     r = r.select(
         *[c(e) for e in equi], F.col("norm").alias("norm_r"), F.col("s").alias("s_r"),
-        (_segments(F.col("len_r"), F.col("t")) - 1).alias("k"),
+        _edits(F.col("len_r"), F.col("t"), longer is None).alias("k"),
         F.xxhash64("kind", "len_r").alias("key"), F.col("s").alias("rest"),
     )
     l = _forms(spread(left, "norm"), threshold).withColumn("len_l", F.length("s"))
-    lengths = F.sequence(
-        F.ceil(F.col("len_l") * F.col("t") - _EPS).cast("int"),
-        F.floor(F.col("len_l") / F.col("t") + _EPS).cast("int"),
-    )
-    l = l.withColumn("len_r", F.explode(lengths)).select(
+    l = l.withColumn("most", F.floor(F.col("len_l") / F.col("t") + _EPS).cast("int"))
+    first = F.ceil(F.col("len_l") * F.col("t") - _EPS).cast("int") if longer is None else F.col("len_l") + longer
+    l = l.where(F.col("most") >= first).withColumn("len_r", F.explode(F.sequence(first, "most"))).select(
         *[c(e) for e in equi], F.col("norm").alias("norm_l"), F.col("s").alias("s_l"), "t", "len_r",
-        (_segments(F.col("len_r"), F.col("t")) - 1).alias("k"),
+        _edits(F.col("len_r"), F.col("t"), longer is None).alias("k"),
         F.xxhash64("kind", "len_r").alias("key"), F.col("s").alias("rest"),
     )
 
@@ -226,7 +242,7 @@ def _best_pairs(
     heavy_rows: int, contained: bool,
 ) -> DataFrame:
     # a name has each key at most once, so its side's size bounds the rows of a key
-    pairs = _segment_candidates(l, r, equi, threshold, n_r, heavy_rows)
+    pairs = _segment_candidates(l, r, equi, threshold, n_l, n_r, heavy_rows)
     e = [c(x) for x in equi]
     if contained:
         down = _contained(l, r, equi, n_r).select(*e, F.col("norm_a").alias("norm_l"), F.col("norm_b").alias("norm_r"))
@@ -250,26 +266,48 @@ def fuzzy_best(
     equi=(),
     left_norm: str = "norm",
     right_norm: str = "norm",
+    known: str | None = None,
     heavy_rows: int = HEAVY_ROWS,
     band_rows: int = BAND_ROWS,
 ) -> DataFrame:
     """(equi..., norm_l, norm_r, score): the best right name per left name.
 
-    Only left names whose best score reaches ``threshold`` appear. Equal scores
-    go to the alphabetically first right name. With more than ``band_rows`` left
-    names those with a match of 90 or more are settled first, by few and long
-    segments; nothing below can beat such a match, so only the others go on.
+    Only left names whose best score reaches ``threshold`` (above 0) appear. Equal
+    scores go to the alphabetically first right name. With more than ``band_rows``
+    left names the search goes down in bands, by fewer and longer segments first;
+    nothing below a band can beat a match in it, so only the others go on.
+    ``known`` names a column of ``left`` with a score that some right name is known
+    to have: the best is no less, so such a name is searched at that score only.
     """
-    if not LOWEST_THRESHOLD <= threshold <= 100:
-        raise ValueError(f"threshold must lie in {LOWEST_THRESHOLD}..100")
+    if not 0 < threshold <= 100:
+        raise ValueError("threshold must lie above 0 and not above 100")
     equi = list(equi)
-    l = cut_lineage(_names(left, equi, left_norm))
+    e = [c(x) for x in equi]
     r = cut_lineage(_names(right, equi, right_norm))
-    n_l, n_r = l.count(), r.count()
-    nested = threshold <= CONTAINMENT_SCORE
-    if n_l <= band_rows or threshold >= CONTAINMENT_SCORE:
-        return _best_pairs(l, r, equi, threshold, n_l, n_r, heavy_rows, nested)
-    high = cut_lineage(_best_pairs(l, r, equi, CONTAINMENT_SCORE, n_l, n_r, heavy_rows, True))
-    done = high.select(*[c(x) for x in equi], F.col("norm_l").alias("norm"))
-    rest = l.join(done, [*equi, "norm"], "left_anti")
-    return high.unionByName(_best_pairs(rest, r, equi, threshold, n_l, n_r, heavy_rows, False))
+    n_r = r.count()
+    if known is not None:
+        least = F.least(F.greatest(F.floor(F.max(c(known)) / STEP) * STEP, F.lit(float(threshold))), F.lit(CONTAINMENT_SCORE))
+        bounds = left.groupBy(*e, c(left_norm).alias("norm")).agg(least.alias("_least"))
+        l = cut_lineage(_names(left, equi, left_norm).join(bounds, [*equi, "norm"]))
+        rows = {x["_least"]: x["count"] for x in l.groupBy("_least").count().collect()}  # one for each step at most
+        out, low = None, []
+        for step in sorted(rows, reverse=True):
+            low.append(step)
+            n = sum(rows[x] for x in low)
+            if n < band_rows and step != min(rows):
+                continue
+            part = l.where(F.col("_least").isin(low)).drop("_least")
+            found = _best_pairs(part, r, equi, step, n, n_r, heavy_rows, step <= CONTAINMENT_SCORE)
+            out, low = (found if out is None else out.unionByName(found)), []
+        return out if out is not None else _best_pairs(l.drop("_least"), r, equi, threshold, 0, n_r, heavy_rows, True)
+    rest = cut_lineage(_names(left, equi, left_norm))
+    n, nested, out = rest.count(), threshold <= CONTAINMENT_SCORE, None
+    for band in [x for x in BANDS if x > threshold]:
+        if n <= band_rows:
+            break
+        high = cut_lineage(_best_pairs(rest, r, equi, band, n, n_r, heavy_rows, out is None and nested))
+        out = high if out is None else out.unionByName(high)
+        rest = cut_lineage(rest.join(high.select(*e, F.col("norm_l").alias("norm")), [*equi, "norm"], "left_anti"))
+        n = rest.count()
+    found = _best_pairs(rest, r, equi, threshold, n, n_r, heavy_rows, out is None and nested)
+    return found if out is None else out.unionByName(found)

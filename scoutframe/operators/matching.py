@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import FUZZY_THRESHOLD, FUZZY_THRESHOLD_CLUB, MATCH_RATE_WARNING, TOKEN_SORT_GATE
@@ -73,9 +73,8 @@ def match_market_values(
     same_club = fuzzy_best(
         rest, lookup.where(F.col("club_norm") != ""), club_threshold, ["club_norm"], left_norm="_norm"
     )
-    best = fuzzy_best(
-        same_club.select(F.col("norm_l").alias("norm")), lookup, club_threshold
-    )
+    # its same-club score is one that the best candidate reaches, so nothing below is searched
+    best = fuzzy_best(same_club.select(F.col("norm_l").alias("norm"), "score"), lookup, club_threshold, known="score")
     third = (
         best.join(lookup, best.norm_r == lookup.norm)
         .where(F.col("club_norm") != "")
@@ -142,6 +141,29 @@ def attach_xg(
     return keyed.join(names, [league, "_norm"], "left").drop("_norm")
 
 
+def observe_match_rate(df: DataFrame, leagues, league="League", stat="xG") -> tuple[DataFrame, Observation]:
+    """``df``, and an observation that is filled by the first action on it: no second pass for the rate.
+
+    ``leagues`` are the leagues to tell apart, a configured list.
+    """
+    hit = c(stat).isNotNull()
+    seen = Observation("match rate")
+    counts = []
+    for i, x in enumerate(leagues):
+        counts += [F.count_if(c(league) == x).alias(f"players_{i}"), F.count_if((c(league) == x) & hit).alias(f"matched_{i}")]
+    return df.observe(seen, F.count(F.lit(1)).alias("players"), F.count_if(hit).alias("matched"), *counts), seen
+
+
+def observed_match_rate(
+    spark: SparkSession, seen: Observation, leagues, league="League", warn_below: float = MATCH_RATE_WARNING
+) -> DataFrame:
+    """The figures of ``match_rate`` from a filled observation; leagues without players are left out."""
+    got = seen.get
+    rows = [(x, got[f"players_{i}"], got[f"matched_{i}"]) for i, x in enumerate(leagues) if got[f"players_{i}"]]
+    out = spark.createDataFrame(rows, f"`{league}` string, players long, matched long")
+    return out.withColumn("rate", F.col("matched") / F.col("players")).withColumn("low", F.col("rate") < warn_below)
+
+
 def match_rate(df: DataFrame, league="League", stat="xG", warn_below: float = MATCH_RATE_WARNING) -> DataFrame:
     """Share of matched players per league, and whether it is low."""
     hit = c(stat).isNotNull()

@@ -71,15 +71,17 @@ def league_table(matches: DataFrame, by=("League", "season"), names: dict[str, s
     return table.withColumn("Rk", F.row_number().over(order))
 
 
-def attach_rank(df: DataFrame, standings: DataFrame | None, league="League", squad="Squad", order="Rk") -> DataFrame:
+def attach_rank(df: DataFrame, standings: DataFrame | None, league="League", squad="Squad", order: str | None = None) -> DataFrame:
     """The club's rank as ``league_position``; unknown and multi-club squads stay NULL.
 
-    A squad listed twice takes the row that is last by ``order``, by default the one with
-    the highest rank; pass a row number for the last one loaded. ``standings`` covers one season per
-    league; without any, the column is all NULL.
+    A squad listed twice takes the row loaded last: the last by ``order``, which is ``loaded``
+    where the table has it; a table without any row order, such as a computed one, takes the
+    highest rank. The reader of standings files gives one row per squad, the last one loaded. ``standings`` covers one season per league; without
+    any, the column is all NULL.
     """
     if standings is None:
         return df.withColumn("league_position", F.lit(None).cast("double"))
+    order = order or ("loaded" if "loaded" in standings.columns else "Rk")
     one = standings.groupBy(c(league), c(squad)).agg(
         F.max_by(c("Rk"), c(order)).cast("double").alias("league_position")
     )

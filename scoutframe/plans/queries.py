@@ -827,8 +827,3 @@ def csv_roundtrip(spark, sf):
     schema = files.text_schema([*names, "League", "season"])
     back = spark.read.schema(schema).option("header", True).csv(path)
     return rollup.coerce_numeric(back).select("League", "season", "Player", "Min", "Gls", "xG")
-
-
-@query("source_freshness")
-def source_freshness(spark, sf):
-    return files.source_freshness(spark, f"{sf}/*.parquet")

@@ -12,6 +12,7 @@ from ..config import SEASONS
 from ..functions.parse import comma_number, to_number
 from ..operators.rollup import min_minutes, named_players
 from ..session import c
+from .incremental import file_exists
 
 # --- fixed values: column order of the stored stat files ------------------------
 STAT_FILE_COLUMNS = {
@@ -56,6 +57,12 @@ def header_of(spark: SparkSession, path: str) -> list[str]:
     return unique_names([v or f"_c{i}" for i, v in enumerate(row)])
 
 
+def named(pattern: str, group: int):
+    """A part of the file's name; names come with blanks and the like as %20."""
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+    return F.regexp_extract(name, pattern, group)
+
+
 def read_csv(spark: SparkSession, path: str, columns=None, modified_after: str | None = None) -> DataFrame:
     """All-text read with a positional schema, so repeated headers are safe.
 
@@ -77,11 +84,10 @@ def read_stat_table(
     path = f"{folder}/*_{table}_[0-9]*.csv"
     columns = columns or STAT_FILE_COLUMNS.get(table) or header_of(spark, path)
     raw = read_csv(spark, path, columns, modified_after)
-    name = F.col("_metadata.file_name")
     pattern = rf"^[^_]+_(.+)_{table}_(\d{{4}}-\d{{2}})\.csv$"
     return raw.select(
-        F.regexp_extract(name, pattern, 1).alias("League"),
-        F.regexp_extract(name, pattern, 2).alias("season"),
+        named(pattern, 1).alias("League"),
+        named(pattern, 2).alias("season"),
         *[c(x) for x in raw.columns],
     )
 
@@ -100,7 +106,7 @@ def read_values(spark: SparkSession, folder: str, seasons=SEASONS) -> DataFrame:
     """All value files of the wanted seasons with the league taken from the name."""
     columns = ("player_name_tm", "club_tm", "season", "market_value_eur")
     raw = read_csv(spark, f"{folder}/*_values_*_[0-9]*.csv", columns)
-    league = F.regexp_extract(F.col("_metadata.file_name"), r"_values_(.+)_\d{4}-\d{2}\.csv$", 1)
+    league = named(r"_values_(.+)_\d{4}-\d{2}\.csv$", 1)
     return value_table(
         raw.withColumn("league_tm", league).withColumn(
             "market_value_eur", to_number(c("market_value_eur"))
@@ -122,7 +128,7 @@ def read_xg(spark: SparkSession, folder: str, prefix: str) -> DataFrame:
     """xG files ``<prefix>_<league>_<season>.csv``; others in the folder are not read."""
     columns = ("Player", "Squad", "Pos", "Min", "xG", "xA", "season")
     raw = read_csv(spark, f"{folder}/{prefix}_*_[0-9]*.csv", columns)
-    league = F.regexp_extract(F.col("_metadata.file_name"), rf"^\Q{prefix}\E_(.+)_\d{{4}}-\d{{2}}\.csv$", 1)
+    league = named(rf"^\Q{prefix}\E_(.+)_\d{{4}}-\d{{2}}\.csv$", 1)
     return raw.where(league != "").select(
         league.alias("League"), "Player", "Squad", "Pos",
         *[to_number(c(x)).alias(x) for x in ("Min", "xG", "xA")], "season",
@@ -130,8 +136,11 @@ def read_xg(spark: SparkSession, folder: str, prefix: str) -> DataFrame:
 
 
 def read_standings(spark: SparkSession, folder: str) -> DataFrame:
+    """Standings, one row per squad: of a squad listed twice in a file the row further down counts."""
     raw = read_stat_table(spark, folder, "standings", ("Rk", "Squad"))
-    return raw.withColumn("Rk", c("Rk").try_cast("int"))
+    raw = raw.withColumn("Rk", c("Rk").try_cast("int")).withColumn("loaded", F.monotonically_increasing_id())
+    one = raw.groupBy("League", "season", "Squad").agg(F.max_by("Rk", "loaded").alias("Rk"))
+    return one.select("League", "season", "Rk", "Squad")
 
 
 def read_matches(spark: SparkSession, path: str, required=("HomeTeam", "AwayTeam", "FTR")) -> DataFrame:
@@ -155,12 +164,9 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", by=("League", "s
 
 
 def source_freshness(spark: SparkSession, path: str) -> DataFrame:
-    """Latest modification time of the files as 'd MMM yyyy, HH:mm'."""
-    try:
-        files = spark.read.format("binaryFile").load(path).select("modificationTime")
-    except Exception as e:  # an unmatched path is an answer here, not a failure
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    """Latest modification time of the files as 'd MMM yyyy, HH:mm'; a path without files says so."""
+    if not file_exists(spark, path):
         return spark.range(1).select(F.lit(NO_SOURCE).alias("freshness"))
+    files = spark.read.format("binaryFile").load(path).select("modificationTime")
     latest = F.date_format(F.max("modificationTime"), "d MMM yyyy, HH:mm")
     return files.agg(F.coalesce(latest, F.lit(NO_SOURCE)).alias("freshness"))

@@ -45,7 +45,7 @@ def names(rng, n, firsts):
 
 
 @pytest.mark.parametrize(
-    "threshold,heavy,band", [(80, 1000, 1000), (70, 1000, 10), (80, 3, 1000), (70, 5, 10), (92, 4, 10)]
+    "threshold,heavy,band", [(80, 1000, 1000), (70, 1000, 10), (80, 3, 1000), (70, 5, 10), (92, 4, 10), (60, 4, 10), (50, 1000, 1000), (40, 5, 10)]
 )
 def test_same_as_all_pairs(spark, threshold, heavy, band):
     """Also with tiny bounds, so that every refinement level and both bands are used."""
@@ -67,8 +67,23 @@ def test_equi_key_keeps_groups_apart(spark):
 
 def test_threshold_bounds(spark):
     d = spark.createDataFrame([("a",)], "norm string")
-    with pytest.raises(ValueError):
-        fuzzy_best(d, d, 50)
+    for bad in (0, 101):
+        with pytest.raises(ValueError):
+            fuzzy_best(d, d, bad)
+
+
+@pytest.mark.parametrize("band", [1000, 10])
+def test_a_known_score_bounds_the_search(spark, band):
+    """Names that some right name is known to match are searched from that score on, and the best is the same."""
+    rng = random.Random(band)
+    left, right = ({x.strip() for x in names(rng, 80, ["maria", "mari", "joao", "de"]) if x.strip()} for _ in range(2))
+    best = brute(sorted(left), sorted(right), 70)
+    rows = [(x, max(70.0, float(score) - rng.choice([0, 0, 3, 40]))) for x, (_, score) in best.items()]
+    l = spark.createDataFrame(rows + rows[:3], "norm string, score double")
+    r = spark.createDataFrame([(x,) for x in right], "norm string")
+    found = fuzzy_best(l, r, 70, known="score", band_rows=band)
+    assert {x["norm_l"]: (x["norm_r"], x["score"]) for x in found.collect()} == best
+    assert fuzzy_best(l.where("false"), r, 70, known="score").isEmpty()
 
 
 def test_gate_and_special_names(spark):
