@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scoutframe.llm.common import pick
-from scoutframe.llm.tokens import byte_ids
+from scoutframe.llm.tokens import byte_encoder
 
 Piece = tuple  # (doc_id, start, ids, doc_tokens)
 
@@ -131,7 +131,7 @@ def pack(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = LevelPacker(capacity)
         base, rows = TaskContext.get().partitionId() << 40, []
-        made = 0
+        made, encode, end = 0, byte_encoder(tokenizer).encode, end_id.to_bytes(4, "little")
 
         def emit(windows):
             nonlocal made
@@ -151,7 +151,7 @@ def pack(
 
         for batch in batches:
             for doc, value in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = np.append(byte_ids(tokenizer, value.as_py() or ""), np.uint32(end_id)).astype(np.uint32)
+                ids = np.frombuffer(encode(value.as_py() or "") + end, "<u4")
                 whole = len(ids) - len(ids) % capacity
                 emit([[(doc, i, ids[i : i + capacity], len(ids))] for i in range(0, whole, capacity)])
                 if whole < len(ids):
