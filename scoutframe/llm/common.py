@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Callable
@@ -27,6 +28,15 @@ def per_process(key, make: Callable):
     return store[key]
 
 
+def release_memory() -> None:
+    """Give memory that is free again back to the system: a worker process outlives its tasks, and keeps it else."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def crc_mod(doc_id: str, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo ``modulus``; a NULL id counts as empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus

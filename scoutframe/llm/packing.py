@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoutframe.llm.common import pick
+from scoutframe.llm.common import pick, release_memory
 from scoutframe.llm.tokens import byte_encoder
 
 Piece = tuple  # (doc_id, start, ids, doc_tokens)
@@ -129,6 +129,7 @@ def pack(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         packer = LevelPacker(capacity)
         base, rows = TaskContext.get().partitionId() << 40, []
         made, encode, end = 0, byte_encoder(tokenizer).encode, end_id.to_bytes(4, "little")

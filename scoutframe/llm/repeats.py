@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scoutframe.llm.common import (
-    NO_ID, SLICE, distinct, hash_tables, mix, prefix_sums, run_hashes, text_bytes, word_units,
+    NO_ID, SLICE, distinct, hash_tables, mix, prefix_sums, release_memory, run_hashes, text_bytes,
+    word_units,
 )
 
 BUCKET_BITS, KEY_BYTES = 24, 5
@@ -299,6 +300,7 @@ def repeated(
 
     def send_keys(table: pa.Table) -> pa.Table:
         codes = _keys(_chunk(table, spec), spec, buckets).codes
+        release_memory()
         chunk = table["chunk"][0].as_py()
         return _blobs(chunk, codes, codes >> np.uint64(8 * KEY_BYTES), _pack_keys)
 
@@ -307,10 +309,13 @@ def repeated(
             return pa.table({"chunk": pa.array([], pa.int64()), "bucket": pa.array([], pa.int64()),
                              "payload": pa.array([], pa.binary())})
         sent = _with_marks(table, marks, spec, buckets, False)
+        release_memory()
         return _blobs(table["chunk"][0].as_py(), sent, _bucket(sent, buckets), _pack_sorted)
 
     def last(table: pa.Table, marks: pa.Table) -> pa.Table:
-        return finish(_with_marks(table, marks, spec, buckets, True))
+        out = finish(_with_marks(table, marks, spec, buckets, True))
+        release_memory()
+        return out
 
     marks = "chunk long, kind int, bucket long, bits binary"
     by = chunked.groupBy("chunk")

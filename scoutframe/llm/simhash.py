@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoutframe.llm.common import pick, slabs, text_bytes
+from scoutframe.llm.common import pick, release_memory, slabs, text_bytes
 from scoutframe.llm.components import components, star_labels
 from scoutframe.session import cut_lineage
 
@@ -60,6 +60,7 @@ def fingerprints(
             fp = np.concatenate(out) if out else np.zeros(0, np.int64)
             more = [batch.column(k) for k in carried]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp), *more], ["doc_id", "fp", *carried])
+        release_memory()
 
     carried = {f"carry{i}": name for i, name in enumerate(carry)}
     rows = pick(docs, doc_id=doc_id, text=text, **carried).withColumn("doc_id", F.col("doc_id").cast("long"))

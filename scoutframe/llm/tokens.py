@@ -41,11 +41,11 @@ class Remembered(dict):
 class PieceEncoder:
     """The ids that the tokenizers library gives, found by encoding each distinct part of a text once.
 
-    A text is cut in pieces where white space follows another character: no token crosses such a place.  A piece
-    of Latin-1 characters is cut further, where the vocabulary's own rule ends a word or a run of signs, and such a
-    part goes straight to the library's model, in the letters that byte-level files write for bytes.  So the ids
-    of the parts, joined, are those of the whole text (tested).  Up to ``most`` short pieces and as many parts stay in memory; the others go to the
-    library again.  Texts with an added token or a character that the library and Python class differently are
+    A text of Latin-1 characters is cut in parts where the vocabulary's own rule ends a word or a run of signs, and
+    such a part goes straight to the library's model, in the letters that byte-level files write for bytes.  Other
+    texts are first cut in pieces where white space follows another character: no token crosses such a place, and
+    pieces of Latin-1 characters have parts as above.  So the ids of the parts, joined, are those of the whole text
+    (tested).  Up to ``most`` short pieces and as many parts stay in memory; the others go to the library again.  Texts with an added token or a character that the library and Python class differently are
     encoded whole.  Long texts are cut in slices first, so a call's memory does not grow with the text.
     """
 
@@ -87,7 +87,13 @@ class PieceEncoder:
         """Ids as little-endian unsigned 32-bit integers."""
         if any(x in text for x in self.UNCOMMON):
             return self._whole(text)
-        return b"".join([b"".join(map(self.pieces.__getitem__, self.cut(x))) for x in self._slices(text)])
+        return b"".join([self._slice(x) for x in self._slices(text)])
+
+    def _slice(self, text: str) -> bytes:
+        if text.isascii() or not self.BEYOND_LATIN_1.search(text):
+            # no part crosses the end of a piece, so the text as a whole splits into the parts of its pieces
+            return b"".join(map(self.parts.__getitem__, self.split(text)))
+        return b"".join(map(self.pieces.__getitem__, self.cut(text)))
 
 
 class ByteEncoder(PieceEncoder):
