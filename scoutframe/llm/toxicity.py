@@ -39,9 +39,9 @@ def fit_toxicity(
     A sentence's score is the logistic of the summed weights of its words; noisy-or makes the document's score,
     and the gradient of the document's log loss is passed down to the sentences.  Executors turn the whole
     texts into word buckets; the updates (adaptive gradient steps, then shrinking by ``l1``) run on the driver
-    over these, whose number ``most`` bounds.  Words of fewer than ``least_docs`` of these rows get no weight.  A toxic row counts ``toxic_weight`` times, as they
-    are few and a missed one costs more than a clean one too many.
-    Without rows every score is close to 0.
+    over these, whose number ``most`` bounds.  Words of fewer than ``least_docs`` of these rows get no weight.
+    A toxic row counts ``toxic_weight`` times, as they are few and a missed one costs more than a clean one too
+    many.  Without rows every score is close to 0.
     """
     chosen = F.broadcast(sampled(labels, doc_id, label, train, most))
     rows = pick(docs, doc_id=doc_id, text=text).join(chosen, "doc_id")
