@@ -130,6 +130,7 @@ def expansion_lengths(rules: np.ndarray, first: int) -> np.ndarray:
 
 
 def expand(seq: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
+    """Symbols with every nonterminal replaced level by level; for short stretches."""
     while True:
         inner = seq >= first
         if not inner.any():
@@ -141,6 +142,23 @@ def expand(seq: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
         seq = out
 
 
+def expand_all(seq: np.ndarray, rules: np.ndarray, lengths: np.ndarray, first: int) -> np.ndarray:
+    """The same for a whole block: each rule is expanded once and copied to its places."""
+    inner = np.flatnonzero(seq >= first)
+    rule = seq[inner].astype(np.int64) - first
+    step = np.ones(len(seq), np.int64)
+    step[inner] = lengths[rule]
+    out = np.repeat(seq, step)
+    used, which = np.unique(rule, return_inverse=True)
+    pool = expand((used + first).astype(np.uint32), rules, first)
+    start = np.cumsum(lengths[used]) - lengths[used]
+    n = lengths[rule]
+    within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    to = np.repeat((np.cumsum(step) - step)[inner], n)
+    out[to + within] = pool[np.repeat(start[which], n) + within]
+    return out
+
+
 def _planes(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x.astype(np.uint32)).view(np.uint8).reshape(-1, 4).T.tobytes()
 
@@ -199,7 +217,7 @@ class Block:
 
     def documents(self) -> Iterator[tuple]:
         """(doc_id, start in the block, ids)."""
-        everything, start = expand(self.seq, self.rules, self.first), 0
+        everything, start = expand_all(self.seq, self.rules, self.lengths, self.first), 0
         for d, n in zip(self.docs, self.sizes.tolist(), strict=True):
             yield d, start, everything[start : start + n]
             start += n
