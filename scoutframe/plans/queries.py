@@ -742,6 +742,23 @@ def page_stat_table(spark, sf):
     return files.clean_stat_table(t, "stats_standard").select("page_id", "Player", "Squad", "Min", "Gls")
 
 
+@query("page_stat_headers", """
+SELECT l_orderkey AS page_id, l_orderkey % 5 <> 0 AS table_found,
+  CASE WHEN l_orderkey % 5 <> 0 THEN 'Part & ' || l_partkey END AS "Player",
+  CASE WHEN l_orderkey % 5 <> 0 THEN 'S ' || l_suppkey END AS "Squad",
+  CASE WHEN l_orderkey % 5 <> 0 THEN CAST(CAST(l_quantity AS INT) AS VARCHAR) END AS "Gls"
+FROM lineitem WHERE l_orderkey % 5 <> 0
+UNION ALL SELECT DISTINCT l_orderkey, false, NULL, NULL, NULL FROM lineitem WHERE l_orderkey % 5 = 0""")
+def page_stat_headers(spark, sf):
+    """Pages with two header rows and, for every third order, one; every fifth page lacks the table and says so."""
+    group = '<tr><th colspan="3"></th><th colspan="2">Playing Time</th></tr>'
+    p = F.col("page_id")
+    one = F.when(p % 3 == 0, F.replace("html", F.lit(group), F.lit(""))).otherwise(F.col("html"))
+    other = F.when(p % 5 == 0, F.replace(one, F.lit("stats_standard"), F.lit("stats_misc"))).otherwise(one)
+    pages = stat_pages(spark, sf).select("page_id", other.alias("html"))
+    return html.stat_table(pages, "stats_standard", ["Player", "Squad", "Gls"], report_absent=True).drop("row_ix")
+
+
 def squad_pages(spark, sf) -> DataFrame:
     """One page per supplier nation's order: players linked, values in the last cell."""
     line = F.struct("l_linenumber", "l_partkey", "l_extendedprice", "l_returnflag")

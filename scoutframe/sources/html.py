@@ -84,7 +84,7 @@ def _tables(source: str) -> list[dict]:
             elif t["rows"]:
                 t["cell"] = {
                     "at": m.end(), "from": None, "link": None, "href": None, "cls": a.get("class", ""),
-                    "across": _span(a.get("colspan")), "down": _span(a.get("rowspan")), "text": "",
+                    "across": _span(a.get("colspan"), 1000), "down": _span(a.get("rowspan"), 65_534), "text": "", "head": tag == "th",
                 }
                 t["rows"][-1]["cells"].append(t["cell"])
                 for outer in open_tables:
@@ -99,27 +99,33 @@ def _close_cell(table: dict, source: str, end: int) -> None:
         table["cell"] = None
 
 
-def _span(v) -> int:
-    return int(v) if v and v.isdigit() and int(v) > 0 else 1
+def _span(v, most: int) -> int:
+    """A span attribute; HTML ends column spans at 1,000 and row spans at 65,534."""
+    return min(int(v), most) if v and v.isascii() and v.isdigit() and int(v) > 0 else 1
+
+
+_BLANK = {"text": "", "cls": "", "link": None, "href": None}
 
 
 def _grid(rows) -> list[list[dict]]:
-    """Cells laid out with row and column spans repeated."""
-    out, pending = [], {}
+    """Cells laid out with row and column spans repeated; rows above reach down as intervals of columns."""
+    out, reaching = [], []
     for row in rows:
-        line, todo = {}, list(row["cells"])
-        line.update({at: cell for at, (cell, _) in pending.items()})
-        pending = {at: (cell, n - 1) for at, (cell, n) in pending.items() if n > 1}
-        at = 0
-        for cell in todo:
-            while at in line:
-                at += 1
-            for _ in range(cell["across"]):
-                line[at] = cell
+        line, later, k = [], [], 0
+        for cell in (*row["cells"], None):
+            while k < len(reaching) and (cell is None or reaching[k][0] <= len(line)):
+                start, end, above, left = reaching[k]
+                k += 1
+                line += [_BLANK] * (start - len(line))
+                line += [above] * (end - len(line))
+                if left > 1:
+                    later.append((start, end, above, left - 1))
+            if cell is not None:
                 if cell["down"] > 1:
-                    pending[at] = (cell, cell["down"] - 1)
-                at += 1
-        out.append([line[i] for i in sorted(line)])
+                    later.append((len(line), len(line) + cell["across"], cell, cell["down"] - 1))
+                line += [cell] * cell["across"]
+        reaching = sorted(later, key=lambda x: x[:2]) if later else later
+        out.append(line)
     return out
 
 
@@ -131,6 +137,15 @@ def _text(markup: str) -> str:
     return " ".join(markup.split())
 
 
+def _header_levels(rows) -> int:
+    """How many rows at the top name columns: two, or one where a row of data follows a row of header cells.
+
+    Of two header rows the lower alone would never name more columns than both, so that reading is not tried.
+    """
+    heads = [all(x["head"] for x in r["cells"]) for r in rows[:2]]
+    return 1 if heads[:1] == [True] and heads[1:] != [True] else 2
+
+
 def _headers(lines, levels: int) -> list[str]:
     """Lowest level unless blank, else the one above; repeats get .1, .2, ..."""
     width = max((len(x) for x in lines), default=0)
@@ -148,9 +163,11 @@ def _plain(cells) -> list[dict]:
     return [{k: x[k] for k in ("text", "cls", "link", "href")} for x in cells]
 
 
-def _page_tables(html: str | None, levels: int, only: str | None = None) -> list[dict]:
+def _page_tables(html: str | None, header_levels: int | None, only: str | None = None) -> list[dict]:
     """Visible tables first, then those in comments, each in page order; with ``only`` those of that id.
 
+    Without ``header_levels`` each table's own rows tell how many of them are its header.
+
     A row's ``inner`` lists all its cells and those of tables nested in it, in page order, where there are such.
     """
     if not html or "<table" not in html.lower():
@@ -161,6 +178,7 @@ def _page_tables(html: str | None, levels: int, only: str | None = None) -> list
         for t in (t for p in parts for t in _tables(p) if only is None or t["id"] == only):
             rows = [r for r in t["rows"] if r["cells"]]
             lines = _grid(rows)
+            levels = _header_levels(rows) if header_levels is None else header_levels
             names = _headers(lines, levels) if levels else []
             body = [
                 {
@@ -176,8 +194,11 @@ def _page_tables(html: str | None, levels: int, only: str | None = None) -> list
     return out
 
 
-def read_tables(pages: DataFrame, page: str = "page_id", html: str = "html", header_levels: int = 2, keep=(), only: str | None = None) -> DataFrame:
-    """(page, keep..., tables): one record per page; with ``only`` just the tables of that id are built."""
+def read_tables(pages: DataFrame, page: str = "page_id", html: str = "html", header_levels: int | None = 2, keep=(), only: str | None = None) -> DataFrame:
+    """(page, keep..., tables): one record per page; with ``only`` just the tables of that id are built.
+
+    ``header_levels`` rows of a table are its header; None takes one or two, as each table has them.
+    """
     carried = [page, *keep]
     kinds = dict(pages.dtypes)
 
@@ -215,15 +236,32 @@ def table_cells(pages: DataFrame, page: str = "page_id", html: str = "html", hea
     )
 
 
-def stat_table(pages: DataFrame, table_id: str, columns: list[str], page: str = "page_id", html: str = "html", header_levels: int = 2) -> DataFrame:
-    """One stat table by id, visible or in a comment; repeated header lines (Rk = 'Rk') left out."""
-    pages = pages.where(F.contains(c(html), F.lit(table_id)))
+def stat_table(
+    pages: DataFrame, table_id: str, columns: list[str], page: str = "page_id", html: str = "html",
+    header_levels: int | None = None, report_absent: bool = False,
+) -> DataFrame:
+    """One stat table by id, visible or in a comment; repeated header lines (Rk = 'Rk') left out.
+
+    With ``report_absent`` a column ``table_found`` is added, and every page without the table, NULL pages too,
+    gives one row with false and NULLs, in the same pass; a table without rows gives one with true.
+    """
+    if not report_absent:
+        pages = pages.where(F.contains(c(html), F.lit(table_id)))
     t = read_tables(pages, page, html, header_levels, only=table_id).select(
         c(page), first_table(lambda x: x["id"] == table_id).alias("t")
     )
-    rows = t.select(c(page), "t", F.posexplode("t.rows").alias("row_ix", "r"))
-    out = rows.select(c(page), "row_ix", cell("Rk").alias("_rk"), *[cell(x).alias(x) for x in columns])
-    return out.where(~F.col("_rk").eqNullSafe(F.lit("Rk"))).drop("_rk")
+    if not report_absent:
+        rows = t.select(c(page), "t", F.posexplode("t.rows").alias("row_ix", "r"))
+        out = rows.select(c(page), "row_ix", cell("Rk").alias("_rk"), *[cell(x).alias(x) for x in columns])
+        return out.where(~F.col("_rk").eqNullSafe(F.lit("Rk"))).drop("_rk")
+    rk = F.array_position("t.headers", "Rk").cast("int")
+    again = lambda r: (rk > 0) & F.coalesce(F.get(r["cells"], rk - 1)["text"] == "Rk", F.lit(False))
+    kept = F.filter(F.transform("t.rows", lambda r, i: F.struct(i.alias("at"), r.alias("r"))), lambda x: ~again(x["r"]))
+    rows = t.select(c(page), "t", F.explode_outer(kept).alias("x")).select(c(page), "t", "x.at", "x.r")
+    return rows.select(
+        c(page), F.col("t").isNotNull().alias("table_found"), F.col("at").alias("row_ix"),
+        *[cell(x).alias(x) for x in columns],
+    )
 
 
 def pages_without(pages: DataFrame, table_id: str, page: str = "page_id", html: str = "html") -> DataFrame:

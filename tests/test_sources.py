@@ -136,6 +136,34 @@ def test_spans_and_nesting(spark):
     assert [(c["header"], c["text"]) for c in cells] == [("a", "1"), ("b", "2"), ("a", "1"), ("b", "3in")]
 
 
+def test_header_depth_of_each_table_and_absent_tables(spark):
+    group = STATS[STATS.index('<tr><th colspan="2">') : STATS.index("<tr><th>Rk")]
+    plain = '<table id="stats_standard"><tr><td>g</td><td></td></tr><tr><td>Rk</td><td>Player</td></tr><tr><td>1</td><td>P</td></tr></table>'
+    bare = '<table id="stats_standard"><tr><th>Rk</th><th>Player</th></tr></table>'
+    pages = page(spark, STATS, STATS.replace(group, ""), plain, bare, OTHER, None, "")
+    t = html.stat_table(pages, "stats_standard", ["Player", "Gls"], report_absent=True)
+    got = [tuple(r) for r in t.orderBy("page_id", "row_ix").collect()]
+    two = [(True, 0, "Bukayo & Saka", "14"), (True, 2, "Sub", "0")]
+    assert got == [
+        *[(0, *r) for r in two], *[(1, *r) for r in two], (2, True, 0, "P", None), (3, True, None, None, None),
+        *[(i, False, None, None, None) for i in (4, 5, 6)],
+    ]
+    found = html.stat_table(pages, "stats_standard", ["Player", "Gls"]).orderBy("page_id", "row_ix").collect()
+    assert [tuple(r) for r in found] == [(i, at, *r) for i, yes, at, *r in got if at is not None]
+
+
+def test_spans_reach_down_as_intervals(spark):
+    text = (
+        "<table><tr><th>a</th><th>b</th><th>c</th><th>d</th></tr>"
+        "<tr><td>1</td><td rowspan=3 colspan=2>m</td><td rowspan=2>e</td></tr><tr><td>2</td></tr><tr></tr>"
+        "<tr><td>3</td><td>x</td></tr><tr><td>4</td><td colspan=9000000000>w</td></tr></table>"
+    )
+    cells = html.table_cells(page(spark, text), header_levels=1).orderBy("row_ix", "col_ix").collect()
+    lines = [[x["text"] for x in cells if x["row_ix"] == i] for i in range(4)]
+    assert lines[:3] == [["1", "m", "m", "e"], ["2", "m", "m", "e"], ["3", "m", "m", "x"]]
+    assert lines[3][:2] == ["4", "w"] and len(lines[3]) == 1001
+
+
 def test_squad_rows(spark):
     text = """<table class="x"></table><table class="big items"><tr class="head"><td>h</td></tr>
     <tr class="odd"><td class="hauptlink"><a>10</a></td><td class="a hauptlink"><a href="/s">Saka</a> x</td><td>RW</td><td>€1.5m</td></tr>
