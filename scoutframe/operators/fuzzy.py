@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import match_text, sorted_tokens
-from ..session import c, cut_lineage, salted_join, small_side, spread
+from ..session import c, cut_lineage, salted_join, shuffled, small_side, spread
 
 TOKEN_SORT_WEIGHT = 0.95
 CONTAINMENT_SCORE = 90.0
@@ -196,7 +196,7 @@ def _cut_pairs(
     carry_l, carry_r = [*equi, "norm_l", "s_l", "t"], [*equi, "norm_r", "s_r"]
 
     def joined(a: DataFrame, b: DataFrame) -> DataFrame:
-        return a.drop("k", "rest", "len_r").join(b.drop("k", "rest"), keys)
+        return a.drop("k", "rest", "len_r").join(shuffled(b.drop("k", "rest")), keys)
 
     pairs = None
     for _ in range(LEVELS):
@@ -225,7 +225,7 @@ def _contained(small: DataFrame, large: DataFrame, equi: list[str], most: int) -
     rare = (
         small.select(*[c(e) for e in equi], F.col("norm").alias("norm_a"), tokens.alias("tok_a"))
         .withColumn("tok", F.explode("tok_a"))
-        .join(seen, equi + ["tok"])
+        .join(shuffled(seen), equi + ["tok"])
         .groupBy(*[c(e) for e in equi], "norm_a", "tok_a")
         .agg(F.min_by("tok", F.struct("freq", "tok")).alias("tok"), F.count(F.lit(1)).alias("found"))
         .where(F.col("found") == F.size("tok_a"))
@@ -288,7 +288,7 @@ def fuzzy_best(
     if known is not None:
         least = F.least(F.greatest(F.floor(F.max(c(known)) / STEP) * STEP, F.lit(float(threshold))), F.lit(CONTAINMENT_SCORE))
         bounds = left.groupBy(*e, c(left_norm).alias("norm")).agg(least.alias("_least"))
-        l = cut_lineage(_names(left, equi, left_norm).join(bounds, [*equi, "norm"]))
+        l = cut_lineage(_names(left, equi, left_norm).join(shuffled(bounds), [*equi, "norm"]))
         rows = {x["_least"]: x["count"] for x in l.groupBy("_least").count().collect()}  # one for each step at most
         out, low = None, []
         for step in sorted(rows, reverse=True):
@@ -307,7 +307,8 @@ def fuzzy_best(
             break
         high = cut_lineage(_best_pairs(rest, r, equi, band, n, n_r, heavy_rows, out is None and nested))
         out = high if out is None else out.unionByName(high)
-        rest = cut_lineage(rest.join(high.select(*e, F.col("norm_l").alias("norm")), [*equi, "norm"], "left_anti"))
+        settled = shuffled(high.select(*e, F.col("norm_l").alias("norm")))
+        rest = cut_lineage(rest.join(settled, [*equi, "norm"], "left_anti"))
         n = rest.count()
     found = _best_pairs(rest, r, equi, threshold, n, n_r, heavy_rows, out is None and nested)
     return found if out is None else out.unionByName(found)

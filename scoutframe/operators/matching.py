@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import FUZZY_THRESHOLD, FUZZY_THRESHOLD_CLUB, MATCH_RATE_WARNING, TOKEN_SORT_GATE
 from ..functions.parse import clean_double, to_number
 from ..functions.text import match_text, normalize_club, normalize_name
-from ..session import c, cut_lineage
+from ..session import c, cut_lineage, shuffled
 from .fuzzy import fuzzy_best, token_sort_ratio
 
 
@@ -36,7 +36,7 @@ def value_lookup(
 def exact_values(df: DataFrame, lookup: DataFrame, player="Player", value="market_value_eur") -> DataFrame:
     """First pass on its own: equality of normalised names, league ignored."""
     keyed = df.drop(value).withColumn("norm", normalize_name(c(player)))
-    return keyed.join(lookup.select("norm", c(value)), "norm", "left").drop("norm")
+    return keyed.join(shuffled(lookup.select("norm", c(value))), "norm", "left").drop("norm")
 
 
 def match_market_values(
@@ -56,19 +56,19 @@ def match_market_values(
 
     known = lookup.where(c(value).isNotNull()).select(F.col("norm").alias("_norm"), c(value))
     open_names = cut_lineage(
-        df.select("_norm", "_club").distinct().join(known, "_norm", "left_anti")
+        df.select("_norm", "_club").distinct().join(shuffled(known), "_norm", "left_anti")
     )
     second = fuzzy_best(open_names, lookup, threshold, left_norm="_norm")
     second = cut_lineage(
-        second.join(lookup, second.norm_r == lookup.norm)
+        second.join(shuffled(lookup), second.norm_r == lookup.norm)
         .where(c(value).isNotNull())
         .select(F.col("norm_l").alias("_norm"), c(value))
     )
-    out = df.join(known.unionByName(second), "_norm", "left")
+    out = df.join(shuffled(known.unionByName(second)), "_norm", "left")
     if not has_club:
         return out.drop("_norm", "_club")
 
-    rest = open_names.where(F.col("_club") != "").join(second, "_norm", "left_anti")
+    rest = open_names.where(F.col("_club") != "").join(shuffled(second), "_norm", "left_anti")
     rest = rest.select("_norm", F.col("_club").alias("club_norm"))
     same_club = fuzzy_best(
         rest, lookup.where(F.col("club_norm") != ""), club_threshold, ["club_norm"], left_norm="_norm"
@@ -76,7 +76,7 @@ def match_market_values(
     # its same-club score is one that the best candidate reaches, so nothing below is searched
     best = fuzzy_best(same_club.select(F.col("norm_l").alias("norm"), "score"), lookup, club_threshold, known="score")
     third = (
-        best.join(lookup, best.norm_r == lookup.norm)
+        best.join(shuffled(lookup), best.norm_r == lookup.norm)
         .where(F.col("club_norm") != "")
         .select(
             F.col("norm_l").alias("_norm"),
@@ -84,9 +84,9 @@ def match_market_values(
             c(value).alias("_third"),
         )
     )
-    third = third.join(second, "_norm", "left_anti")
+    third = third.join(shuffled(second), "_norm", "left_anti")
     return (
-        out.join(third, ["_norm", "_club"], "left")
+        out.join(shuffled(third), ["_norm", "_club"], "left")
         .withColumn(value, F.coalesce(c(value), F.col("_third")))
         .drop("_norm", "_club", "_third")
     )
@@ -127,18 +127,18 @@ def attach_xg(
     names = lookup.withColumnRenamed("norm", "_norm")
     if fuzzy:
         open_names = keyed.select(c(league), "_norm").distinct().join(
-            names, [league, "_norm"], "left_anti"
+            shuffled(names), [league, "_norm"], "left_anti"
         )
         best = fuzzy_best(open_names, lookup, threshold, [league], left_norm="_norm")
         passed = token_sort_ratio(match_text(F.col("norm_l")), match_text(F.col("norm_r"))) >= gate
         near = (
             best.where(passed)
             .withColumnRenamed("norm_r", "norm")
-            .join(lookup, [league, "norm"])
+            .join(shuffled(lookup), [league, "norm"])
             .select(c(league), F.col("norm_l").alias("_norm"), *[c(s) for s in stats])
         )
         names = names.unionByName(near)
-    return keyed.join(names, [league, "_norm"], "left").drop("_norm")
+    return keyed.join(shuffled(names), [league, "_norm"], "left").drop("_norm")
 
 
 def observe_match_rate(df: DataFrame, leagues, league="League", stat="xG") -> tuple[DataFrame, Observation]:

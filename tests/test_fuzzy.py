@@ -107,3 +107,11 @@ def test_salted_join_is_the_plain_join(spark):
     plain = sorted(map(tuple, probe.join(index, "k").select("k", "p", "q").collect()))
     salted = salted_join(probe, index, ["k"], rows_per_salt=10)
     assert sorted(map(tuple, salted.select("k", "p", "q").collect())) == plain
+
+
+def test_names_are_not_fetched_to_the_driver(spark, tmp_path):
+    """Rows that explode makes of names are joined by shuffle, however small the files they come from."""
+    spark.createDataFrame([(f"anna berg{i}",) for i in range(300)], "norm string").write.parquet(str(tmp_path / "n"))
+    d = spark.read.parquet(str(tmp_path / "n"))
+    plan = fuzzy_best(d, d, 80)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
