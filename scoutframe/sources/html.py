@@ -1,6 +1,6 @@
 """HTML tables out of a pages DataFrame.
 
-Only the tokenising runs in Python, per Arrow batch inside the tasks: a page
+Only the tokenising runs in Python, on bounded slices of Arrow batches inside the tasks: a page
 becomes one record with its tables as nested arrays. Choosing the table, naming
 and typing cells stay native and need no shuffle.
 """
@@ -37,10 +37,12 @@ TABLES_TYPE = (
 
 _HIDDEN = re.compile(r"<!--(.*?)-->|<(script|style)\b.*?</\2\s*>", re.S | re.I)
 _TAG = re.compile(
-    r"""<(/?)(table|tr|td|th|a)\b((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.I
+    r"""<(?:(t[dh])>([^<]*)</\1>|(/?)(table|tr|td|th|a)\b([^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*)>)""", re.I
 )
 _ATTR = re.compile(r"""([\w-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _ANY_TAG = re.compile(r"<[^>]*>")
+_NONE: dict[str, str] = {}
+SLICE_PAGES, SLICE_CHARS = 256, 1 << 20
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -49,17 +51,35 @@ def _attributes(text: str) -> dict[str, str]:
 
 def _tables(source: str) -> list[dict]:
     """Tables of one markup text in page order, each with its rows and raw cells."""
-    found, open_tables = [], []
+    found, open_tables, t = [], [], None
     for m in _TAG.finditer(source):
-        closing, tag = m.group(1), m.group(2).lower()
-        t = open_tables[-1] if open_tables else None
+        plain, inside, closing, tag, attributes = m.groups()
+        if plain:  # a cell of text alone, opened and closed at once
+            if t is None:
+                continue
+            if t["cell"] is not None:
+                _close_cell(t, source, m.start())
+            if t["rows"]:
+                if "&" in inside:
+                    inside = unescape(inside)
+                cell = {
+                    "text": " ".join(inside.split()), "cls": "", "link": None, "href": None, "across": 1, "down": 1,
+                    "head": plain in ("th", "TH", "tH", "Th"),
+                }
+                t["rows"][-1]["cells"].append(cell)
+                for outer in open_tables:
+                    if outer["rows"]:
+                        outer["rows"][-1]["inner"].append(cell)
+            continue
+        tag = tag.lower()
         if tag == "table":
             if closing:
                 if t:
                     _close_cell(t, source, m.start())
                     open_tables.pop()
+                    t = open_tables[-1] if open_tables else None
                 continue
-            a = _attributes(m.group(3))
+            a = _attributes(attributes)
             t = {"id": a.get("id", ""), "cls": a.get("class", ""), "rows": [], "cell": None}
             found.append(t)
             open_tables.append(t)
@@ -71,25 +91,31 @@ def _tables(source: str) -> list[dict]:
                 continue
             if not closing and cell["from"] is None:
                 cell["from"] = m.end()
-                cell["href"] = _attributes(m.group(3)).get("href")
+                cell["href"] = _attributes(attributes).get("href")
             elif closing and cell["from"] is not None and cell["link"] is None:
                 cell["link"] = _text(source[cell["from"] : m.start()])
         else:
-            _close_cell(t, source, m.start())
+            if t["cell"] is not None:
+                _close_cell(t, source, m.start())
             if closing:
                 continue
-            a = _attributes(m.group(3))
+            a = _attributes(attributes) if attributes else _NONE
             if tag == "tr":
-                t["rows"].append({"cls": a.get("class", ""), "cells": [], "inner": []})
+                t["rows"].append({"cls": a.get("class", ""), "cells": [], "inner": [], "spans": False})
             elif t["rows"]:
-                t["cell"] = {
-                    "at": m.end(), "from": None, "link": None, "href": None, "cls": a.get("class", ""),
-                    "across": _span(a.get("colspan"), 1000), "down": _span(a.get("rowspan"), 65_534), "text": "", "head": tag == "th",
+                t["cell"] = cell = {
+                    "at": m.end(), "from": None, "link": None, "href": None, "cls": "", "across": 1, "down": 1, "text": "",
+                    "head": tag == "th",
                 }
-                t["rows"][-1]["cells"].append(t["cell"])
+                if a:
+                    cell["cls"] = a.get("class", "")
+                    cell["across"], cell["down"] = _span(a.get("colspan"), 1000), _span(a.get("rowspan"), 65_534)
+                    if cell["across"] > 1 or cell["down"] > 1:
+                        t["rows"][-1]["spans"] = True
+                t["rows"][-1]["cells"].append(cell)
                 for outer in open_tables:
                     if outer["rows"]:
-                        outer["rows"][-1]["inner"].append(t["cell"])
+                        outer["rows"][-1]["inner"].append(cell)
     return found
 
 
@@ -111,6 +137,9 @@ def _grid(rows) -> list[list[dict]]:
     """Cells laid out with row and column spans repeated; rows above reach down as intervals of columns."""
     out, reaching = [], []
     for row in rows:
+        if not reaching and not row["spans"]:
+            out.append(row["cells"])
+            continue
         line, later, k = [], [], 0
         for cell in (*row["cells"], None):
             while k < len(reaching) and (cell is None or reaching[k][0] <= len(line)):
@@ -159,22 +188,20 @@ def _headers(lines, levels: int) -> list[str]:
     return names
 
 
-def _plain(cells) -> list[dict]:
-    return [{k: x[k] for k in ("text", "cls", "link", "href")} for x in cells]
-
-
 def _page_tables(html: str | None, header_levels: int | None, only: str | None = None) -> list[dict]:
     """Visible tables first, then those in comments, each in page order; with ``only`` those of that id.
 
     Without ``header_levels`` each table's own rows tell how many of them are its header.
 
     A row's ``inner`` lists all its cells and those of tables nested in it, in page order, where there are such.
+    Cells hold more than ``_CELL`` names; Arrow takes the fields it names.
     """
     if not html or "<table" not in html.lower():
         return []
     notes = [m.group(1) for m in _HIDDEN.finditer(html) if m.group(1) and "<table" in m.group(1).lower()]
     out = []
     for hidden, parts in ((False, [_HIDDEN.sub("", html)]), (True, notes)):
+        parts = [p for p in parts if only is None or only in p or "&" in p]  # an id may be written in entities
         for t in (t for p in parts for t in _tables(p) if only is None or t["id"] == only):
             rows = [r for r in t["rows"] if r["cells"]]
             lines = _grid(rows)
@@ -183,8 +210,8 @@ def _page_tables(html: str | None, header_levels: int | None, only: str | None =
             body = [
                 {
                     "cls": row["cls"],
-                    "cells": _plain(line),
-                    "inner": _plain(row["inner"]) if len(row["inner"]) > len(row["cells"]) else None,
+                    "cells": line,
+                    "inner": row["inner"] if len(row["inner"]) > len(row["cells"]) else None,
                 }
                 for row, line in zip(rows[levels:], lines[levels:])
             ]
@@ -194,6 +221,22 @@ def _page_tables(html: str | None, header_levels: int | None, only: str | None =
     return out
 
 
+def _slices(batch: pa.RecordBatch):
+    """A batch in parts of a bounded number of pages and, but for one page alone, of characters.
+
+    Parsed tables take many times the memory of their markup, so no more than a part is held in that form.
+    """
+    start = chars = 0
+    for i, x in enumerate(batch.column("_html")):
+        n = len(x.as_py() or "")
+        if i > start and (i - start >= SLICE_PAGES or chars + n > SLICE_CHARS):
+            yield batch.slice(start, i - start)
+            start, chars = i, 0
+        chars += n
+    if batch.num_rows > start:
+        yield batch.slice(start)
+
+
 def read_tables(pages: DataFrame, page: str = "page_id", html: str = "html", header_levels: int | None = 2, keep=(), only: str | None = None) -> DataFrame:
     """(page, keep..., tables): one record per page; with ``only`` just the tables of that id are built.
 
@@ -203,7 +246,7 @@ def read_tables(pages: DataFrame, page: str = "page_id", html: str = "html", hea
     kinds = dict(pages.dtypes)
 
     def read(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in _slices(whole)):
             tables = [_page_tables(h, header_levels, only) for h in b.column("_html").to_pylist()]
             cols = [b.column(x) for x in carried] + [pa.array(tables, pa.list_(_TABLE))]
             yield pa.RecordBatch.from_arrays(cols, names=[*carried, "tables"])

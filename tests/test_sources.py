@@ -2,6 +2,7 @@ import json
 import os
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -204,3 +205,23 @@ def test_xg_items(spark):
     d = spark.createDataFrame([("A", None, "F M", "90", "1.5", "")], "player_name string, team_title string, position string, time string, xG string, xA string")
     assert tuple(items.flatten_xg_items(d, "2024-25").first()) == ("A", "", "FW", 90.0, 1.5, 0.0, "2024-25")
     assert len(items.flatten_xg_items(d, "2024-25", wide=True).columns) == 14
+
+
+def test_pages_are_parsed_in_bounded_slices():
+    """A slice has a bounded number of pages and of characters; a longer page is one of its own; no page is lost."""
+    pages = ["x" * n for n in (1, 2, 3)] + [None, "y" * (html.SLICE_CHARS + 5), "z"] + ["w"] * (2 * html.SLICE_PAGES)
+    parts = list(html._slices(pa.RecordBatch.from_pydict({"_html": pa.array(pages, pa.string())})))
+    assert [x for p in parts for x in p.column("_html").to_pylist()] == pages
+    assert max(p.num_rows for p in parts) == html.SLICE_PAGES
+    assert parts[1].num_rows == 1 and len(parts[1].column("_html")[0].as_py()) > html.SLICE_CHARS
+    assert list(html._slices(pa.RecordBatch.from_pydict({"_html": pa.array([], pa.string())}))) == []
+
+
+def test_a_cell_of_text_alone_is_one_token():
+    """And reads as one that is opened and closed in two, entities, case, missing row and nested tables included."""
+    assert len(html._TAG.findall("<tr><td>1</td><td>2</td></tr>")) == 4
+    for source in ("<tr><td>1 &amp;\n2</td><TH>x</TH><td>y</td></tr>", "<td>no row</td><tr><td>a<table><tr><td>b</td></tr></table></td></tr>"):
+        split = source.replace("<td>", "<td >").replace("<TH>", "<TH >")
+        assert pa.array(html._page_tables(f"<table>{source}</table>", 0), pa.list_(html._TABLE).value_type) == pa.array(
+            html._page_tables(f"<table>{split}</table>", 0), pa.list_(html._TABLE).value_type
+        )
