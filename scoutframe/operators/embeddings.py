@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,6 +34,7 @@ ships_with_tasks(__name__)
 BLOCK_ROWS = 8192
 MOST_CENTRES = 1024
 SAMPLE_ROWS = 20_000
+SEARCH_ROWS = 128  # rows compared with a block at once
 _SLACK = 1e-6  # covers the rounding of similarities in the radius
 
 
@@ -47,8 +49,10 @@ def pack_block(label, keys: np.ndarray, x: np.ndarray, block: int, want: int) ->
     centre = x.mean(axis=0)
     worst = np.full(len(x), -1.0)
     if len(x) >= want:
-        r, _, s = nearest(x, x, want)
-        worst = s[np.searchsorted(r, np.arange(len(x)), "right") - 1]
+        for at in range(0, len(x), SEARCH_ROWS):
+            r, _, s = nearest(x[at : at + SEARCH_ROWS], x, want)
+            here = worst[at : at + SEARCH_ROWS]
+            here[:] = s[np.searchsorted(r, np.arange(len(here)), "right") - 1]
     return {
         "label": label, "block": block, "centre": centre.tolist(),
         "radius": float(np.sqrt(((x - centre) ** 2).sum(axis=1).max())),
@@ -158,16 +162,21 @@ def nearest_vectors(
     met = pairs.join(theirs, "block2").join(blocks.select("label", "block", "keys", "vectors", "worst"), "block")
 
     def search(batches):
-        for pdf in batches:
-            for row in pdf.to_dict("records"):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                # views of the batch: a copy of its vectors would be as large as all blocks in it
+                row = {x: batch.column(x)[i].as_buffer() for x in ("keys", "vectors", "worst", "keys2", "vectors2")}
                 keys, x, worst = _unpacked(row)
                 keys2 = np.frombuffer(row["keys2"], np.int64)
                 y = np.frombuffer(row["vectors2"], float).reshape(len(keys2), -1)
-                r, col, s = nearest(x, y, want)
-                keep = s >= worst[r]
-                yield pd.DataFrame({"label": row["label"], "dir": keys[r[keep]], "near": keys2[col[keep]], "sim": s[keep]})
-
-    finds = met.mapInPandas(search, "label string, dir long, near long, sim double")
+                for at in range(0, len(x), SEARCH_ROWS):
+                    r, col, s = nearest(x[at : at + SEARCH_ROWS], y, want)
+                    keep = s >= worst[at + r]
+                    found = [keys[at + r[keep]], keys2[col[keep]], s[keep]]
+                    label = pa.array([batch.column("label")[i].as_py()] * len(found[0]), pa.string())
+                    yield pa.RecordBatch.from_arrays([label, *map(pa.array, found)], ["label", "dir", "near", "sim"])
+
+    finds = met.mapInArrow(search, "label string, dir long, near long, sim double")
 
     # 5. the best directions, then the best keys
     best = Window.partitionBy("label", "dir").orderBy(F.desc("sim"), "near")

@@ -75,3 +75,17 @@ def test_ranks_on_heavy_tails_and_ties(spark):
     assert median == {g: pytest.approx(float(np.median([v for _, h, v in rows if h == g and v is not None]))) for g in groups}
     windows = ranking.value_counts(df, "v")._jdf.queryExecution().executedPlan().toString()
     assert "floor" not in windows
+
+
+def test_a_block_is_searched_some_rows_at_a_time(spark, monkeypatch):
+    """A block of vectors is never compared with another as a whole."""
+    from scoutframe.operators import embeddings
+
+    seen = []
+    one = embeddings.nearest
+    monkeypatch.setattr(embeddings, "nearest", lambda x, y, k: seen.append(len(x)) or one(x, y, k))
+    x = np.random.default_rng(2).normal(size=(300, 8))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    packed = embeddings.pack_block("a", np.arange(300), x, 0, 6)
+    assert max(seen) == embeddings.SEARCH_ROWS and sum(seen) == 300
+    assert np.allclose(np.frombuffer(packed["worst"]), np.sort(np.round(x @ x.T, 9), axis=1)[:, -6])
