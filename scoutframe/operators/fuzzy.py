@@ -259,6 +259,13 @@ def _best_pairs(
     )
 
 
+def _none(names: DataFrame, equi: list[str]) -> DataFrame:
+    """The result of a search for no names."""
+    return names.where(F.lit(False)).select(
+        *[c(x) for x in equi], F.col("norm").alias("norm_l"), F.col("norm").alias("norm_r"), F.lit(0.0).alias("score")
+    )
+
+
 def fuzzy_best(
     left: DataFrame,
     right: DataFrame,
@@ -283,6 +290,11 @@ def fuzzy_best(
         raise ValueError("threshold must lie above 0 and not above 100")
     equi = list(equi)
     e = [c(x) for x in equi]
+    if known is None:
+        rest = cut_lineage(_names(left, equi, left_norm))
+        n, nested, out = rest.count(), threshold <= CONTAINMENT_SCORE, None
+        if not n:  # nothing to search for, so the right names are not cut either
+            return _none(rest, equi)
     r = cut_lineage(_names(right, equi, right_norm))
     n_r = r.count()
     if known is not None:
@@ -299,9 +311,7 @@ def fuzzy_best(
             part = l.where(F.col("_least").isin(low)).drop("_least")
             found = _best_pairs(part, r, equi, step, n, n_r, heavy_rows, step <= CONTAINMENT_SCORE)
             out, low = (found if out is None else out.unionByName(found)), []
-        return out if out is not None else _best_pairs(l.drop("_least"), r, equi, threshold, 0, n_r, heavy_rows, True)
-    rest = cut_lineage(_names(left, equi, left_norm))
-    n, nested, out = rest.count(), threshold <= CONTAINMENT_SCORE, None
+        return out if out is not None else _none(l, equi)
     for band in [x for x in BANDS if x > threshold]:
         if n <= band_rows:
             break
@@ -310,5 +320,7 @@ def fuzzy_best(
         settled = shuffled(high.select(*e, F.col("norm_l").alias("norm")))
         rest = cut_lineage(rest.join(settled, [*equi, "norm"], "left_anti"))
         n = rest.count()
+        if not n:
+            return out
     found = _best_pairs(rest, r, equi, threshold, n, n_r, heavy_rows, out is None and nested)
     return found if out is None else out.unionByName(found)

@@ -115,3 +115,11 @@ def test_names_are_not_fetched_to_the_driver(spark, tmp_path):
     d = spark.read.parquet(str(tmp_path / "n"))
     plan = fuzzy_best(d, d, 80)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
+def test_no_open_names_leave_the_right_names_uncut(spark):
+    """A search for no names has an empty plan, whatever the size of the right side."""
+    r = spark.createDataFrame([("A", "anna berg")], "g string, norm string")
+    found = fuzzy_best(r.where("false"), r, 80, ["g"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.columns == ["g", "norm_l", "norm_r", "score"] and "Join" not in plan and found.isEmpty()
