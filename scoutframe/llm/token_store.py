@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoutframe.llm.common import pick
+from scoutframe.llm.common import distinct, pick
 from scoutframe.llm.tokens import word_encoder
 
 MAGIC = b"RPR1"
@@ -26,17 +26,22 @@ def _counted(keys: np.ndarray, bits: int, least: int) -> tuple[np.ndarray, np.nd
     """
     index_bits = len(keys).bit_length()
     if bits + index_bits <= 64:
-        both = np.sort((keys << np.uint64(index_bits)) | np.arange(len(keys), dtype=np.uint64))
-        order = (both & np.uint64((1 << index_bits) - 1)).astype(np.int64)
-        ordered = both >> np.uint64(index_bits)
+        order = keys << np.uint64(index_bits)
+        order |= np.arange(len(keys), dtype=np.uint64)
+        order.sort()
+        ordered = order >> np.uint64(index_bits)
     else:
         order = np.argsort(keys)
         ordered = keys[order]
-    head = np.flatnonzero(np.diff(ordered, prepend=~ordered[:1]) != 0)
+    head = np.flatnonzero(ordered[1:] != ordered[:-1])
+    head = np.concatenate((np.zeros(min(1, len(keys)), np.int64), head + 1))
     counts = np.diff(head, append=len(ordered))
     often = counts >= least
+    order = order[np.repeat(often, counts)]
+    if bits + index_bits <= 64:
+        order = (order & np.uint64((1 << index_bits) - 1)).view(np.int64)
     pair_of = np.full(len(keys), -1, np.int32)
-    pair_of[order[np.repeat(often, counts)]] = np.repeat(np.arange(often.sum(), dtype=np.int32), counts[often])
+    pair_of[order] = np.repeat(np.arange(often.sum(), dtype=np.int32), counts[often])
     return ordered[head[often]], counts[often], pair_of
 
 
@@ -70,14 +75,18 @@ def compress(seq: np.ndarray, ends: np.ndarray, rounds: int | None, most: int |
     while len(open_) and (rounds is None or done < rounds):
         right = after[open_]
         bits = int(first + size).bit_length()
-        keys = (seq[open_].astype(np.uint64) << np.uint64(bits)) | seq[right]
+        keys = seq[open_].astype(np.uint64)
+        keys <<= np.uint64(bits)
+        keys |= seq[right]
         repeat = np.flatnonzero((keys[1:] == keys[:-1]) & (right[:-1] == open_[1:])) + 1
         at, odd = open_, open_[:0]
         if len(repeat):
             run = np.concatenate(([True], np.diff(repeat) != 1))
             index = np.arange(len(repeat))
             skip = repeat[(index - index[run][np.cumsum(run) - 1]) % 2 == 0]
-            odd, at, keys = open_[skip], np.delete(open_, skip), np.delete(keys, skip)
+            counted = np.ones(len(open_), bool)
+            counted[skip] = False
+            odd, at, keys = open_[skip], open_[counted], keys[counted]
         pairs, counts, pair_of = _counted(keys, 2 * bits, least)
         if not len(pairs):
             break
@@ -108,7 +117,7 @@ def compress(seq: np.ndarray, ends: np.ndarray, rounds: int | None, most: int |
         todo = np.zeros(n, bool) if len(at) > n >> 6 else None
         parts = (rest, odd, at, left[left != none])
         if todo is None:
-            open_ = np.unique(np.concatenate(parts))
+            open_ = distinct(np.concatenate(parts))
         else:
             for part in parts:
                 todo[part] = True
@@ -257,8 +266,8 @@ def write_tokens(
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], columns)
 
         for batch in batches:
-            for key, value in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                x = encoder.encode(value.as_py() or "")
+            texts = (value.as_py() or "" for value in batch.column("text"))
+            for key, x in zip(batch.column("doc_id").to_pylist(), encoder.encode_all(texts), strict=True):
                 names.append(key)
                 ids.append(x + end)
                 held += len(x) // 4 + 1

@@ -5,13 +5,16 @@ from __future__ import annotations
 import os
 import re
 import struct
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
 
 from scoutframe.llm.common import per_process
 
 LONG_TEXT = 1 << 20
+SLAB = 4 << 20
 LONG_PIECE = 64
 LETTER, DIGIT = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
 
@@ -33,10 +36,13 @@ class Remembered(dict):
 
     def __missing__(self, text: str) -> bytes:
         out = self.make(text)
-        if len(self) < self.most and len(text) <= LONG_PIECE:
-            self[text] = out
+        self.keep(text, out)
         return out
 
+    def keep(self, text: str, ids: bytes) -> None:
+        if len(self) < self.most and len(text) <= LONG_PIECE:
+            self[text] = ids
+
 
 class PieceEncoder:
     """The ids that the tokenizers library gives, found by encoding each distinct part of a text once.
@@ -105,16 +111,120 @@ class ByteEncoder(PieceEncoder):
     ).findall)
 
 
+def character_kinds() -> np.ndarray:
+    """0 for white space, 1 for letters, 2 for digits, 3 for signs, for each Latin-1 character."""
+    rules = (r"\s", f"[{LETTER}]", f"[{DIGIT}]", "")
+    return np.array([next(k for k, r in enumerate(rules) if re.match(r, chr(c))) for c in range(256)], np.uint8)
+
+
 class WordEncoder(PieceEncoder):
     """For a lower-casing BPE file that drops white space: a piece is a word."""
 
     PARTS = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{LETTER}]+|[{DIGIT}]|[^\s{LETTER}{DIGIT}]+")
     cut = staticmethod(str.split)
+    kinds = character_kinds()
+    lower = "".join(map(chr, range(256))).lower().encode("latin-1")
+    TOGETHER = 20_000
+
+    def __init__(self, path: str, most: int) -> None:
+        super().__init__(path, most)
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.words = Tokenizer(self.model)  # words between blanks go to the same model as they are
+        self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocabulary, mark = self.words.get_vocab(), self.model.end_of_word_suffix
+        self.is_last = np.zeros(max(vocabulary.values()) + 1, bool)  # the tokens that end a word
+        self.is_last[[i for x, i in vocabulary.items() if x.endswith(mark)]] = True
 
     @classmethod
     def split(cls, piece: str) -> list[str]:
         return cls.PARTS.findall(piece.lower())
 
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """``encode`` of each text; Latin-1 texts of ``SLAB`` characters together are split at once."""
+        held, latin, size = [], [], 0  # held: ids, or None for the next of ``latin``
+        for text in texts:
+            plain = None
+            if len(text) <= LONG_TEXT and not any(x in text for x in self.UNCOMMON):
+                try:
+                    plain = text.encode("latin-1")
+                except UnicodeEncodeError:
+                    pass
+            if plain is None:
+                held.append(self.encode(text))
+            else:
+                held.append(None)
+                latin.append(plain)
+            size += len(text)
+            if size >= SLAB:
+                yield from self._filled(held, latin)
+                held, latin, size = [], [], 0
+        yield from self._filled(held, latin)
+
+    def _filled(self, held: list, latin: list[bytes]) -> Iterator[bytes]:
+        found = iter(self._latin(latin))
+        return (next(found) if x is None else x for x in held)
+
+    def _slice(self, text: str) -> bytes:
+        if len(text) >= LONG_TEXT and not self.BEYOND_LATIN_1.search(text):
+            return self._latin([text.encode("latin-1")])[0]
+        return super()._slice(text)
+
+    def _parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of each part; the library's model gets those not in memory ``TOGETHER`` at a time."""
+        ids = list(map(self.parts.get, parts))
+        new = [i for i, x in enumerate(ids) if x is None]
+        for k in range(0, len(new), self.TOGETHER):
+            some = new[k : k + self.TOGETHER]
+            text = " ".join([parts[i] for i in some]).translate(self.symbols | {ord(" "): " "})
+            found = np.array(self.words.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            cuts = [0, *(4 * np.flatnonzero(self.is_last[found]) + 4).tolist()]
+            if len(cuts) != len(some) + 1:  # a vocabulary without a mark at some part's end
+                ids = [self.parts[x] for x in parts]
+                break
+            found = found.tobytes()
+            for i, (a, b) in zip(some, pairwise(cuts), strict=True):
+                ids[i] = found[a:b]
+                self.parts.keep(parts[i], ids[i])
+        return ids
+
+    def _latin(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of Latin-1 texts.  The parts are those of ``PARTS``, as runs of characters of one kind; each distinct
+        one is looked up once."""
+        text = b"\n".join([*texts, b""]).translate(self.lower)
+        buf = np.frombuffer(text, np.uint8)
+        kind = self.kinds[buf]
+        starts = np.flatnonzero((kind[1:] != kind[:-1]) | (kind[1:] == 2)) + 1
+        starts = np.concatenate((np.zeros(min(1, len(buf)), np.int64), starts))
+        self._contract(text, buf, kind, starts)
+        sizes = np.diff(starts, append=len(buf))
+        word = (kind[starts] != 0) & (sizes > 0)
+        starts, sizes = starts[word], sizes[word]
+        ends = np.cumsum(sizes)
+        offsets, seen = pa.py_buffer(np.concatenate(([0], ends))), pa.py_buffer(buf[kind != 0])
+        parts = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, offsets, seen]).dictionary_encode()
+        _, offsets, seen = parts.dictionary.buffers()
+        at, seen = np.frombuffer(offsets, np.int64).tolist(), str(seen or b"", "latin-1")
+        ids = self._parts([seen[a:b] for a, b in pairwise(at[: len(parts.dictionary) + 1])])
+        ids = pa.array(ids, pa.large_binary()).take(parts.indices)
+        _, offsets, ids = ids.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[: len(sizes) + 1] if len(sizes) else np.zeros(1, np.int64)
+        first = np.cumsum([0, *[len(x) + 1 for x in texts]])
+        cuts = offsets[np.searchsorted(starts, first)].tolist()
+        ids = ids.to_pybytes() if ids else b""
+        return [ids[a:b] for a, b in pairwise(cuts)]
+
+    @staticmethod
+    def _contract(text: bytes, buf: np.ndarray, kind: np.ndarray, starts: np.ndarray) -> None:
+        """Move the starts of letters after a lone apostrophe behind the letters that belong to it ('s, 're ...)."""
+        if b"'" not in text:
+            return
+        lone = np.flatnonzero((buf[starts[:-1]] == ord("'")) & (np.diff(starts) == 1) & (kind[starts[1:]] == 1))
+        for i in lone.tolist():
+            a = int(starts[i + 1])
+            pair = text[a : a + 2]
+            starts[i + 1] += 1 if pair[:1] in b"stmd" else 2 if pair in (b"re", b"ve", b"ll") else 0
+
 
 def byte_encoder(path: str, most: int = 400_000) -> ByteEncoder:
     return per_process(("byte_encoder", path, most), lambda: ByteEncoder(path, most))

@@ -216,6 +216,30 @@ def test_tokens_equal_the_library(monkeypatch):
             assert np.frombuffer(mine.encode(t), np.uint32).tolist() == library.encode(t, add_special_tokens=False).ids
 
 
+def test_texts_are_split_together(monkeypatch):
+    """Ids of many texts equal the library's; new parts go to its model together, not one by one."""
+    path = vocabulary("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    signs = [*"aBsSdtMrevl1²'.,!ÉßªµÀÿ÷×\x00\x7f\x80\x85\xa0\xad \n\t ", "'re", "'LL", " 's", "''s", "'VEx", "tion", "</w>", "the "]
+    odd = [*signs, "’", "Σ", "\x1c", "中", "<|endoftext|>"]
+    rng = random.Random(5)
+    latin = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 60))) for _ in range(800)]
+    mixed = ["".join(rng.choice(odd) for _ in range(rng.randint(0, 60))) for _ in range(800)]
+    every = [chr(c) for c in range(256)] + [f"a{chr(c)}'{chr(c)}s" for c in range(256)]
+    for slab, together, long, most in ((1, 1, 30, 50), (500, 7, 30, 50), (4 << 20, 20_000, 1 << 20, 10_000)):
+        monkeypatch.setattr(tokens, "SLAB", slab)
+        monkeypatch.setattr(tokens, "LONG_TEXT", long)
+        monkeypatch.setattr(WordEncoder, "TOGETHER", together)
+        for texts in (latin, mixed, every, [], ["", "", " "], ["x" * 200, "it's"]):
+            found = list(WordEncoder(path, most=most).encode_all(texts))
+            assert len(found) == len(texts)
+            for t, x in zip(texts, found, strict=True):
+                assert np.frombuffer(x, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
+    mine = WordEncoder(path, most=10)
+    monkeypatch.setattr(mine.parts, "make", None)
+    assert len(list(mine.encode_all(latin))) == len(latin)
+
+
 def test_token_store(spark, docs, empty):
     path, folder = vocabulary("word_bpe_49k.json"), scratch_path(spark)
     encoder = Tokenizer.from_file(path)
