@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoutframe.llm.common import distinct, pick
+from scoutframe.llm.common import distinct, pick, release_memory
 from scoutframe.llm.tokens import word_encoder
 
 MAGIC = b"RPR1"
@@ -21,7 +21,7 @@ HEADER = "<4sIQQQQ"  # magic, first nonterminal, documents, rules, symbols, toke
 def _counted(keys: np.ndarray, bits: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(pairs, their places, index of its pair at each key, -1 for the rest) of the keys that occur ``least`` times.
 
-    Keys have ``bits`` bits.  Where a key and its index fit in one integer those are sorted, which takes a sixth of
+    The key of ones alone is no pair and counts nothing.  Keys have ``bits`` bits.  Where a key and its index fit in one integer those are sorted, which takes a sixth of
     the time of an argsort.
     """
     index_bits = len(keys).bit_length()
@@ -36,7 +36,7 @@ def _counted(keys: np.ndarray, bits: int, least: int) -> tuple[np.ndarray, np.nd
     head = np.flatnonzero(ordered[1:] != ordered[:-1])
     head = np.concatenate((np.zeros(min(1, len(keys)), np.int64), head + 1))
     counts = np.diff(head, append=len(ordered))
-    often = counts >= least
+    often = (counts >= least) & (ordered[head] != np.uint64((1 << bits) - 1))
     order = order[np.repeat(often, counts)]
     if bits + index_bits <= 64:
         order = (order & np.uint64((1 << index_bits) - 1)).view(np.int64)
@@ -79,14 +79,12 @@ def compress(seq: np.ndarray, ends: np.ndarray, rounds: int | None, most: int |
         keys <<= np.uint64(bits)
         keys |= seq[right]
         repeat = np.flatnonzero((keys[1:] == keys[:-1]) & (right[:-1] == open_[1:])) + 1
-        at, odd = open_, open_[:0]
+        odd = open_[:0]
         if len(repeat):
             run = np.concatenate(([True], np.diff(repeat) != 1))
             index = np.arange(len(repeat))
             skip = repeat[(index - index[run][np.cumsum(run) - 1]) % 2 == 0]
-            counted = np.ones(len(open_), bool)
-            counted[skip] = False
-            odd, at, keys = open_[skip], open_[counted], keys[counted]
+            odd, keys[skip] = open_[skip], (1 << 2 * bits) - 1  # no symbol has ones alone in its bits
         pairs, counts, pair_of = _counted(keys, 2 * bits, least)
         if not len(pairs):
             break
@@ -94,7 +92,7 @@ def compress(seq: np.ndarray, ends: np.ndarray, rounds: int | None, most: int |
         rank_of = np.full(len(pairs), -1, np.int32)
         rank_of[best] = np.arange(len(best))
         frequent = pair_of >= 0
-        at, rank = at[frequent], rank_of[pair_of[frequent]]
+        at, rank = open_[frequent], rank_of[pair_of[frequent]]
         rest, chosen = at, rank >= 0
         at, rank, pairs = at[chosen], rank[chosen], pairs[best]
         held[at] = rank
@@ -157,15 +155,18 @@ def expand_all(seq: np.ndarray, rules: np.ndarray, lengths: np.ndarray, first: i
     rule = seq[inner].astype(np.int64) - first
     step = np.ones(len(seq), np.int64)
     step[inner] = lengths[rule]
-    out = np.repeat(seq, step)
-    used, which = np.unique(rule, return_inverse=True)
+    used = np.zeros(len(rules), bool)
+    used[rule] = True
+    used = np.flatnonzero(used)
     pool = expand((used + first).astype(np.uint32), rules, first)
-    start = np.cumsum(lengths[used]) - lengths[used]
-    n = lengths[rule]
-    within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    to = np.repeat((np.cumsum(step) - step)[inner], n)
-    out[to + within] = pool[np.repeat(start[which], n) + within]
-    return out
+    start = np.zeros(len(rules), np.int64)
+    start[used] = np.cumsum(lengths[used]) - lengths[used]
+    source = np.arange(len(seq))  # where a symbol's tokens begin: itself, or behind all symbols in the pool
+    source[inner] = len(seq) + start[rule]
+    ends = np.cumsum(step)
+    at = np.repeat(source - ends + step, step)
+    at += np.arange(len(at))
+    return np.concatenate((seq, pool))[at]
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -259,6 +260,7 @@ def write_tokens(
 
         def image():
             nonlocal names, ids, held, before, block
+            release_memory()
             row = [shard, block, before, len(names), held, write_block(names, ids, rounds, pairs_per_round, least)]
             before, block, names, ids, held = before + held, block + 1, [], [], 0
             kinds = [pa.int64()] * 5 + [pa.binary()]

@@ -14,7 +14,7 @@ import pyarrow as pa
 from scoutframe.llm.common import per_process
 
 LONG_TEXT = 1 << 20
-SLAB = 4 << 20
+SLAB = 2 << 20
 LONG_PIECE = 64
 LETTER, DIGIT = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
 
@@ -185,6 +185,7 @@ class WordEncoder(PieceEncoder):
             found = found.tobytes()
             for i, (a, b) in zip(some, pairwise(cuts), strict=True):
                 ids[i] = found[a:b]
+            for i in some[: max(0, self.parts.most - len(self.parts))]:
                 self.parts.keep(parts[i], ids[i])
         return ids
 

@@ -222,9 +222,10 @@ def test_texts_are_split_together(monkeypatch):
     library = Tokenizer.from_file(path)
     signs = [*"aBsSdtMrevl1²'.,!ÉßªµÀÿ÷×\x00\x7f\x80\x85\xa0\xad \n\t ", "'re", "'LL", " 's", "''s", "'VEx", "tion", "</w>", "the "]
     odd = [*signs, "’", "Σ", "\x1c", "中", "<|endoftext|>"]
+    few = [*signs * 3, "’", "中", "İ", "\u2003", "\u0301", "ﬁ", "😀", "'"]
     rng = random.Random(5)
     latin = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 60))) for _ in range(800)]
-    mixed = ["".join(rng.choice(odd) for _ in range(rng.randint(0, 60))) for _ in range(800)]
+    mixed = ["".join(rng.choice(x) for _ in range(rng.randint(0, 60))) for x in (odd, few) for _ in range(800)]
     every = [chr(c) for c in range(256)] + [f"a{chr(c)}'{chr(c)}s" for c in range(256)]
     for slab, together, long, most in ((1, 1, 30, 50), (500, 7, 30, 50), (4 << 20, 20_000, 1 << 20, 10_000)):
         monkeypatch.setattr(tokens, "SLAB", slab)
