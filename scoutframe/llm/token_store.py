@@ -260,7 +260,6 @@ def write_tokens(
 
         def image():
             nonlocal names, ids, held, before, block
-            release_memory()
             row = [shard, block, before, len(names), held, write_block(names, ids, rounds, pairs_per_round, least)]
             before, block, names, ids, held = before + held, block + 1, [], [], 0
             kinds = [pa.int64()] * 5 + [pa.binary()]
@@ -277,6 +276,7 @@ def write_tokens(
                     yield image()
         if names:
             yield image()
+        release_memory()
 
     rows = pick(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
     shards = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from scoutframe.llm.common import per_process
 
 LONG_TEXT = 1 << 20
-SLAB = 2 << 20
+SLAB = 4 << 20
 LONG_PIECE = 64
 LETTER, DIGIT = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
 
