@@ -6,31 +6,38 @@ Score of two names, 0 to 100, on their match text (see ``match_text``):
 * ``token sort``: the same on alphabetically sorted tokens, times 0.95
 * ``containment``: 90 when the tokens of one are all among the other's
 
-and the largest of the three counts. Candidates come from two joins that
-together find every pair at or above the threshold:
-
-* segment join (Pass-Join, Li et al., VLDB 2011): a text within K edits of
-  another contains at least one of its K + 1 segments, at a bounded shift. At low
-  thresholds the longer text of a pair is the one that is cut: the score then
-  allows fewer edits than it has letters, so there is no lowest threshold. Both
-  sides turn into (length, segment number, segment) keys for an equi-join;
-  segments many names share are refined before they are joined on.
+and the largest of the three counts. Candidates come from three searches that
+together find every best pair at or above the threshold:
+
+* block search: blocks of left names meet blocks of right names as arrays, and
+  bounds on the letters two names share leave out most pairs (``close_names``).
+* segment join (Pass-Join, Li et al., VLDB 2011), for pairs with a text of over
+  ``MOST_LETTERS``: a text within K edits of another contains at least one of its
+  K + 1 segments, at a bounded shift. At low thresholds the longer text of a pair
+  is the one that is cut: the score then allows fewer edits than it has letters,
+  so there is no lowest threshold. Both sides turn into (length, segment number,
+  segment) keys for an equi-join; segments many names share are refined before
+  they are joined on.
 * rarest-token join: a contained name shares its rarest token with the name
   that contains it.
 
 Names go best first: they are searched at falling thresholds and leave as soon
-as their best match is settled; a name known to reach some score is searched at
-that score at once. Work is done on distinct names, so copies cost nothing. No
+as their best match is settled; a name known to reach some score is searched
+from that score on. Work is done on distinct names, so copies cost nothing. No
 candidate is capped or dropped.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import match_text, sorted_tokens
-from ..session import c, cut_lineage, salted_join, shuffled, small_side, spread
+from ..session import c, cut_lineage, salted_join, ships_with_tasks, shuffled, small_side, spread
+from .close_names import MOST_LETTERS, closest
+
+ships_with_tasks(__name__)
 
 TOKEN_SORT_WEIGHT = 0.95
 CONTAINMENT_SCORE = 90.0
@@ -38,7 +45,10 @@ HEAVY_ROWS = 1_000
 LEVELS = 3
 BAND_ROWS = 10_000
 BANDS = (90.0, 80.0)
-STEP = 2.0  # names with a known score go by steps of it, unless there are few
+LEFT_ROWS = 65_536  # most names of a block
+RIGHT_ROWS = 65_536
+LEAST_ROWS = 1_024  # a block of left names is not made smaller to give the cores more
+BLOCKS_PER_CORE = 3
 ONE_WAY = 67.0  # from here on K for the longest partner still leaves a text more letters than edits
 _EPS = 1e-9
 
@@ -59,24 +69,26 @@ def contains_tokens(a: Column, b: Column) -> Column:
     return (F.size(F.array_except(x, y)) == 0) | (F.size(F.array_except(y, x)) == 0)
 
 
-def name_score(a: Column, b: Column) -> Column:
-    """The score on two match texts; an empty text scores 0."""
+def name_score(a: Column, b: Column, sorted_a: Column | None = None, sorted_b: Column | None = None) -> Column:
+    """The score on two match texts; an empty text scores 0. Their sorted tokens may be given."""
+    by_token = token_sort_ratio(a, b) if sorted_a is None else edit_ratio(sorted_a, sorted_b)
     best = F.greatest(
         edit_ratio(a, b),
-        token_sort_ratio(a, b) * TOKEN_SORT_WEIGHT,
+        by_token * TOKEN_SORT_WEIGHT,
         F.when(contains_tokens(a, b), CONTAINMENT_SCORE).otherwise(0.0),
     )
     return F.when((a == "") | (b == ""), 0.0).otherwise(F.round(best, 6))
 
 
-def _names(df: DataFrame, equi: list[str], norm: str) -> DataFrame:
-    return (
-        df.select(*[c(e) for e in equi], c(norm).alias("norm"))
-        .where(F.col("norm") != "")
-        .distinct()
-        .withColumn("text", match_text(F.col("norm")))
-        .where(F.col("text") != "")
-    )
+def _names(df: DataFrame, equi: list[str], norm: str, **more: Column) -> DataFrame:
+    """Each name once, with the texts it is compared by and the aggregates ``more``; stored.
+
+    Empty names go after that: a filter before it would be computed where the names are read, in as few tasks.
+    """
+    keys = [*[c(e) for e in equi], c(norm).alias("norm")]
+    names = df.groupBy(*keys).agg(*[x.alias(k) for k, x in more.items()]) if more else df.select(*keys).distinct()
+    names = names.withColumn("text", match_text(F.col("norm"))).withColumn("_by_token", sorted_tokens(F.col("text")))
+    return cut_lineage(names).where(F.col("text") != "")
 
 
 def _forms(names: DataFrame, threshold: float) -> DataFrame:
@@ -85,12 +97,12 @@ def _forms(names: DataFrame, threshold: float) -> DataFrame:
     plain = F.struct(F.lit(0).alias("kind"), F.col("text").alias("s"), F.lit(t).alias("t"))
     by_token = F.struct(
         F.lit(1).alias("kind"),
-        sorted_tokens(F.col("text")).alias("s"),
+        F.col("_by_token").alias("s"),
         F.lit(t / TOKEN_SORT_WEIGHT).alias("t"),
     )
     forms = [plain, by_token] if t <= TOKEN_SORT_WEIGHT else [plain]
     return names.withColumn("f", F.explode(F.array(*forms))).select(
-        *[x for x in names.columns if x != "text"], "f.*"
+        *[x for x in names.columns if x not in ("text", "_by_token")], "f.*"
     )
 
 
@@ -237,28 +249,99 @@ def _contained(small: DataFrame, large: DataFrame, equi: list[str], most: int) -
     )
 
 
+def _blocks(names: DataFrame, equi: list[str], n: int, most: int) -> tuple[DataFrame | None, Column]:
+    """Groups of over ``most`` names with their number of blocks (None: no groups), and the blocks of a group or of all."""
+    if not equi or n <= most:
+        return None, F.lit(-(-n // most))
+    sizes = names.groupBy(*[c(x) for x in equi]).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most)
+    return sizes, F.ceil(F.col("_n") / most).cast("int")
+
+
+def _close_pairs(left: DataFrame, right: DataFrame, equi: list[str], n_left: int, n_right: int) -> DataFrame:
+    """Pairs that are a left name's best by edit ratio or token sort within a block, from its bound on.
+
+    The names of a group lie in blocks by their hash; every block of the left names meets every one of the right.
+    """
+    cores = left.sparkSession.sparkContext.defaultParallelism
+    most = min(LEFT_ROWS, max(LEAST_ROWS, n_left * -(-n_right // RIGHT_ROWS) // (BLOCKS_PER_CORE * cores)))
+    e, keys = [c(x) for x in equi], [*equi, "_l", "_r"]
+    sides = [x.where(F.length("text") <= MOST_LETTERS) for x in (left, right)]
+    sides = [x.dropna(subset=equi) for x in sides] if equi else sides  # NULL equals nothing
+    for name, n, rows in (("_lefts", n_left, most), ("_rights", n_right, RIGHT_ROWS)):
+        sizes, count = _blocks(sides[name == "_rights"], equi, n, rows)
+        if sizes is None:
+            sides = [x.withColumn(name, count) for x in sides]
+        else:
+            sizes = small_side(sizes.select(*e, count.alias(name)))
+            sides = [x.join(sizes, equi, "left").withColumn(name, F.coalesce(name, F.lit(1))) for x in sides]
+
+    def block(n: str) -> Column:
+        return F.pmod(F.xxhash64("norm"), F.col(n)).cast("int")
+
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    # texts that equal the one before them are not sent
+    forms = [F.nullif("text", "norm").alias("text"), F.nullif("_by_token", "text").alias("_by_token")]
+    l = sides[0].withColumn("_l", block("_lefts")).withColumn("_r", every("_rights")).select(*keys, "norm", *forms, "_bound")
+    r = sides[1].withColumn("_r", block("_rights")).withColumn("_l", every("_lefts")).select(*keys, "norm", *forms)
+    # blocks are small in bytes but much work: so many partitions that few blocks share one, which adaptive execution leaves alone
+    settings = left.sparkSession.conf
+    n = max(cores, int(settings.get("spark.sql.shuffle.partitions")), min(4_096, 4 * -(-n_left // most) * -(-n_right // RIGHT_ROWS)))
+    schema = l.select(*e, F.col("norm").alias("norm_l"), F.col("norm").alias("norm_r")).schema
+
+    def texts(names: pa.Table) -> tuple[list[str], list[str]]:
+        norm, text, by_token = (names.column(x).to_pylist() for x in ("norm", "text", "_by_token"))
+        plain = [y if x is None else x for x, y in zip(text, norm, strict=True)]
+        return plain, [y if x is None else x for x, y in zip(by_token, plain, strict=True)]
+
+    def search(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        bound = mine.column("_bound").to_numpy().astype(float)
+        i, j = closest(texts(mine), bound, texts(theirs), TOKEN_SORT_WEIGHT)
+        i, j = pa.array(i), pa.array(j)
+        found = [mine.column(x).take(i) for x in equi]
+        return pa.table([*found, mine.column("norm").take(i), theirs.column("norm").take(j)], names=schema.names)
+
+    on = [c(x) for x in keys]
+    return l.repartition(n, *on).groupBy(*on).cogroup(r.repartition(n, *on).groupBy(*on)).applyInArrow(search, schema)
+
+
 def _best_pairs(
     l: DataFrame, r: DataFrame, equi: list[str], threshold: float, n_l: int, n_r: int,
-    heavy_rows: int, contained: bool,
+    heavy_rows: int, contained: bool, long: bool,
 ) -> DataFrame:
-    # a name has each key at most once, so its side's size bounds the rows of a key
-    pairs = _segment_candidates(l, r, equi, threshold, n_l, n_r, heavy_rows)
+    """The best right name of each left name from ``threshold``, or the left name's own bound, on."""
     e = [c(x) for x in equi]
+    mine = l if "_bound" in l.columns else l.withColumn("_bound", F.lit(float(threshold)))
+    pairs = _close_pairs(mine, r, equi, n_l, n_r)
+    l = l.drop("_bound")
+    if long:
+        over = F.length("text") > MOST_LETTERS
+        for a, b in ((l.where(over), r), (l.where(~over), r.where(over))):
+            pairs = pairs.unionByName(_segment_candidates(a, b, equi, threshold, n_l, n_r, heavy_rows))
     if contained:
+        # a name has each key at most once, so its side's size bounds the rows of a key
         down = _contained(l, r, equi, n_r).select(*e, F.col("norm_a").alias("norm_l"), F.col("norm_b").alias("norm_r"))
         up = _contained(r, l, equi, n_l).select(*e, F.col("norm_b").alias("norm_l"), F.col("norm_a").alias("norm_r"))
         pairs = pairs.unionByName(down).unionByName(up)
-    score = name_score(match_text(F.col("norm_l")), match_text(F.col("norm_r")))
+    # as columns, so that each text is made once; only the best is compared with the threshold, else every pair would be scored twice
+    texts = pairs.distinct().select(*e, "norm_l", "norm_r", match_text(F.col("norm_l")).alias("_a"), match_text(F.col("norm_r")).alias("_b"))
+    texts = texts.withColumns({"_sa": sorted_tokens(F.col("_a")), "_sb": sorted_tokens(F.col("_b"))})
     return (
-        pairs.distinct()
-        .withColumn("score", score)
-        .where(F.col("score") >= threshold)
+        texts.withColumn("score", name_score(*map(F.col, ("_a", "_b", "_sa", "_sb"))))
         .groupBy(*e, "norm_l")
         .agg(F.min_by(F.struct("norm_r", "score"), F.struct(-F.col("score"), "norm_r")).alias("b"))
         .select(*e, "norm_l", "b.norm_r", "b.score")
+        .where(F.col("score") >= threshold)
     )
 
 
+def _size(names: DataFrame) -> tuple[int, bool]:
+    """Number of names, and whether one is too long for the block search."""
+    row = names.agg(F.count(F.lit(1)).alias("n"), F.max(F.length("text")).alias("m")).first()
+    return row["n"], (row["m"] or 0) > MOST_LETTERS
+
+
 def _none(names: DataFrame, equi: list[str]) -> DataFrame:
     """The result of a search for no names."""
     return names.where(F.lit(False)).select(
@@ -281,46 +364,37 @@ def fuzzy_best(
 
     Only left names whose best score reaches ``threshold`` (above 0) appear. Equal
     scores go to the alphabetically first right name. With more than ``band_rows``
-    left names the search goes down in bands, by fewer and longer segments first;
+    left names the search goes down in bands, with fewer edits allowed first;
     nothing below a band can beat a match in it, so only the others go on.
     ``known`` names a column of ``left`` with a score that some right name is known
-    to have: the best is no less, so such a name is searched at that score only.
+    to have: the best is no less, so such a name is searched from that score on.
+    ``heavy_rows`` bounds the rows of a segment key, for names of over ``MOST_LETTERS``.
     """
     if not 0 < threshold <= 100:
         raise ValueError("threshold must lie above 0 and not above 100")
     equi = list(equi)
     e = [c(x) for x in equi]
-    if known is None:
-        rest = cut_lineage(_names(left, equi, left_norm))
-        n, nested, out = rest.count(), threshold <= CONTAINMENT_SCORE, None
-        if not n:  # nothing to search for, so the right names are not cut either
-            return _none(rest, equi)
-    r = cut_lineage(_names(right, equi, right_norm))
-    n_r = r.count()
+    bound = {}
+    if known is not None:
+        bound["_bound"] = F.least(F.greatest(F.max(c(known)), F.lit(float(threshold))), F.lit(CONTAINMENT_SCORE))
+    rest = _names(left, equi, left_norm, **bound)
+    (n, long), nested, out = _size(rest), threshold <= CONTAINMENT_SCORE, None
+    if not n:  # nothing to search for, so the right names are not cut either
+        return _none(rest, equi)
+    r = _names(right, equi, right_norm)
+    n_r, long_r = _size(r)
+    long = long or long_r
     if known is not None:
-        least = F.least(F.greatest(F.floor(F.max(c(known)) / STEP) * STEP, F.lit(float(threshold))), F.lit(CONTAINMENT_SCORE))
-        bounds = left.groupBy(*e, c(left_norm).alias("norm")).agg(least.alias("_least"))
-        l = cut_lineage(_names(left, equi, left_norm).join(shuffled(bounds), [*equi, "norm"]))
-        rows = {x["_least"]: x["count"] for x in l.groupBy("_least").count().collect()}  # one for each step at most
-        out, low = None, []
-        for step in sorted(rows, reverse=True):
-            low.append(step)
-            n = sum(rows[x] for x in low)
-            if n < band_rows and step != min(rows):
-                continue
-            part = l.where(F.col("_least").isin(low)).drop("_least")
-            found = _best_pairs(part, r, equi, step, n, n_r, heavy_rows, step <= CONTAINMENT_SCORE)
-            out, low = (found if out is None else out.unionByName(found)), []
-        return out if out is not None else _none(l, equi)
+        return _best_pairs(rest, r, equi, threshold, n, n_r, heavy_rows, nested, long)
     for band in [x for x in BANDS if x > threshold]:
         if n <= band_rows:
             break
-        high = cut_lineage(_best_pairs(rest, r, equi, band, n, n_r, heavy_rows, out is None and nested))
+        high = cut_lineage(_best_pairs(rest, r, equi, band, n, n_r, heavy_rows, out is None and nested, long))
         out = high if out is None else out.unionByName(high)
         settled = shuffled(high.select(*e, F.col("norm_l").alias("norm")))
         rest = cut_lineage(rest.join(settled, [*equi, "norm"], "left_anti"))
         n = rest.count()
         if not n:
             return out
-    found = _best_pairs(rest, r, equi, threshold, n, n_r, heavy_rows, out is None and nested)
+    found = _best_pairs(rest, r, equi, threshold, n, n_r, heavy_rows, out is None and nested, long)
     return found if out is None else out.unionByName(found)
