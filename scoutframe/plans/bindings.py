@@ -18,7 +18,7 @@ from ..operators.rollup import (
 from ..operators.scoring import adjust_team_strength, age_weighted, league_weighted, scout_scores
 from ..operators.standings import attach_rank, league_table
 from ..operators.regression import undervaluation
-from ..session import cut_lineage, small_side
+from ..session import cut_lineage, small_side, spread
 
 PER_SEASON = 120.0
 POSITION_OF = {"HOUSEHOLD": "FW", "MACHINERY": "MF", "BUILDING": "DF", "FURNITURE": "GK", "AUTOMOBILE": "XX"}
@@ -190,7 +190,8 @@ def part_names(spark: SparkSession, sf: str) -> DataFrame:
     """A name per part: its own name and a made-up surname."""
     surname = F.translate(F.substring(F.md5(F.col("p_partkey").cast("string")), 1, 8), _HEX, _LETTERS)
     first = F.col("p_name")
-    return table(spark, sf, "part").select(
+    # the table is one small file, its names are much work
+    return spread(table(spark, sf, "part"), "p_partkey").select(
         "p_partkey", "p_size", "p_retailprice",
         first.alias("first"), surname.alias("surname"),
         F.concat_ws(" ", first, surname).alias("name"),

@@ -84,3 +84,14 @@ def test_names_longer_than_a_word(spark, threshold):
     got = {x["norm_l"]: (x["norm_r"], x["score"]) for x in fuzzy_best(l, r, threshold).collect()}
     want = brute(left, right, threshold)
     assert got == want and max(map(len, want)) > 64 > min(map(len, want))
+
+
+def test_known_scores_need_one_search(spark, monkeypatch):
+    """Each name is searched from its own known score on; names of other scores do not make another search."""
+    searches, one = [], fuzzy._best_pairs
+    monkeypatch.setattr(fuzzy, "_best_pairs", lambda *a, **k: searches.append(1) or one(*a, **k))
+    l = spark.createDataFrame([("anna berg", 70.0), ("bruno silva", 76.0), ("carla costa", 81.0), ("dora dias", 88.0)], "norm string, score double")
+    r = spark.createDataFrame([("anna bergh",), ("bruno silvo",), ("carla kosta",), ("dora diaz",)], "norm string")
+    got = {(x["norm_l"], x["norm_r"]) for x in fuzzy_best(l, r, 70, known="score", band_rows=1).collect()}
+    assert got == {("anna berg", "anna bergh"), ("bruno silva", "bruno silvo"), ("carla costa", "carla kosta"), ("dora dias", "dora diaz")}
+    assert len(searches) == 1
