@@ -37,7 +37,9 @@ def normalize_name(col: Column) -> Column:
 
     Letters without a decomposition (ø, ß, ł) vanish.
     """
-    ascii_only = F.regexp_replace(F.translate(col, _ACCENTED, _PLAIN), r"[^\x00-\x7F]", "")
+    other = r"[^\x00-\x7F]"
+    # translating is dear and changes nothing but such letters
+    ascii_only = F.when(col.rlike(other), F.regexp_replace(F.translate(col, _ACCENTED, _PLAIN), other, "")).otherwise(col)
     return F.coalesce(_squeeze(F.lower(ascii_only)), F.lit(""))
 
 
@@ -55,7 +57,7 @@ def match_text(norm: Column) -> Column:
 
 
 def sorted_tokens(text: Column) -> Column:
-    return F.array_join(F.array_sort(F.split(text, " ")), " ")
+    return F.array_join(F.sort_array(F.split(text, " ")), " ")
 
 
 def primary_position(col: Column) -> Column:

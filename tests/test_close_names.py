@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from test_fuzzy import brute, lev, names
 
+from scoutframe.functions.text import normalize_name
 from scoutframe.operators import close_names, fuzzy
 from scoutframe.operators.fuzzy import fuzzy_best
 
@@ -95,3 +96,21 @@ def test_known_scores_need_one_search(spark, monkeypatch):
     got = {(x["norm_l"], x["norm_r"]) for x in fuzzy_best(l, r, 70, known="score", band_rows=1).collect()}
     assert got == {("anna berg", "anna bergh"), ("bruno silva", "bruno silvo"), ("carla costa", "carla kosta"), ("dora dias", "dora diaz")}
     assert len(searches) == 1
+
+
+def test_pairs_are_scored_once(spark, tmp_path):
+    """No filter on the score goes below the step that makes it, where every pair would be scored again."""
+    spark.createDataFrame([(f"anna berg{i}",) for i in range(50)], "norm string").write.parquet(str(tmp_path / "n"))
+    d = spark.read.parquet(str(tmp_path / "n"))
+    plan = fuzzy_best(d, d, 80)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("levenshtein(") == 2
+
+
+def test_plain_letters_are_not_translated(spark):
+    """Accents are looked up only in names that have a letter beyond ASCII; the result is the same."""
+    rows = ["  Ana\tMaria ", "Æsir Ørn", "İnan Çelik", "a\x1cb", "", None, "José-María"]
+    d = spark.createDataFrame([(x,) for x in rows], "n string")
+    got = d.select(normalize_name(d["n"]).alias("n"))
+    assert [x["n"] for x in got.collect()] == ["ana maria", "sir rn", "inan celik", "a b", "", "", "jose-maria"]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("RLIKE") < plan.index("translate(")
